@@ -1,0 +1,79 @@
+"""Exact similarity join of sparse vectors by cosine, over inverted lists with bounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sievewright.session import cut
+
+
+def unit_vectors(rows: DataFrame, key: str, terms: str, weighting: str = "binary") -> DataFrame:
+    """Unit vectors of sets of terms: ``key``, ``vec`` (array of struct<df, t, w>, rarest term first).
+
+    Terms are 64-bit numbers. ``binary`` gives every term of a row the same weight, ``idf`` weighs by rarity over all
+    rows. Rows with null or empty terms have no vector and are left out; repeated terms count once.
+    """
+    pairs = rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(terms)).alias("t")).where("key is not null and t is not null")
+    counts = pairs.groupBy("t").agg(F.count("*").alias("df"))
+    n = rows.where(F.size(terms) > 0).count() if weighting == "idf" else 1
+    weight = F.lit(1.0) if weighting == "binary" else F.log(1 + F.lit(float(n)) / F.col("df"))
+    weighted = pairs.join(counts, "t").select("key", "t", "df", weight.alias("w"))
+    grouped = weighted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "t", "w"))).alias("vec"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return grouped.select("key", F.transform("vec", lambda x: F.struct(x["df"].alias("df"), x["t"].alias("t"), (x["w"] / F.col("norm")).alias("w"))).alias("vec"))
+
+
+def _prefix(threshold: float) -> F.Column:
+    """Length of the part of a vector in which two terms must be shared to reach the threshold.
+
+    ``vec`` is in global term order and ``high`` has the largest weight of each term on the other side. A partner that
+    shares at most one term of the part cannot reach the threshold when the largest single product plus a bound of
+    the rest stays below it; the rest is bounded by its norm and by its products with the maximal weights. Suffix
+    bounds are running sums from the back.
+    """
+    size = F.size("vec")
+
+    def bound_below(p):
+        rest = F.slice("vec", p + 1, F.greatest(size - p, F.lit(0)))
+        norm = F.sqrt(F.aggregate(rest, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+        product = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x["w"] * x["m"])
+        one = F.aggregate(F.slice("vec", 1, p), F.lit(0.0), lambda a, x: F.greatest(a, x["w"] * x["m"]))
+        return one + F.least(norm, product) < threshold - 1e-9
+
+    able = F.filter(F.sequence(F.lit(1), size), bound_below)
+    return F.coalesce(F.get(able, F.lit(0)), size)
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of vectors with cosine of at least ``threshold``: ``key_1`` < ``key_2``, ``cosine``.
+
+    Exact. Terms are ordered by rarity. With maximum-weight and residual-norm bounds every vector is cut to the prefix
+    in which a partner has to share two terms (or one, for vectors too short to hold two); inverted lists are kept for
+    pairs of prefix terms, which are short even where single terms are frequent. Candidates are verified by the exact
+    dot product. ``vectors``: as of ``unit_vectors``, one row a key.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie in (0, 1]")
+    flat = vectors.select("key", F.explode("vec").alias("x")).select("key", "x.*")
+    high = flat.groupBy("t").agg(F.max("w").alias("m"))
+    bounded = flat.join(high, "t").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "t", "w", "m"))).alias("vec"))
+    prefix = cut(bounded.withColumn("p", _prefix(threshold)))
+    part = prefix.select("key", F.transform(F.slice("vec", 1, F.col("p")), lambda x: x["t"]).alias("ts"), F.expr("exists(vec, x -> x.w * x.m >= %r - 1e-9)" % threshold).alias("single"))
+    combos = F.flatten(F.transform("ts", lambda t, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda u: F.xxhash64(t, u))))
+    # a product of one term may reach the threshold by itself: such vectors keep lists of single terms as well
+    any_single = part.where("single").limit(1).count() > 0
+    posted = part.select("key", F.explode(combos).alias("list"))
+    if any_single:
+        posted = posted.unionByName(part.select("key", F.explode(F.transform("ts", lambda t: F.xxhash64(t, F.lit("single")))).alias("list")))
+    ends = posted.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").select("list")
+    posted = posted.join(ends, "list", "left_semi")
+    left, right = posted.select("list", F.col("key").alias("key_1")), posted.select("list", F.col("key").alias("key_2"))
+    found = left.join(right, "list").where("key_1 < key_2").select("key_1", "key_2").distinct()
+    lean = prefix.select("key", F.map_from_entries(F.transform("vec", lambda x: F.struct(x["t"], x["w"]))).alias("v"))
+    both = found.join(lean.select(F.col("key").alias("key_1"), F.col("v").alias("v1")), "key_1").join(lean.select(F.col("key").alias("key_2"), F.col("v").alias("v2")), "key_2")
+    dot = F.aggregate(F.map_keys("v1"), F.lit(0.0), lambda a, t: a + F.element_at("v1", t) * F.coalesce(F.try_element_at("v2", t), F.lit(0.0)))
+    return both.select("key_1", "key_2", dot.alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
+
+
+EMPTY_PAIRS = T.StructType([T.StructField("key_1", T.StringType()), T.StructField("key_2", T.StringType()), T.StructField("cosine", T.DoubleType())])

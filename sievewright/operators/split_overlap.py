@@ -1,0 +1,131 @@
+"""Records of evaluation splits that also appear, exactly or almost, in the training split.
+
+Rows are linked by what they name (mother item, pair), by image digests and by their scenes; scenes are compared by a
+weighted cosine join over inverted lists (``cosine_join``). Links carry over, so rows fall into classes; overlaps are
+the classes with rows on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sievewright.functions.keys import digest_key, item_key, pair_mother_key
+from sievewright.operators.components import hash_to_min
+from sievewright.operators.cosine_join import cosine_pairs, unit_vectors
+from sievewright.session import broadcast_if_small, cut
+
+#: Scenes that agree in at least this share of their points show the same thing.
+AGREEMENT = 0.5
+#: A digest that sits on this many otherwise unrelated scenes or more stands for a failed render.
+UNRELATED_SCENES = 3
+#: Rows of one side of a class that one task joins.
+CLASS_BLOCK = 2_000
+
+
+def scene_points(scene: Column) -> Column:
+    """A scene as a sorted array of 64-bit terms, one per labelled point; null for a null or empty scene.
+
+    Points with a null part are left out; repeated points count once.
+    """
+    whole = F.filter(scene, lambda p: p.isNotNull() & p["label"].isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
+    terms = F.array_sort(F.array_distinct(F.transform(whole, lambda p: F.xxhash64(F.upper(F.trim(p["label"])), p["x"], p["y"]))))
+    return F.when(F.size(terms) > 0, terms)
+
+
+def scene_rows(scenes: DataFrame) -> DataFrame:
+    """Rows of the scene table with the keys that may link them: ``ordinal``, ``split``, ``source`` and prefixed keys."""
+
+    def key(prefix: str, c: Column) -> Column:
+        return F.concat(F.lit(prefix), c)
+
+    def print_of(c: str) -> Column:
+        return F.md5(F.array_join(F.transform(scene_points(F.col(c)), lambda t: t.cast("string")), ","))
+
+    return scenes.select(
+        "ordinal",
+        "split",
+        F.col("provenance.generator").alias("source"),
+        key("m:", item_key("mother_item_id")).alias("mother"),
+        key("m:", pair_mother_key("pair_id")).alias("pair"),
+        key("s:", print_of("scene_a")).alias("shown_a"),
+        key("s:", print_of("scene_b")).alias("shown_b"),
+        key("d:", digest_key("image_a_sha256")).alias("image_a"),
+        key("d:", digest_key("image_b_sha256")).alias("image_b"),
+        scene_points(F.col("scene_a")).alias("points_a"),
+        scene_points(F.col("scene_b")).alias("points_b"),
+    )
+
+
+def near_scenes(rows: DataFrame, threshold: float = AGREEMENT) -> DataFrame:
+    """Pairs of different scenes with a cosine of at least ``threshold``; each point weighs the same.
+
+    Copies are compared once: the join runs on distinct scenes.
+    """
+    sides = rows.select(F.col("shown_a").alias("shown"), F.col("points_a").alias("points")).unionByName(rows.select(F.col("shown_b").alias("shown"), F.col("points_b").alias("points")))
+    distinct = sides.where("shown is not null").groupBy("shown").agg(F.first("points").alias("points"))
+    return cosine_pairs(unit_vectors(distinct, "shown", "points"), threshold)
+
+
+def classes(rows: DataFrame, threshold: float = AGREEMENT) -> DataFrame:
+    """Each row with its class: ``ordinal``, ``split``, ``source``, ``class_id``.
+
+    A row is anchored at its first key; every key that sits on several anchors links them, and so does a pair of near
+    scenes. Digests link in a second step, when a digest that still sits on ``UNRELATED_SCENES`` or more classes with
+    scenes is known to stand for a failed render and is left out. A row without any key is in no class (null).
+    """
+    keys = ["mother", "pair", "shown_a", "shown_b"]
+    rows = cut(rows.withColumn("anchor", F.coalesce(*keys, "image_a", "image_b")).drop("points_a", "points_b")), cut(near_scenes(rows, threshold))
+    rows, near = rows
+    held = rows.select("anchor", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key")).distinct()
+    first = held.groupBy("key").agg(F.min("anchor").alias("low"), F.max("anchor").alias("high"))
+    shared = held.join(first.where("low <> high").select("key", "low"), "key").select(F.col("low").alias("a"), F.col("anchor").alias("b"))
+    ends = first.select("key", "low")
+    scenes = near.join(ends.select(F.col("key").alias("key_1"), F.col("low").alias("a")), "key_1").join(ends.select(F.col("key").alias("key_2"), F.col("low").alias("b")), "key_2").select("a", "b")
+    ties = cut(shared.unionByName(scenes).where("a <> b").distinct())
+    one = hash_to_min(ties)
+    labelled = _labelled(rows, one, "anchor", "first_class")
+    sides = labelled.select("first_class", F.explode(F.array(F.struct(F.col("image_a").alias("image"), F.col("shown_a").alias("shown")), F.struct(F.col("image_b").alias("image"), F.col("shown_b").alias("shown")))).alias("x")).select("first_class", "x.*").where("image is not null")
+    seen = sides.groupBy("image", "first_class").agg(F.max(F.col("shown").isNotNull().cast("int")).alias("with_scene"))
+    by_image = seen.groupBy("image").agg(F.min("first_class").alias("low"), F.max("first_class").alias("high"), F.sum("with_scene").alias("n_scenes"))
+    real = by_image.where((F.col("low") != F.col("high")) & (F.col("n_scenes") < UNRELATED_SCENES)).select("image", "low")
+    images = seen.join(real, "image").select(F.col("low").alias("a"), F.col("first_class").alias("b")).where("a <> b").distinct()
+    two = hash_to_min(images)
+    return _labelled(labelled, two, "first_class", "class_id").select("ordinal", "split", "source", "class_id")
+
+
+def _labelled(rows: DataFrame, found: DataFrame, key: str, label: str) -> DataFrame:
+    """Rows with the component of a key, or the key itself where it is in no edge."""
+    joined = rows.join(broadcast_if_small(found.select(F.col("node").alias(key), "component")), key, "left")
+    return joined.withColumn(label, F.coalesce("component", key)).drop("component")
+
+
+def overlaps(classed: DataFrame, train: str = "training") -> DataFrame:
+    """All pairs of a training row and a row of another split in one class: ``train_ordinal``, ``other_ordinal``, splits and sources.
+
+    Large classes are joined in blocks of rows of either side, so no task holds a whole class.
+    """
+    sized = classed.where("class_id is not null and split is not null")
+    counts = sized.groupBy("class_id").agg(F.sum((F.col("split") == train).cast("long")).alias("n_train"), F.sum((F.col("split") != train).cast("long")).alias("n_other"))
+    both = counts.where("n_train > 0 and n_other > 0").select("class_id", F.ceil(F.col("n_train") / CLASS_BLOCK).cast("int").alias("t"), F.ceil(F.col("n_other") / CLASS_BLOCK).cast("int").alias("o"))
+    placed = sized.join(both, "class_id")
+    left = placed.where(F.col("split") == train).select("class_id", F.col("ordinal").alias("train_ordinal"), F.col("source").alias("train_source"), F.pmod(F.xxhash64("ordinal"), F.col("t")).cast("int").alias("bt"), F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("bo"))
+    right = placed.where(F.col("split") != train).select("class_id", F.col("ordinal").alias("other_ordinal"), F.col("split").alias("other_split"), F.col("source").alias("other_source"), F.pmod(F.xxhash64("ordinal"), F.col("o")).cast("int").alias("bo"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("bt"))
+    return left.join(right, ["class_id", "bt", "bo"]).drop("bt", "bo")
+
+
+def class_links(classed: DataFrame, train: str = "training") -> DataFrame:
+    """One row per record: its class and the number of rows on the other side that it overlaps with."""
+    sized = classed.where("class_id is not null")
+    counts = sized.groupBy("class_id").agg(F.sum((F.col("split") == train).cast("long")).alias("n_train"), F.sum((F.col("split") != train).cast("long")).alias("n_other"))
+    links = F.when(F.col("split") == train, F.col("n_other")).otherwise(F.col("n_train"))
+    return classed.join(counts, "class_id", "left").select("ordinal", "split", "source", "class_id", F.coalesce(links, F.lit(0)).alias("n_links"))
+
+
+def overlap_report(classed: DataFrame, train: str = "training") -> DataFrame:
+    """Pairs and rows per split and source of both sides, from counts per class without listing the pairs."""
+    sized = classed.where("class_id is not null and split is not null")
+    counts = sized.groupBy("class_id", "split", "source").agg(F.count("*").alias("n"))
+    left = counts.where(F.col("split") == train).select("class_id", F.col("source").alias("train_source"), F.col("n").alias("n_train"))
+    right = counts.where(F.col("split") != train).select("class_id", F.col("split").alias("other_split"), F.col("source").alias("other_source"), F.col("n").alias("n_other"))
+    return left.join(right, "class_id").groupBy("other_split", "other_source", "train_source").agg(F.sum(F.col("n_train") * F.col("n_other")).alias("n_pairs"), F.sum("n_other").alias("n_other_rows"), F.sum("n_train").alias("n_train_rows"))
