@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import leakage
+from sievewright.llm import cutting, leakage, mixing, packing
 from sievewright.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,43 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(_leaks(spark, d))
 
 
+def p5_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "token_limits"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_report(p5_pack(spark, d))
+
+
+def p6_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return cutting.pieces(table(spark, d, "documents"), table(spark, d, "token_limits"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return cutting.piece_report(p7_pieces(spark, d))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report}
+    return {
+        "p1_found": p1_found,
+        "p1_report": p1_report,
+        "p5_pack": p5_pack,
+        "p5_report": p5_report,
+        "p6_mix": p6_mix,
+        "p6_shares": p6_shares,
+        "p7_pieces": p7_pieces,
+        "p7_report": p7_report,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    """These operators need a tokenizer or a learned space, which SQL lacks; tests compare them with brute force."""
     return {}
