@@ -8,6 +8,7 @@ alone, and the piece texts are read by offset. Texts of one range take the same
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,13 @@ KINDS = ("inside", "word", "sentence", "line", "paragraph", "end")
 #: Longest stretch of tokens without a listed boundary.
 STRETCH = 24
 #: Shortened words after which a full stop ends no sentence.
-SHORT = ("dr", "mr", "mrs", "no", "nr", "approx", "cf", "e.g", "i.e", "vs", "fig", "z. b", "z.b", "c.-à-d")
+SHORT = ("Dr", "Mr", "Mrs", "No", "Nr", "approx", "cf", "e.g", "i.e", "vs", "fig", "z. B", "z.B", "c.-à-d")
 
-_BREAK = regex.compile(r"""\s*\n\s*|[.!?…]["'”’)\]]*(?=[ \t]+["'“‘(\[]?[\p{Lu}\p{Lo}\p{N}])|[。！？]["'”’）」』]*""")
-_SPACE = regex.compile(r"(?<=\S)(?=\s)")
+_LINE = re.compile(r"[^\S\n]*\n\s*")
+_SENTENCE = re.compile(
+    r"[.!?…]" + "".join(rf"(?<!\b{re.escape(x)}\.)" for x in SHORT)
+    + r"""["'”’)\]]*(?=[ \t]+["'“‘(\[]?[A-Z0-9À-ÞΑ-ΩА-Я぀-鿿])|[。！？]["'”’）」』]*"""
+)
 #: Places where the split pattern starts a new word whatever stands before: a blank after a non-blank, or a letter or
 #: digit run followed by a character of another kind.
 _ANEW = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])")
@@ -65,79 +69,74 @@ def first_anew(data: bytes, at: int) -> int:
     return before + len(view[: found.start()].encode())
 
 
-def boundaries(text: str, code: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, tokens and kind at each boundary of a text, its end included, and the byte at which every token ends.
+def token_ends(text: str, code: Coder) -> np.ndarray:
+    """Byte at which every token of a text ends."""
+    return np.cumsum(code.lengths[np.array(code.encode(text), np.int64)]) if text else np.zeros(0, np.int64)
 
-    Bytes and tokens count from the start of the text. All listed places are ends of tokens and of characters.
+
+def boundaries(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, tokens and kind at each boundary of a text, its end included.
+
+    Bytes and tokens count from the start of the text. All listed places are ends of tokens and of characters. ``ends``:
+    as of ``token_ends``.
     """
     data = text.encode()
-    ends = np.cumsum(code.lengths[np.array(code.encode(text), np.int64)]) if text else np.zeros(0, np.int64)
-    places: list[int] = []
-    kinds: list[int] = []
-    for m in _BREAK.finditer(text):
-        s = m.group()
-        if "\n" in s or "\r" in s:
-            after = m.end()
-            at = after if s[-1] == "\n" and after < len(text) else m.start()
-            kind = 4 if s.count("\n") > 1 else 3
-        else:
-            at, kind = m.end(), 2
-            if s[0] == ".":
-                word = text[max(0, m.start() - 8) : m.start()].lower()
-                if any(word.endswith(x) and (len(word) == len(x) or not word[-len(x) - 1].isalnum()) for x in SHORT):
-                    continue
-        if 0 < at < len(text):
-            places.append(at)
-            kinds.append(kind)
-    at = np.array(places, np.int64)
-    widths = None
+    sentence = [m.end() for m in _SENTENCE.finditer(text)]
+    places, kinds = sentence, [2] * len(sentence)
+    if "\n" in text:
+        for m in _LINE.finditer(text):
+            a, b = m.span()
+            # a run of blanks that ends a line belongs to the piece before, unless it indents the next line
+            places.append(b if text[b - 1] == "\n" and b < len(text) else a)
+            kinds.append(4 if text.count("\n", a, b) > 1 else 3)
+    at, kind = np.array(places, np.int64), np.array(kinds, np.int8)
     if not text.isascii():
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        widths = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
-        at = widths[at]
-    kind = np.array(kinds, np.int8)
-    index = np.searchsorted(ends, at)
-    real = (index < len(ends)) & (ends[np.minimum(index, max(len(ends) - 1, 0))] == at) if len(ends) else np.zeros(0, bool)
-    at, kind, token = at[real], kind[real], index[real] + 1
+        at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])[at]
+    total = len(ends)
+    at, kind, token = _real(at, kind, ends)
     # long stretches get the ends of words, and where there are none, ends of tokens
-    edges = np.concatenate([[0], token, [len(ends)]])
-    more_at: list[int] = []
-    more_kind: list[int] = []
-    for j in np.flatnonzero(np.diff(edges) > STRETCH):
-        lo, hi = int(edges[j]), int(edges[j + 1])
-        b0, b1 = (int(ends[lo - 1]) if lo else 0), int(ends[hi - 1])
-        part = data[b0:b1].decode()
-        blanks = [m.start() for m in _SPACE.finditer(part)]
-        if blanks and not part.isascii():
-            run = np.concatenate([[0], np.cumsum([len(c.encode()) for c in part])])
-            blanks = run[blanks].tolist()
-        words = np.array(blanks, np.int64) + b0
-        k = np.searchsorted(ends, words)
-        words = words[(words > b0) & (words < b1) & (ends[np.minimum(k, len(ends) - 1)] == words)]
-        more_at += words.tolist()
-        more_kind += [1] * len(words)
-        marks = np.concatenate([[lo], np.searchsorted(ends, words) + 1, [hi]])
-        for q in np.flatnonzero(np.diff(marks) > STRETCH):
-            for t in range(int(marks[q]) + STRETCH // 2, int(marks[q + 1]), STRETCH // 2):
-                e = int(ends[t - 1])
-                while t < marks[q + 1] and e < len(data) and 0x80 <= data[e] < 0xC0:
-                    t += 1
-                    e = int(ends[t - 1])
-                if t < marks[q + 1]:
-                    more_at.append(e)
-                    more_kind.append(0)
-    if more_at:
-        at, kind = np.concatenate([at, more_at]), np.concatenate([kind, np.array(more_kind, np.int8)])
-        at, first = np.unique(at, return_index=True)
-        kind = kind[first]
-        token = np.searchsorted(ends, at) + 1
-    return np.append(at, len(data)), np.append(token, len(ends)), np.append(kind, 5), ends
-
-
-def choose(at: np.ndarray, token: np.ndarray, kind: np.ndarray, most: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    edges = np.concatenate([[0], token, [total]])
+    wide = np.flatnonzero(np.diff(edges) > STRETCH)
+    if len(wide):
+        raw = np.frombuffer(data, np.uint8)
+        blank = (raw == 32) | (raw == 10) | (raw == 9) | (raw == 13)
+        words, _, word_token = _real(np.flatnonzero(~blank[:-1] & blank[1:]) + 1, None, ends)
+        stretch = np.searchsorted(edges, word_token, "left") - 1
+        inside = np.isin(stretch, wide) & (word_token != edges[np.minimum(stretch + 1, len(edges) - 1)])
+        at, kind, token = np.concatenate([at, words[inside]]), np.concatenate([kind, np.ones(inside.sum(), np.int8)]), np.concatenate([token, word_token[inside]])
+        order = np.argsort(token, kind="stable")
+        at, kind, token = at[order], kind[order], token[order]
+        edges = np.concatenate([[0], token, [total]])
+        marks = [t for j in np.flatnonzero(np.diff(edges) > STRETCH) for t in range(int(edges[j]) + STRETCH // 2, int(edges[j + 1]), STRETCH // 2)]
+        if marks:
+            more = np.array(marks, np.int64)
+            where = ends[more - 1]
+            whole = (where < len(data)) & ((raw[np.minimum(where, len(data) - 1)] & 0xC0) != 0x80)
+            at, kind, token = np.concatenate([at, where[whole]]), np.concatenate([kind, np.zeros(whole.sum(), np.int8)]), np.concatenate([token, more[whole]])
+            order = np.argsort(token, kind="stable")
+            at, kind, token = at[order], kind[order], token[order]
+    return np.append(at, len(data)), np.append(token, total), np.append(kind, 5)
+
+
+def _real(at: np.ndarray, kind: np.ndarray | None, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places that are ends of tokens inside the text, in order and once each (the strongest kind), with their token counts."""
+    kind = np.zeros(len(at), np.int8) if kind is None else kind
+    if not len(ends) or not len(at):
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.int8), none
+    order = np.lexsort((-kind, at))
+    at, kind = at[order], kind[order]
+    index = np.searchsorted(ends, at)
+    real = (at > 0) & (index < len(ends) - 1) & (ends[np.minimum(index, len(ends) - 1)] == at)
+    real[1:] &= at[1:] != at[:-1]
+    return at[real], kind[real], index[real] + 1
+
+
+def choose(token: np.ndarray, kind: np.ndarray, most: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """Pieces of a text: first token, boundary at or before it, end boundary and kind of the end.
 
-    ``at``, ``token`` and ``kind`` list the boundaries with the end of the text last. A piece ends at the strongest
+    ``token`` and ``kind`` list the boundaries with the end of the text last. A piece ends at the strongest
     boundary in the second half of the room it has, the last of equals; the next one starts ``overlap`` tokens before.
     A text within the limit gives no pieces.
     """
@@ -163,34 +162,41 @@ def choose(at: np.ndarray, token: np.ndarray, kind: np.ndarray, most: int, overl
         start = max(done - overlap, start + 1) if overlap else done
 
 
-def start_byte(data: bytes, base: int, skip: int, code: Coder) -> int:
-    """Byte at which a piece starts that skips ``skip`` tokens from the boundary at byte ``base``.
+def _aligned(view: bytes, ends: np.ndarray, skip: int, code: Coder) -> int:
+    """Byte after ``skip`` tokens of a text whose tokens end at ``ends``.
 
     Moved back to the start of a character, and forward while the rest of a cut word alone would take more tokens than
     it does in the text.
     """
-    if not skip:
-        return base
-    view = data[base : base + 64 * skip + 256]
-    view = view[: len(view) - _torn(view)] if base + len(view) < len(data) else view
-    text = view.decode("utf-8", "ignore")
-    ids = code.encode(text)
-    ends = np.cumsum(code.lengths[np.array(ids, np.int64)]) if ids else np.zeros(1, np.int64)
-    skip = min(skip, len(ends))
     for s in range(skip, min(skip + 8, len(ends))):
         e = int(ends[s - 1])
         while e > 0 and e < len(view) and 0x80 <= view[e] < 0xC0:
             e -= 1
+        if e >= len(view) or view[e] in b" \n\r\t":
+            return e
         rest = view[e : e + 120].decode("utf-8", "ignore")
         anew = _ANEW.search(rest, 1)
         word = rest[: anew.start()] if anew else rest
-        inside = int(np.searchsorted(ends, e + len(word.encode()), "right")) - s
-        if code.count(word) <= inside:
-            return base + e
+        if code.count(word) <= int(np.searchsorted(ends, e + len(word.encode()), "right")) - s:
+            return e
     e = int(ends[skip - 1])
     while e > 0 and e < len(view) and 0x80 <= view[e] < 0xC0:
         e -= 1
-    return base + e
+    return e
+
+
+def start_byte(data: bytes, base: int, skip: int, code: Coder) -> int:
+    """Byte at which a piece starts that skips ``skip`` tokens from the boundary at byte ``base``."""
+    if not skip:
+        return base
+    for size in (16 * skip + 128, 64 * skip + 256):
+        view = data[base : base + size]
+        view = view[: len(view) - _torn(view)] if base + len(view) < len(data) else view
+        ids = code.encode(view.decode("utf-8", "ignore"))
+        if len(ids) >= skip + 16 or base + len(view) >= len(data):
+            break
+    ends = np.cumsum(code.lengths[np.array(ids, np.int64)]) if ids else np.zeros(1, np.int64)
+    return base + _aligned(view, ends, min(skip, len(ends)), code)
 
 
 def _torn(view: bytes) -> int:
@@ -241,8 +247,11 @@ def pieces(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY
                 data = text.encode()
                 if len(data) <= settings_least:
                     continue
-                at, token, kind, _ = boundaries(text, code)
-                out += _cut(doc, data, at, token, kind, settings, code)
+                ends = token_ends(text, code)
+                if len(ends) <= settings_least:
+                    continue
+                at, token, kind = boundaries(text, ends)
+                out += _cut(doc, data, at, token, kind, ends, settings, code)
             yield _frame(out)
 
     settings_least = min((m for _, m, _ in settings), default=0)  # a token has at least one byte
@@ -256,12 +265,12 @@ def _frame(out: list) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["setting", "doc_id", "piece", "start_byte", "end_byte", "tokens", "boundary", "text"])
 
 
-def _cut(doc: int, data: bytes, at: np.ndarray, token: np.ndarray, kind: np.ndarray, settings: list, code: Coder) -> list[tuple]:
+def _cut(doc: int, data: bytes, at: np.ndarray, token: np.ndarray, kind: np.ndarray, ends: np.ndarray, settings: list, code: Coder) -> list[tuple]:
     out = []
     for name, most, overlap in settings:
-        for n, (start, base, end, k) in enumerate(choose(at, token, kind, most, overlap)):
-            origin, known = (int(at[base]), int(token[base])) if base >= 0 else (0, 0)
-            s, e = start_byte(data, origin, start - known, code), int(at[end])
+        for n, (start, base, end, k) in enumerate(choose(token, kind, most, overlap)):
+            exact = not start or (base >= 0 and int(token[base]) == start)
+            s, e = (int(ends[start - 1]) if start else 0) if exact else _aligned(data, ends, start, code), int(at[end])
             out.append((name, doc, n, s, e, int(token[end]) - start, KINDS[k], data[s:e].decode("utf-8", "ignore")))
     return out
 
@@ -284,7 +293,8 @@ def _stitched(long: DataFrame, settings: list, vocabulary: str, range_bytes: int
                 hi = first_anew(part, (n + 1) * range_bytes - begin) if (n + 1) * range_bytes < whole else len(part)
                 if hi <= lo:
                     continue
-                at, token, kind, _ = boundaries(part[lo:hi].decode("utf-8", "ignore"), code)
+                text = part[lo:hi].decode("utf-8", "ignore")
+                at, token, kind = boundaries(text, token_ends(text, code))
                 out.append((doc, n, begin + lo, at.tolist(), token.tolist(), kind.tolist(), whole))
             yield pd.DataFrame(out, columns=["doc_id", "n", "origin", "at", "token", "kind", "size"])
 
@@ -303,7 +313,7 @@ def _stitched(long: DataFrame, settings: list, vocabulary: str, range_bytes: int
             kind[:-1][kind[:-1] == 5] = 1  # the end of a range is the end of a word
             rows = []
             for name, most, overlap in settings:
-                for n, (start, base, end, k) in enumerate(choose(at, token, kind, most, overlap)):
+                for n, (start, base, end, k) in enumerate(choose(token, kind, most, overlap)):
                     origin, known = (int(at[base]), int(token[base])) if base >= 0 else (0, 0)
                     rows.append((last, name, n, origin, start - known, int(at[end]), int(token[end]) - start, KINDS[k]))
             return pd.DataFrame(rows, columns=["doc_id", "setting", "piece", "origin", "skip", "end_byte", "tokens", "boundary"])
