@@ -22,6 +22,8 @@ from sievewright.session import cut as cut_lineage
 
 #: Bytes of a range and of its halo.
 RANGE_BYTES, HALO_BYTES = 32_768, 1_024
+#: Bytes of text after which a worker hands on its pieces.
+OUTPUT_BYTES = 2_000_000
 #: Kinds of boundaries, weakest first.
 KINDS = ("inside", "word", "sentence", "line", "paragraph", "end")
 #: Longest stretch of tokens without a listed boundary.
@@ -239,8 +241,11 @@ def pieces(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY
     def direct(batches: Iterator[pd.DataFrame]):
         code = coder(vocabulary)
         for pdf in batches:
-            out = []
+            out, size = [], 0
             for doc, raw in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+                if size > OUTPUT_BYTES:
+                    yield _frame(out)
+                    out, size = [], 0
                 text = clean_text(raw)
                 if not text:
                     continue
@@ -252,6 +257,7 @@ def pieces(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY
                     continue
                 at, token, kind = boundaries(text, ends)
                 out += _cut(doc, data, at, token, kind, ends, settings, code)
+                size += len(data) * len(settings)
             yield _frame(out)
 
     settings_least = min((m for _, m, _ in settings), default=0)  # a token has at least one byte
