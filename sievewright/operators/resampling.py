@@ -1,0 +1,201 @@
+"""Bootstrap, permutation and exact intervals over the rows of a cell.
+
+Streams of pseudo-random numbers are part of the results, so each cell is drawn by one NumPy or Python generator inside
+one task. A cell is a vector of at most a few million numbers; rows reach it as pre-aggregated contributions.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Draws made at once, to bound memory.
+BLOCK = 500
+
+
+def interval(values: np.ndarray, alpha: float = 0.05) -> tuple[float, float]:
+    """Two-sided percentile interval with linear interpolation."""
+    v = np.asarray(values, np.float64)
+    if not v.size or not np.isfinite(v).all():
+        raise ValueError("an interval needs finite values")
+    low, high = np.quantile(v, [alpha / 2, 1 - alpha / 2], method="linear")
+    return float(low), float(high)
+
+
+def bootstrap_means(values: np.ndarray, draws: int, seed: int, block: int = BLOCK) -> np.ndarray:
+    """Means of resamples with replacement, drawn row by row from one generator."""
+    rng = np.random.default_rng(seed)
+    parts = [values[rng.integers(0, values.size, size=(min(block, draws - s), values.size))].mean(axis=1) for s in range(0, draws, block)]
+    return np.concatenate(parts)
+
+
+def mean_interval(values: np.ndarray, draws: int, seed: int) -> dict[str, float]:
+    """Mean, percentile interval and standard error of a vector; at least 100 draws."""
+    v = np.asarray(values, np.float64)
+    if not v.size or not np.isfinite(v).all() or draws < 100:
+        raise ValueError("needs a nonempty finite vector and at least 100 draws")
+    low, high = interval(bootstrap_means(v, draws, seed))
+    return {"n": v.size, "estimate": float(v.mean()), "ci_low": low, "ci_high": high, "se": float(v.std(ddof=1) / math.sqrt(v.size)) if v.size > 1 else 0.0}
+
+
+def ratio_interval(num: np.ndarray, den: np.ndarray, draws: int, seed: int) -> dict[str, float | None]:
+    """Ratio of two paired means; both share the draws, and draws with a vanishing denominator are dropped and counted."""
+    rng = np.random.default_rng(seed)
+    found = []
+    for _ in range(draws):
+        at = rng.integers(0, num.size, size=num.size)
+        d = den[at].mean()
+        if abs(d) > 1e-12:
+            found.append(num[at].mean() / d)
+    low, high = interval(np.array(found)) if found else (None, None)
+    whole = float(den.mean())
+    return {"n": num.size, "estimate": float(num.mean() / whole) if abs(whole) > 1e-12 else None, "ci_low": low, "ci_high": high, "kept": len(found)}
+
+
+def hurdle(counts: np.ndarray, gains: np.ndarray, draws: int, seed: int) -> dict[str, float]:
+    """Mean gain of rows with a success minus that of rows without, resampled apart."""
+    floor, above = gains[counts == 0], gains[counts > 0]
+    if not floor.size or not above.size:
+        raise ValueError("needs rows on both sides")
+    rng = np.random.default_rng(seed)
+    out = np.empty(draws)
+    for i in range(draws):
+        low = floor[rng.integers(0, floor.size, size=floor.size)].mean()
+        out[i] = above[rng.integers(0, above.size, size=above.size)].mean() - low
+    a, b = interval(out)
+    return {"n": gains.size, "estimate": float(above.mean() - floor.mean()), "ci_low": a, "ci_high": b}
+
+
+def truncated_interval(values: list[float], draws: int, seed: int, alpha: float = 0.05) -> tuple[float, float]:
+    """Interval with Python's generator and truncated ranks; NaN for no values."""
+    if not values:
+        return math.nan, math.nan
+    rng, n = random.Random(seed), len(values)
+    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(draws))
+    return means[int(alpha / 2 * draws)], means[min(draws - 1, int((1 - alpha / 2) * draws))]
+
+
+def side_swap_null(scores: np.ndarray, swapped: np.ndarray, draws: int, seed: int) -> dict[str, float]:
+    """Null of pair scores when the sides of each row are swapped by a coin."""
+    rng, n = random.Random(seed), len(scores)
+    seen = float(np.sum(scores)) / n
+    null = [sum(s if rng.random() < 0.5 else o for o, s in zip(scores, swapped, strict=True)) / n for _ in range(draws)]
+    return {"n": n, "observed": seen, "null_mean": sum(null) / draws, "p_value": (sum(x >= seen for x in null) + 1) / (draws + 1)}
+
+
+def overlap_null(a: set, b: set, universe: list, draws: int, seed: int) -> dict[str, float]:
+    """Null of the Jaccard overlap of two sets when sets of their sizes are drawn from the sorted universe."""
+    rng, pool = np.random.default_rng(seed), np.arange(len(universe))
+    seen = len(a & b) / len(a | b) if a | b else 0.0
+    null = []
+    for _ in range(draws):
+        x, y = set(rng.choice(pool, len(a), replace=False).tolist()), set(rng.choice(pool, len(b), replace=False).tolist())
+        null.append(len(x & y) / len(x | y) if x | y else 0.0)
+    return {"n": len(universe), "observed": seen, "null_mean": float(np.mean(null)), "p_value": (sum(v >= seen for v in null) + 1) / (draws + 1)}
+
+
+def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
+    """Exact binomial interval by bisection on the tails; the ends are exact for no and for all successes."""
+
+    def tail(p: float, lo: int, hi: int) -> float:
+        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(lo, hi + 1)]
+        return math.fsum(math.exp(x) for x in logs)
+
+    def solve(f) -> float:
+        lo, hi = 0.0, 1.0
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if f(mid) else (lo, mid)
+        return (lo + hi) / 2
+
+    low = 0.0 if k == 0 else solve(lambda p: p == 0 or tail(p, k, n) < alpha / 2)
+    high = 1.0 if k == n else solve(lambda p: p < 1 and (p == 0 or tail(p, 0, k) > alpha / 2))
+    return low, high
+
+
+def digest_seed(base: int, name: str) -> int:
+    """Seed of a named stream."""
+    return (base + int.from_bytes(hashlib.sha256(name.encode()).digest()[:4], "big")) % 2**32
+
+
+def rollout_orders(label: str, condition: str, item: str, rollouts: int = 16, sizes: int = 4, replicates: int = 20, base: int = 20260710) -> np.ndarray:
+    """Orders of the rollouts of one item, from a stream of its own: adding items changes no other item's orders."""
+    grid = np.tile(np.arange(rollouts, dtype=np.int8), (sizes * replicates, 1))
+    return np.random.default_rng(digest_seed(base, f"{label}|{condition}|{item}")).permuted(grid, axis=1)
+
+
+def grouped_folds(keys: list[str], k: int, seed: int) -> dict[str, int]:
+    """Fold of each key: sorted, shuffled by Python's generator, dealt in turn."""
+    order = sorted(set(keys))
+    random.Random(seed).shuffle(order)
+    return {key: i % k for i, key in enumerate(order)}
+
+
+def ridge_scores(x: np.ndarray, y: np.ndarray, folds: np.ndarray, penalty: float = 0.01) -> np.ndarray:
+    """Out-of-fold scores of a ridge discriminant on columns scaled by the training folds; constant columns scale by 1."""
+    out = np.zeros(len(y))
+    for f in np.unique(folds):
+        train, test = folds != f, folds == f
+        mean, sd = x[train].mean(axis=0), x[train].std(axis=0)
+        sd = np.where(sd < 1e-8, 1.0, sd)
+        z, t = (x[train] - mean) / sd, np.where(y[train] > 0, 1.0, -1.0)
+        w = np.linalg.solve(z.T @ z + penalty * np.eye(z.shape[1]), z.T @ t)
+        sign = 1.0 if rank_auc(z @ w, y[train]) >= 0.5 else -1.0
+        out[test] = sign * (((x[test] - mean) / sd) @ w)
+    return out
+
+
+def rank_auc(score: np.ndarray, y: np.ndarray) -> float:
+    """Area under the curve from average ranks; NaN where a class is empty."""
+    pos, neg = int((y > 0).sum()), int((y <= 0).sum())
+    if not pos or not neg:
+        return math.nan
+    _, inverse, counts = np.unique(score, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
+    return float((ranks[y > 0].sum() - pos * (pos + 1) / 2) / (pos * neg))
+
+
+_CELL = "n long, estimate double, ci_low double, ci_high double, se double"
+
+
+def bootstrap_cells(rows: DataFrame, by: list[str], value: str, ordinal: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """Mean and interval of every cell, resampled over its rows in the order of ``ordinal``.
+
+    The stream of a cell depends on ``seed`` and its row order only. Null values raise.
+    """
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    lean = rows.select(*by, ordinal, F.col(value).cast("double").alias("__v"))
+
+    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values(ordinal, kind="stable")["__v"].to_numpy()
+        return pd.DataFrame([{**dict(zip(by, key, strict=True)), **mean_interval(v, draws, seed)}])
+
+    return lean.groupBy(*by).applyInPandas(cell, ", ".join(f"`{c}` {types[c]}" for c in by) + ", " + _CELL)
+
+
+def rollout_stability(rollouts: DataFrame, by: list[str], key: str, bits: str, label: str, condition: str, sizes: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
+    """Success rates of subsamples of an item's rollouts, 20 replicates a size: ``key``, ``k``, ``replicate``, ``rate``.
+
+    Items have streams of their own, so partitioning does not matter. ``bits``: array of booleans.
+    """
+
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                values = np.asarray(getattr(row, bits), bool)
+                orders = rollout_orders(label, condition, str(getattr(row, key)), len(values), len(sizes)).astype(np.intp)
+                for i, k in enumerate(sizes):
+                    rates = values[orders[i * 20 : (i + 1) * 20, :k]].mean(axis=1)
+                    out += [tuple(getattr(row, b) for b in by) + (getattr(row, key), k, r + 1, float(v)) for r, v in enumerate(rates)]
+            yield pd.DataFrame(out, columns=[*by, key, "k", "replicate", "rate"])
+
+    types = {f.name: f.dataType.simpleString() for f in rollouts.schema.fields}
+    head = "".join(f"`{b}` {types[b]}, " for b in by)
+    return rollouts.select(*by, key, bits).mapInPandas(draw, head + f"`{key}` {types[key]}, k int, replicate int, rate double")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievewright.queries import training
+from sievewright.queries import reference, training
 
-_MODULES = (training,)
+_MODULES = (reference, training)
 
 
 def queries() -> dict:
