@@ -1,0 +1,144 @@
+"""Stable samples, grouped splits, components and the cosine join on small cases, against brute force."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievewright.operators import grouped_split, split_overlap, stable_sample
+from sievewright.operators.components import hash_to_min
+from sievewright.operators.cosine_join import cosine_pairs, unit_vectors
+
+POINT = "array<struct<label:string,x:int,y:int>>"
+ROW = f"ordinal long, split string, pair_id string, mother_item_id string, image_a_sha256 string, image_b_sha256 string, scene_a {POINT}, scene_b {POINT}, provenance struct<generator:string>"
+
+
+def scene(seed, n=8):
+    r = random.Random(seed)
+    return [(f"{chr(65 + i)}{r.randint(2, 9)}", r.randint(-7, 7), r.randint(-7, 7)) for i in range(n)]
+
+
+def test_sample_is_stable_and_grows(spark):
+    a = spark.range(2000).select(F.concat(F.lit("k"), (F.col("id") % 500).cast("string")).alias("k"), "id")
+    b = a.union(spark.range(2000, 4000).select(F.concat(F.lit("k"), (F.col("id") % 900).cast("string")), "id"))
+    keys = lambda df, rate: {r[0] for r in stable_sample.stable_sample(df, "k", rate).select("k").collect()}
+    assert keys(a, 0.2) == keys(a.repartition(7), 0.2)
+    assert keys(a, 0.2) <= keys(b, 0.2) and keys(a, 0.1) <= keys(a, 0.2)
+    whole = stable_sample.stable_sample(a, "k", 0.2).groupBy("k").count().select("count").distinct().collect()
+    assert [r[0] for r in whole] == [4]
+    assert 60 < len(keys(a, 0.2)) < 140
+
+
+def test_sample_edges(spark):
+    df = spark.createDataFrame([(None, 1), ("", 2), ("x" * 100_000, 3), ("a", 4), ("a", 4)], "k string, v int")
+    assert stable_sample.stable_sample(df, "k", 1.0).count() == 4
+    assert stable_sample.stable_sample(df, "k", 0.0).count() == 0
+    assert stable_sample.stable_sample(df.limit(0), "k", 0.5).count() == 0
+    with pytest.raises(ValueError):
+        stable_sample.stable_sample(df.withColumn("sample_key", F.lit(1)), "k", 0.5)
+    with pytest.raises(ValueError):
+        stable_sample.stable_sample(df, "k", 1.5)
+
+
+def brute_components(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(f"n{r.randint(0, 60):03d}", f"n{r.randint(0, 60):03d}") for _ in range(40)]
+    edges += [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(30)] + [("s000", f"s{i:03d}") for i in range(1, 40)]
+    df = spark.createDataFrame([*edges, *edges[:5], (None, "x"), ("y", None)], "a string, b string")
+    assert {r["node"]: r["component"] for r in hash_to_min(df).collect()} == brute_components(edges)
+    assert hash_to_min(df.limit(0)).count() == 0
+
+
+def test_tied_groups_and_split(spark):
+    rows = [(1, "m1", "m1__l1"), (2, "M1 ", None), (3, None, "m1__l3_r2"), (4, "m2", "m3__l1"), (5, "m3", None), (6, None, None), (7, "", "  "), (8, "m9", "m9__l2"), (8, "m9", "m9__l2")]
+    df = spark.createDataFrame(rows, "ordinal long, mother_item_id string, pair_id string").withColumn("component", F.lit("clash"))
+    from sievewright.functions.keys import item_key, pair_mother_key
+
+    shares = spark.createDataFrame([("s", "train", 0.5), ("s", "test", 0.5), ("t", "train", 1.0), ("t", "test", 0.0)], "scheme string, split string, target_share double")
+    out = grouped_split.grouped_split(df, [item_key("mother_item_id"), pair_mother_key("pair_id")], shares)
+    first = {r["ordinal"]: r["first_ordinal"] for r in out.collect()}
+    assert first == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
+    by = out.groupBy("scheme", "first_ordinal").agg(F.count_distinct("split").alias("n")).where("n > 1").count()
+    assert by == 0
+    assert {r["split"] for r in out.where("scheme = 't'").collect()} == {"train"}
+    assert grouped_split.grouped_split(df.limit(0), [item_key("mother_item_id")], shares).count() == 0
+
+
+def test_rendezvous_shares(spark):
+    df = spark.range(20_000).select(grouped_split.rendezvous(F.col("id").cast("string"), [("a", 0.6), ("b", 0.3), ("c", 0.1)]).alias("s"))
+    got = {r["s"]: r["count"] / 20_000 for r in df.groupBy("s").count().collect()}
+    assert abs(got["a"] - 0.6) < 0.02 and abs(got["b"] - 0.3) < 0.02 and abs(got["c"] - 0.1) < 0.02
+
+
+@pytest.mark.parametrize("weighting,threshold", [("binary", 0.5), ("binary", 0.8), ("idf", 0.5), ("idf", 0.3)])
+def test_cosine_join_is_exact(spark, weighting, threshold):
+    r = random.Random(5)
+    rows = []
+    for i in range(150):
+        base = rows[r.randrange(len(rows))][1] if rows and r.random() < 0.5 else [r.randint(0, 80) for _ in range(r.choice([1, 2, 5, 8, 12]))]
+        rows.append((f"k{i:03d}", [t if r.random() < 0.8 else r.randint(0, 80) for t in base]))
+    df = spark.createDataFrame([*rows, ("null", None), ("none", [])], "key string, terms array<long>")
+    vectors = unit_vectors(df, "key", "terms", weighting)
+    vecs = {v["key"]: {x["t"]: x["w"] for x in v["vec"]} for v in vectors.collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(vecs), 2) if sum(w * vecs[b].get(t, 0) for t, w in vecs[a].items()) >= threshold - 1e-9}
+    got = cosine_pairs(vectors, threshold).collect()
+    assert {(x["key_1"], x["key_2"]) for x in got} == want and len(got) == len(want)
+    assert cosine_pairs(vectors.limit(0), threshold).count() == 0
+
+
+def overlap_rows(spark):
+    s = [scene(i) for i in range(12)]
+    near = [*s[0][:6], ("Z9", 0, 0), (s[0][7][0], s[0][7][1], -s[0][7][2] + 1)]
+    failed = "f" * 64
+    rows = [
+        (1, "training", "m1__l1", "m1", "a" * 64, "b" * 64, s[0], s[1]),
+        (2, "development", "m2__l1", "m2", "SHA256:" + "A" * 64, None, None, None),  # shares an image with 1
+        (3, "confirmatory", "m3__l1", "m3", None, None, list(reversed(near)), s[2]),  # near scene of 1
+        (4, "development", "M1__L3 ", None, None, None, None, None),  # names the item of 1
+        (5, "training", "m5__l1", "m5", failed, None, s[3], s[4]),
+        (6, "development", "m6__l1", "m6", failed, None, s[5], s[6]),
+        (7, "development", "m7__l1", "m7", failed, None, s[7], s[8]),
+        (8, "development", None, None, None, None, None, None),
+        (9, None, "m1__l1", "m1", None, None, None, None),
+        (10, "training", "m2__l2", "m2", None, None, None, None),  # ties 2 and, over it, all of 1
+    ]
+    return spark.createDataFrame([(*r, ("g",)) for r in rows], ROW).withColumn("class_id", F.lit(1))
+
+
+def test_overlaps(spark):
+    classed = split_overlap.classes(split_overlap.scene_rows(overlap_rows(spark)))
+    pairs = {(r["train_ordinal"], r["other_ordinal"]) for r in split_overlap.overlaps(classed).collect()}
+    assert pairs == {(t, o) for t in (1, 10) for o in (2, 3, 4)}
+    links = {r["ordinal"]: r["n_links"] for r in split_overlap.class_links(classed).collect()}
+    assert links[1] == 3 and links[2] == 2 and links[8] == 0 and links[6] == 0
+    report = split_overlap.overlap_report(classed).agg(F.sum("n_pairs")).first()[0]
+    assert report == len(pairs)
+
+
+def test_overlaps_of_nothing(spark):
+    empty = overlap_rows(spark).limit(0)
+    classed = split_overlap.classes(split_overlap.scene_rows(empty))
+    assert split_overlap.overlaps(classed).count() == 0
+
+
+def test_large_class_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(split_overlap, "CLASS_BLOCK", 7)
+    df = spark.range(60).select(F.col("id").alias("ordinal"), F.when(F.col("id") % 3 == 0, "training").otherwise("development").alias("split"), F.lit("g").alias("source"), F.lit("c").alias("class_id"))
+    pairs = [(r["train_ordinal"], r["other_ordinal"]) for r in split_overlap.overlaps(df).collect()]
+    assert len(pairs) == len(set(pairs)) == 20 * 40
