@@ -15,8 +15,8 @@ def average_rank(value: str, by: list[str]) -> Column:
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Spearman correlation with tied ranks per group; null where a side is constant."""
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
-    constant = (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(~constant, F.round(F.corr("rx", "ry"), 9)).alias("rho"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.try_divide(F.covar_pop("rx", "ry"), spread), 9).alias("rho"))
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def ks_statistic(df: DataFrame, value: str, label: str, by: list[str]) -> DataFr
     """Two-sample Kolmogorov-Smirnov distance per group. Values are counted first, so windows run over distinct values."""
     counted = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(label).cast("int")).alias("a"), F.sum(1 - F.col(label).cast("int")).alias("b"))
     w, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
+    gap = F.abs(F.try_divide(F.sum("a").over(w), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(w), F.sum("b").over(whole)))
     return counted.select(*by, "a", "b", gap.alias("gap")).groupBy(*by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.round(F.max("gap"), 9).alias("d"))
 
 

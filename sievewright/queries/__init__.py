@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievewright.queries import reference, training
+from sievewright.queries import reference, reports, training
 
-_MODULES = (reference, training)
+_MODULES = (reference, reports, training)
 
 
 def queries() -> dict:

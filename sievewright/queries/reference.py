@@ -247,7 +247,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, SCENES).where("image_a_path is not null").select("ordinal", text.has_forbidden(F.col("image_a_path"), validate.FORBIDDEN).alias("telling"))
 
 
-@query("p08_markers", "select ordinal, case when m = k then problem when m = 0 and k > 0 then repeat('<image>', k) || ' ' || problem end as problem from (select ordinal, problem, len(images) as k, (length(problem) - length(replace(problem, '<image>', ''))) // 7 as m from mixture_profiles where problem is not null and images is not null)")
+@query("proj08_markers", "select ordinal, case when m = k then problem when m = 0 and k > 0 then repeat('<image>', k) || ' ' || problem end as problem from (select ordinal, problem, len(images) as k, (length(problem) - length(replace(problem, '<image>', ''))) // 7 as m from mixture_profiles where problem is not null and images is not null)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "mixture_profiles").where("problem is not null and images is not null")
     return rows.select("ordinal", text.repair_markers(F.col("problem"), F.size("images")).alias("problem"))
