@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sievewright.session import cut
+from sievewright.operators.components import hash_to_min
+from sievewright.session import broadcast_if_small, cut
+
+#: Members of an inverted list above which near copies are merged before pairs are listed.
+LONG_LIST = 500
 
 
 def unit_vectors(rows: DataFrame, key: str, terms: str, weighting: str = "binary") -> DataFrame:
@@ -45,13 +48,13 @@ def _prefix(threshold: float) -> F.Column:
     return F.coalesce(F.get(able, F.lit(0)), size)
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of vectors with cosine of at least ``threshold``: ``key_1`` < ``key_2``, ``cosine``.
+def _bounded(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Inverted lists (``list``, ``key``) and vectors as maps (``key``, ``v``).
 
-    Exact. Terms are ordered by rarity. With maximum-weight and residual-norm bounds every vector is cut to the prefix
-    in which a partner has to share two terms (or one, for vectors too short to hold two); inverted lists are kept for
-    pairs of prefix terms, which are short even where single terms are frequent. Candidates are verified by the exact
-    dot product. ``vectors``: as of ``unit_vectors``, one row a key.
+    Terms are ordered by rarity. With maximum-weight and residual-norm bounds every vector is cut to the prefix in
+    which a partner has to share two terms; inverted lists are kept for pairs of prefix terms, which are short even
+    where single terms are frequent. Vectors in which the product of one term may reach the threshold by itself make
+    lists of single terms necessary.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
@@ -61,19 +64,75 @@ def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     prefix = cut(bounded.withColumn("p", _prefix(threshold)))
     part = prefix.select("key", F.transform(F.slice("vec", 1, F.col("p")), lambda x: x["t"]).alias("ts"), F.expr("exists(vec, x -> x.w * x.m >= %r - 1e-9)" % threshold).alias("single"))
     combos = F.flatten(F.transform("ts", lambda t, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda u: F.xxhash64(t, u))))
-    # a product of one term may reach the threshold by itself: such vectors keep lists of single terms as well
-    any_single = part.where("single").limit(1).count() > 0
     posted = part.select("key", F.explode(combos).alias("list"))
-    if any_single:
+    if part.where("single").limit(1).count() > 0:
         posted = posted.unionByName(part.select("key", F.explode(F.transform("ts", lambda t: F.xxhash64(t, F.lit("single")))).alias("list")))
-    ends = posted.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").select("list")
-    posted = posted.join(ends, "list", "left_semi")
-    left, right = posted.select("list", F.col("key").alias("key_1")), posted.select("list", F.col("key").alias("key_2"))
-    found = left.join(right, "list").where("key_1 < key_2").select("key_1", "key_2").distinct()
     lean = prefix.select("key", F.map_from_entries(F.transform("vec", lambda x: F.struct(x["t"], x["w"]))).alias("v"))
+    return posted, lean
+
+
+def _verified(found: DataFrame, lean: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (``key_1``, ``key_2``) whose exact dot product reaches the threshold."""
     both = found.join(lean.select(F.col("key").alias("key_1"), F.col("v").alias("v1")), "key_1").join(lean.select(F.col("key").alias("key_2"), F.col("v").alias("v2")), "key_2")
     dot = F.aggregate(F.map_keys("v1"), F.lit(0.0), lambda a, t: a + F.element_at("v1", t) * F.coalesce(F.try_element_at("v2", t), F.lit(0.0)))
     return both.select("key_1", "key_2", dot.alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
 
 
-EMPTY_PAIRS = T.StructType([T.StructField("key_1", T.StringType()), T.StructField("key_2", T.StringType()), T.StructField("cosine", T.DoubleType())])
+def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of vectors with cosine of at least ``threshold``: ``key_1`` < ``key_2``, ``cosine``.
+
+    Exact. ``vectors``: as of ``unit_vectors``, one row a key. The result has every pair, so it grows as the number of
+    similar pairs does; ``cosine_links`` gives what is needed to form classes.
+    """
+    posted, lean = _bounded(vectors, threshold)
+    several = posted.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").select("list")
+    posted = posted.join(several, "list", "left_semi")
+    left, right = posted.select("list", F.col("key").alias("key_1")), posted.select("list", F.col("key").alias("key_2"))
+    return _verified(left.join(right, "list").where("key_1 < key_2").select("key_1", "key_2").distinct(), lean, threshold)
+
+
+def cosine_links(vectors: DataFrame, groups: DataFrame, threshold: float, long_list: int = LONG_LIST, rounds: int = 4) -> DataFrame:
+    """Links between groups of vectors that form the classes of the cosine relation: ``a``, ``b`` (group names).
+
+    ``groups``: key, group (one row a key): vectors of one group belong together already. The links, joined with the
+    groups, connect exactly the vectors that chains of pairs of at least ``threshold`` connect. A list whose members
+    lie in one group is skipped. While lists of several groups are longer than ``long_list``, their members are
+    compared with one member each (another one each round) and the groups merged, so near copies collapse before
+    pairs are listed; then the members outside the largest group of a list are compared with all of it.
+    """
+    posted, lean = _bounded(vectors, threshold)
+    posted = cut(posted)
+    links = None
+    state = groups.select("key", "group")
+    for number in range(rounds):
+        placed = posted.join(state, "key")
+        lists = placed.groupBy("list").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.min_by("key", F.xxhash64("key", F.lit(number))).alias("leader"))
+        long = cut(lists.where((F.col("lo") != F.col("hi")) & (F.col("n") > long_list)).select("list", "leader"))
+        if long.limit(1).count() == 0:
+            break
+        pairs = posted.join(long, "list").where("key <> leader").select(F.least("key", "leader").alias("key_1"), F.greatest("key", "leader").alias("key_2")).distinct()
+        found = cut(_as_links(_verified(_across(pairs, state), lean, threshold), state))
+        links = found if links is None else links.unionByName(found)
+        merged = hash_to_min(found)
+        state = cut(state.join(broadcast_if_small(merged.select(F.col("node").alias("group"), "component")), "group", "left").select("key", F.coalesce("component", "group").alias("group")))
+    placed = posted.join(state, "key")
+    by_group = placed.groupBy("list", "group").agg(F.count("*").alias("n"))
+    lists = by_group.groupBy("list").agg(F.max_by("group", F.struct("n", "group")).alias("most"), F.count("*").alias("g")).where("g > 1").select("list", "most")
+    open_lists = placed.join(lists, "list")
+    left = open_lists.where("group <> most").select("list", F.col("key").alias("k1"), F.col("group").alias("g1"))
+    right = open_lists.select("list", F.col("key").alias("k2"), F.col("group").alias("g2"), (F.col("group") == F.col("most")).alias("main"))
+    pairs = left.join(right, "list").where((F.col("g1") != F.col("g2")) & (F.col("main") | (F.col("k1") < F.col("k2")))).select(F.least("k1", "k2").alias("key_1"), F.greatest("k1", "k2").alias("key_2")).distinct()
+    last = _as_links(_verified(pairs, lean, threshold), state)
+    return last if links is None else links.unionByName(last)
+
+
+def _across(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different groups."""
+    one = pairs.join(state.select(F.col("key").alias("key_1"), F.col("group").alias("g1")), "key_1")
+    return one.join(state.select(F.col("key").alias("key_2"), F.col("group").alias("g2")), "key_2").where("g1 <> g2").select("key_1", "key_2")
+
+
+def _as_links(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Pairs of keys as distinct pairs of groups."""
+    one = pairs.join(state.select(F.col("key").alias("key_1"), F.col("group").alias("a")), "key_1")
+    return one.join(state.select(F.col("key").alias("key_2"), F.col("group").alias("b")), "key_2").where("a <> b").select("a", "b").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievewright.operators import grouped_split, split_overlap, stable_sample
 from sievewright.operators.components import hash_to_min
-from sievewright.operators.cosine_join import cosine_pairs, unit_vectors
+from sievewright.operators.cosine_join import cosine_links, cosine_pairs, unit_vectors
 
 POINT = "array<struct<label:string,x:int,y:int>>"
 ROW = f"ordinal long, split string, pair_id string, mother_item_id string, image_a_sha256 string, image_b_sha256 string, scene_a {POINT}, scene_b {POINT}, provenance struct<generator:string>"
@@ -102,6 +102,23 @@ def test_cosine_join_is_exact(spark, weighting, threshold):
     assert cosine_pairs(vectors.limit(0), threshold).count() == 0
 
 
+@pytest.mark.parametrize("long_list", [3, 1000])
+def test_cosine_links_form_the_same_classes(spark, long_list):
+    r = random.Random(9)
+    rows, centre = [], list(range(10))
+    for i in range(120):
+        base = centre if i % 3 == 0 else [r.randint(20, 400) for _ in range(10)]
+        rows.append((f"k{i:03d}", [t if r.random() < 0.8 else r.randint(0, 400) for t in base]))
+    df = spark.createDataFrame(rows, "key string, terms array<long>")
+    vectors = unit_vectors(df, "key", "terms")
+    groups = vectors.select("key", F.when(F.col("key") < "k030", F.lit("g0")).otherwise(F.col("key")).alias("group"))
+    pairs = [(x["key_1"], x["key_2"]) for x in cosine_pairs(vectors, 0.5).collect()]
+    of = {x["key"]: x["group"] for x in groups.collect()}
+    want = brute_components([(of[a], of[b]) for a, b in pairs if of[a] != of[b]])
+    got = brute_components([(x["a"], x["b"]) for x in cosine_links(vectors, groups, 0.5, long_list).collect()])
+    assert got == want and len(want) > 20
+
+
 def overlap_rows(spark):
     s = [scene(i) for i in range(12)]
     near = [*s[0][:6], ("Z9", 0, 0), (s[0][7][0], s[0][7][1], -s[0][7][2] + 1)]
