@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievewright.functions.binding import let
+
 #: Spellings of units, in order of priority, and the unit they stand for.
 UNITS = (
     (r"square\s+centimeters?|cm\^?2", "cm2"),
@@ -36,11 +38,6 @@ _NAMED = r"(?i)(?:final answer|answer)\s*[:：]"
 _DEPTH = 4
 
 
-def let(value: Column, body) -> Column:
-    """An expression over a value that is computed once, however often the expression uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _boxed_body(depth: int) -> str:
     """Pattern of balanced text in braces, nested up to ``depth``."""
     inner = r"[^{}]*"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievewright.functions.binding import let
+
 
 def normalize_text(c: Column) -> Column:
     """Contamination normal form: lower case with sharp s as ss, image markers and everything but letters, digits and underscores as one blank."""
@@ -19,14 +21,18 @@ def tokens(normalized: Column) -> Column:
 
 def word_ngrams(words: Column, n: int = 5) -> Column:
     """Distinct word n-grams; empty for fewer than ``n`` words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+    def shingles(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+    return let(words, shingles)
 
 
 def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     """Share of common elements; two empty sets give ``empty`` (1 between texts, 0 between result sets)."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("common"), F.size(F.array_union(a, b)).alias("union"))
+    return let(sizes, lambda x: F.when(x["union"] == 0, F.lit(empty)).otherwise(x["common"] / x["union"]))
 
 
 def has_forbidden(c: Column, forbidden: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from sievewright.session import broadcast_if_small
 HASH_REMOVE, HASH_INSPECT = 6, 10
 JACCARD_REMOVE, JACCARD_INSPECT = 0.80, 0.70
 DISTINCTIVE_WORDS = 5
-#: 64 bits in one band more than the largest distance: two hashes that close agree in one band at least.
-BANDS = tuple((sum(6 if j < 9 else 5 for j in range(i)), 6 if i < 9 else 5) for i in range(11))
+#: Blocks of 16 bits into which a hash is cut.
+BLOCKS = 4
 
 
 def record_keys(records: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
@@ -42,30 +44,37 @@ def exact_edges(train: DataFrame, held: DataFrame) -> DataFrame:
     return shown.unionByName(qa).unionByName(q)
 
 
-def _band_values(c: Column) -> Column:
-    """Band number and value of a 64-bit hash in hexadecimal digits, for every band."""
-    bits = F.lpad(F.conv(F.substring(c, 1, 8), 16, 2), 32, "0"), F.lpad(F.conv(F.substring(c, 9, 8), 16, 2), 32, "0")
-    text = F.concat(*bits)
-    return F.array(*[F.concat(F.lit(f"{i}:"), F.substring(text, at + 1, n)) for i, (at, n) in enumerate(BANDS)])
+def _near_masks(radius: int) -> list[int]:
+    """All 16-bit masks of at most ``radius`` bits."""
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(16), r)]
+
+
+def _block_keys(prefix: int, c: Column) -> list[Column]:
+    """Number and value of each 16-bit block of a hash in hexadecimal digits, as one whole number."""
+    return [F.conv(F.substring(c, 4 * i + 1, 4), 16, 10).cast("int") + F.lit((prefix + i) << 16) for i in range(BLOCKS)]
 
 
 def hash_edges(train: DataFrame, held: DataFrame, most: int = HASH_INSPECT) -> DataFrame:
-    """Pairs whose smaller distance of the two perceptual hashes is at most ``most`` (up to 10): ``distance`` and action.
+    """Pairs whose smaller distance of the two perceptual hashes is at most ``most``: ``distance`` and action.
 
-    By the pigeonhole principle such hashes agree in one of eleven bands; bands are joined by equality and the exact
-    distance decides. Rows without hashes or with images that do not apply take no part.
+    By the pigeonhole principle one of the four 16-bit blocks of such hashes differs in at most ``most // 4`` bits. The
+    held-out side lists every block value in that reach (137 of 65,536 for a distance of 10), the training side its
+    own; equal values are joined and the exact distance decides. Rows without hashes or with images that do not apply
+    take no part.
     """
-    if not 0 <= most < len(BANDS):
-        raise ValueError(f"distance must be below {len(BANDS)}")
+    if not 0 <= most <= 15:
+        raise ValueError("distance must lie in [0, 15]")
+    masks = F.array(*[F.lit(m) for m in _near_masks(most // BLOCKS)])
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        real = df.where("image_applicable").select(F.col("record_id").alias(name), "phash64", "dhash64").where("phash64 is not null and dhash64 is not null")
-        bands = F.concat(F.transform(_band_values(F.col("phash64")), lambda x: F.concat(F.lit("p"), x)), F.transform(_band_values(F.col("dhash64")), lambda x: F.concat(F.lit("d"), x)))
-        return real.select(name, F.col("phash64").alias(f"p_{name}"), F.col("dhash64").alias(f"d_{name}"), F.explode(bands).alias("band"))
+    def side(df: DataFrame, name: str, reach: bool) -> DataFrame:
+        real = df.where("image_applicable").select(F.col("record_id").alias(name), F.col("phash64").alias(f"p_{name}"), F.col("dhash64").alias(f"d_{name}")).where(f"p_{name} is not null and d_{name} is not null")
+        own = F.array(*_block_keys(0, F.col(f"p_{name}")), *_block_keys(BLOCKS, F.col(f"d_{name}")))
+        keyed = real.select("*", F.explode(own).alias("block"))
+        return keyed.select(name, f"p_{name}", f"d_{name}", F.explode(F.transform(masks, lambda m: F.col("block").bitwiseXOR(m))).alias("block")) if reach else keyed
 
-    a, b = side(train, "train_record_id"), side(held, "eval_record_id")
+    a, b = side(train, "train_record_id", False), side(held, "eval_record_id", True)
     distance = F.least(hamming64(F.col("p_train_record_id"), F.col("p_eval_record_id")), hamming64(F.col("d_train_record_id"), F.col("d_eval_record_id")))
-    found = a.join(b, "band").withColumn("distance", distance).where(F.col("distance") <= most)
+    found = a.join(b, "block").withColumn("distance", distance).where(F.col("distance") <= most)
     return found.select("train_record_id", "eval_record_id", "distance").distinct().select("*", F.lit("perceptual_hash").alias("signal"), F.when(F.col("distance") <= HASH_REMOVE, 2).otherwise(1).alias("action"))
 
 
