@@ -13,18 +13,25 @@ LONG_LIST = 500
 
 
 def unit_vectors(rows: DataFrame, key: str, terms: str, weighting: str = "binary") -> DataFrame:
-    """Unit vectors of sets of terms: ``key``, ``vec`` (array of struct<df, t, w>, rarest term first).
+    """Unit vectors of sets of terms: ``key``, ``vec`` (array of struct<df, t, w, m>, rarest term first).
 
-    Terms are 64-bit numbers. ``binary`` gives every term of a row the same weight, ``idf`` weighs by rarity over all
-    rows. Rows with null or empty terms have no vector and are left out; repeated terms count once.
+    Terms are 64-bit numbers; ``w`` is the weight, ``m`` the largest weight of the term in any vector. ``binary`` gives
+    every term of a row the same weight, ``idf`` weighs by rarity over all rows. Rows with a null key and rows with
+    null or empty terms have no vector and are left out; repeated terms count once.
     """
-    pairs = rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(terms)).alias("t")).where("key is not null and t is not null")
-    counts = pairs.groupBy("t").agg(F.count("*").alias("df"))
-    n = rows.where(F.size(terms) > 0).count() if weighting == "idf" else 1
-    weight = F.lit(1.0) if weighting == "binary" else F.log(1 + F.lit(float(n)) / F.col("df"))
-    weighted = pairs.join(counts, "t").select("key", "t", "df", weight.alias("w"))
-    grouped = weighted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "t", "w"))).alias("vec"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return grouped.select("key", F.transform("vec", lambda x: F.struct(x["df"].alias("df"), x["t"].alias("t"), (x["w"] / F.col("norm")).alias("w"))).alias("vec"))
+    named = rows.select(F.col(key).alias("key"), F.array_distinct(F.array_compact(terms)).alias("ts")).where("key is not null and size(ts) > 0")
+    if weighting == "binary":
+        flat = named.select("key", F.explode("ts").alias("t"), (1 / F.sqrt(F.size("ts"))).alias("w"))
+        stats = flat.groupBy("t").agg(F.count("*").alias("df"), F.max("w").alias("m"))
+        return flat.join(stats, "t").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "t", "w", "m"))).alias("vec"))
+    n = named.count()
+    flat = named.select("key", F.explode("ts").alias("t"))
+    counts = flat.groupBy("t").agg(F.count("*").alias("df"), F.log(1 + F.lit(float(n)) / F.count("*")).alias("raw"))
+    raw = flat.join(counts, "t")
+    norms = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    weighted = raw.join(norms, "key").select("key", "t", "df", (F.col("raw") / F.col("norm")).alias("w"))
+    high = weighted.groupBy("t").agg(F.max("w").alias("m"))
+    return weighted.join(high, "t").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "t", "w", "m"))).alias("vec"))
 
 
 def _prefix(threshold: float) -> F.Column:
@@ -49,7 +56,7 @@ def _prefix(threshold: float) -> F.Column:
 
 
 def _bounded(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Inverted lists (``list``, ``key``) and vectors as maps (``key``, ``v``).
+    """Inverted lists (``list``, ``key`` and other columns of the vectors) and vectors as maps (``key``, ``v``).
 
     Terms are ordered by rarity. With maximum-weight and residual-norm bounds every vector is cut to the prefix in
     which a partner has to share two terms; inverted lists are kept for pairs of prefix terms, which are short even
@@ -58,24 +65,22 @@ def _bounded(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    flat = vectors.select("key", F.explode("vec").alias("x")).select("key", "x.*")
-    high = flat.groupBy("t").agg(F.max("w").alias("m"))
-    bounded = flat.join(high, "t").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "t", "w", "m"))).alias("vec"))
-    prefix = cut(bounded.withColumn("p", _prefix(threshold)))
-    part = prefix.select("key", F.transform(F.slice("vec", 1, F.col("p")), lambda x: x["t"]).alias("ts"), F.expr("exists(vec, x -> x.w * x.m >= %r - 1e-9)" % threshold).alias("single"))
+    prefix = cut(vectors.withColumn("p", _prefix(threshold)))
+    extra = [c for c in vectors.columns if c not in ("key", "vec")]
+    part = prefix.select("key", *extra, F.transform(F.slice("vec", 1, F.col("p")), lambda x: x["t"]).alias("ts"), F.expr("exists(vec, x -> x.w * x.m >= %r - 1e-9)" % threshold).alias("single"))
     combos = F.flatten(F.transform("ts", lambda t, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda u: F.xxhash64(t, u))))
-    posted = part.select("key", F.explode(combos).alias("list"))
+    posted = part.select("key", *extra, F.explode(combos).alias("list"))
     if part.where("single").limit(1).count() > 0:
-        posted = posted.unionByName(part.select("key", F.explode(F.transform("ts", lambda t: F.xxhash64(t, F.lit("single")))).alias("list")))
+        posted = posted.unionByName(part.select("key", *extra, F.explode(F.transform("ts", lambda t: F.xxhash64(t, F.lit("single")))).alias("list")))
     lean = prefix.select("key", F.map_from_entries(F.transform("vec", lambda x: F.struct(x["t"], x["w"]))).alias("v"))
     return posted, lean
 
 
-def _verified(found: DataFrame, lean: DataFrame, threshold: float) -> DataFrame:
+def _verified(found: DataFrame, lean: DataFrame, threshold: float, keep: list[str] | None = None) -> DataFrame:
     """Candidates (``key_1``, ``key_2``) whose exact dot product reaches the threshold."""
     both = found.join(lean.select(F.col("key").alias("key_1"), F.col("v").alias("v1")), "key_1").join(lean.select(F.col("key").alias("key_2"), F.col("v").alias("v2")), "key_2")
     dot = F.aggregate(F.map_keys("v1"), F.lit(0.0), lambda a, t: a + F.element_at("v1", t) * F.coalesce(F.try_element_at("v2", t), F.lit(0.0)))
-    return both.select("key_1", "key_2", dot.alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
+    return both.select("key_1", "key_2", *(keep or []), dot.alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -100,39 +105,25 @@ def cosine_links(vectors: DataFrame, groups: DataFrame, threshold: float, long_l
     compared with one member each (another one each round) and the groups merged, so near copies collapse before
     pairs are listed; then the members outside the largest group of a list are compared with all of it.
     """
-    posted, lean = _bounded(vectors, threshold)
-    posted = cut(posted)
+    posted, lean = _bounded(vectors.join(groups.select("key", "group"), "key"), threshold)
+    several = posted.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("list")
+    open_lists = cut(posted.join(several, "list"))
     links = None
-    state = groups.select("key", "group")
     for number in range(rounds):
-        placed = posted.join(state, "key")
-        lists = placed.groupBy("list").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.min_by("key", F.xxhash64("key", F.lit(number))).alias("leader"))
-        long = cut(lists.where((F.col("lo") != F.col("hi")) & (F.col("n") > long_list)).select("list", "leader"))
+        lists = open_lists.groupBy("list").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.min_by(F.struct("key", "group"), F.xxhash64("key", F.lit(number))).alias("leader"))
+        long = lists.where((F.col("lo") != F.col("hi")) & (F.col("n") > long_list)).select("list", "leader")
+        pairs = open_lists.join(long, "list").where(F.col("group") != F.col("leader.group")).select(F.col("key").alias("key_1"), F.col("group").alias("a"), F.col("leader.key").alias("key_2"), F.col("leader.group").alias("b")).distinct()
         if long.limit(1).count() == 0:
             break
-        pairs = posted.join(long, "list").where("key <> leader").select(F.least("key", "leader").alias("key_1"), F.greatest("key", "leader").alias("key_2")).distinct()
-        found = cut(_as_links(_verified(_across(pairs, state), lean, threshold), state))
+        found = cut(_verified(pairs, lean, threshold, ["a", "b"]).select("a", "b").distinct())
         links = found if links is None else links.unionByName(found)
-        merged = hash_to_min(found)
-        state = cut(state.join(broadcast_if_small(merged.select(F.col("node").alias("group"), "component")), "group", "left").select("key", F.coalesce("component", "group").alias("group")))
-    placed = posted.join(state, "key")
-    by_group = placed.groupBy("list", "group").agg(F.count("*").alias("n"))
+        merged = hash_to_min(found).select(F.col("node").alias("group"), "component")
+        open_lists = cut(open_lists.join(broadcast_if_small(merged), "group", "left").select("list", "key", F.coalesce("component", "group").alias("group")))
+    by_group = open_lists.groupBy("list", "group").agg(F.count("*").alias("n"))
     lists = by_group.groupBy("list").agg(F.max_by("group", F.struct("n", "group")).alias("most"), F.count("*").alias("g")).where("g > 1").select("list", "most")
-    open_lists = placed.join(lists, "list")
-    left = open_lists.where("group <> most").select("list", F.col("key").alias("k1"), F.col("group").alias("g1"))
-    right = open_lists.select("list", F.col("key").alias("k2"), F.col("group").alias("g2"), (F.col("group") == F.col("most")).alias("main"))
-    pairs = left.join(right, "list").where((F.col("g1") != F.col("g2")) & (F.col("main") | (F.col("k1") < F.col("k2")))).select(F.least("k1", "k2").alias("key_1"), F.greatest("k1", "k2").alias("key_2")).distinct()
-    last = _as_links(_verified(pairs, lean, threshold), state)
+    placed = open_lists.join(lists, "list")
+    left = placed.where("group <> most").select("list", F.col("key").alias("key_1"), F.col("group").alias("a"))
+    right = placed.select("list", F.col("key").alias("key_2"), F.col("group").alias("b"), (F.col("group") == F.col("most")).alias("main"))
+    pairs = left.join(right, "list").where((F.col("a") != F.col("b")) & (F.col("main") | (F.col("key_1") < F.col("key_2")))).select("key_1", "a", "key_2", "b").distinct()
+    last = _verified(pairs, lean, threshold, ["a", "b"]).select("a", "b").distinct()
     return last if links is None else links.unionByName(last)
-
-
-def _across(pairs: DataFrame, state: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different groups."""
-    one = pairs.join(state.select(F.col("key").alias("key_1"), F.col("group").alias("g1")), "key_1")
-    return one.join(state.select(F.col("key").alias("key_2"), F.col("group").alias("g2")), "key_2").where("g1 <> g2").select("key_1", "key_2")
-
-
-def _as_links(pairs: DataFrame, state: DataFrame) -> DataFrame:
-    """Pairs of keys as distinct pairs of groups."""
-    one = pairs.join(state.select(F.col("key").alias("key_1"), F.col("group").alias("a")), "key_1")
-    return one.join(state.select(F.col("key").alias("key_2"), F.col("group").alias("b")), "key_2").where("a <> b").select("a", "b").distinct()

@@ -60,7 +60,8 @@ def scene_rows(scenes: DataFrame) -> DataFrame:
 def near_scenes(rows: DataFrame, groups: DataFrame, threshold: float = AGREEMENT) -> DataFrame:
     """Links between groups with scenes of a cosine of at least ``threshold``; each point weighs the same: ``a``, ``b``.
 
-    Copies are compared once: the join runs on distinct scenes. ``groups``: key (of a scene), group.
+    Copies are compared once: the join runs on distinct scenes. ``groups``: key (of a scene),
+    group.
     """
     sides = rows.select(F.col("shown_a").alias("shown"), F.col("points_a").alias("points")).unionByName(rows.select(F.col("shown_b").alias("shown"), F.col("points_b").alias("points")))
     distinct = sides.where("shown is not null").groupBy("shown").agg(F.first("points").alias("points"))
@@ -70,8 +71,8 @@ def near_scenes(rows: DataFrame, groups: DataFrame, threshold: float = AGREEMENT
 def classes(rows: DataFrame, threshold: float = AGREEMENT) -> DataFrame:
     """Each row with its class: ``ordinal``, ``split``, ``source``, ``class_id``.
 
-    A row is anchored at its first key; every key that sits on several anchors links them. Then near scenes link the
-    groups found so far. Digests link in a second step, when a digest that still sits on ``UNRELATED_SCENES`` or more classes with
+    A row is anchored at its first key; every key that sits on several anchors links them. Near scenes link the
+    anchors they sit on. Digests link in a second step, when a digest that still sits on ``UNRELATED_SCENES`` or more classes with
     scenes is known to stand for a failed render and is left out. A row without any key is in no class (null).
     """
     keys = ["mother", "pair", "shown_a", "shown_b"]
@@ -80,11 +81,10 @@ def classes(rows: DataFrame, threshold: float = AGREEMENT) -> DataFrame:
     held = rows.select("anchor", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key")).distinct()
     first = cut(held.groupBy("key").agg(F.min("anchor").alias("low"), F.max("anchor").alias("high")))
     shared = held.join(first.where("low <> high").select("key", "low"), "key").select(F.col("low").alias("a"), F.col("anchor").alias("b"))
-    named = hash_to_min(shared.where("a <> b").distinct())
-    scenes = first.where(F.col("key").startswith("s:")).select("key", F.col("low").alias("anchor"))
-    groups = cut(_labelled(scenes, named, "anchor", "group").select("key", "group"))
-    near = hash_to_min(near_scenes(anchored, groups, threshold))
-    labelled = cut(_labelled(_labelled(rows, named, "anchor", "named_class"), near, "named_class", "first_class"))
+    groups = first.where(F.col("key").startswith("s:")).select("key", F.col("low").alias("group"))
+    near = near_scenes(anchored, groups, threshold)
+    linked = hash_to_min(shared.where("a <> b").distinct().unionByName(near))
+    labelled = _labelled(rows, linked, "anchor", "first_class")
     sides = labelled.select("first_class", F.explode(F.array(F.struct(F.col("image_a").alias("image"), F.col("shown_a").alias("shown")), F.struct(F.col("image_b").alias("image"), F.col("shown_b").alias("shown")))).alias("x")).select("first_class", "x.*").where("image is not null")
     seen = sides.groupBy("image", "first_class").agg(F.max(F.col("shown").isNotNull().cast("int")).alias("with_scene"))
     by_image = seen.groupBy("image").agg(F.min("first_class").alias("low"), F.max("first_class").alias("high"), F.sum("with_scene").alias("n_scenes"))
