@@ -125,3 +125,25 @@ def corpus_key(category: Column, uid: Column, member: Column) -> Column:
     """Key of a stream row in its corpus: the natural id without its prefix, else uid and member."""
     natural = F.lower(uid).startswith("virl:")
     return F.when(natural, F.substring(uid, F.lit(6), F.length(uid))).otherwise(F.concat(uid, F.lit(":"), F.coalesce(member, F.lit(""))))
+
+
+def constructed_rows(scenes: DataFrame, key: str, order_key: Column, split: str = "training") -> DataFrame:
+    """Four adjacent training rows per item with rows of the layers l3 and probe, both of the split.
+
+    Items are shuffled by ``order_key``; members come in the order l3_a, l3_b, probe_a, probe_b. Output: ``ordinal``,
+    ``pair_group_uid``, ``pair_member``, ``answer``.
+    """
+    both = layer_pairs(scenes, key, "layer", "l3", "probe", ["split", "answer_a", "answer_b"])
+    kept = both.where((F.col("l3_split") == split) & (F.col("probe_split") == split))
+    placed = kept.withColumn("place", F.row_number().over(Window.orderBy(order_key, key)) - 1)
+    members = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f"{layer}_{s}").alias("pair_member"), F.col(f"{layer}_answer_{s}").alias("answer")) for i, (layer, s) in enumerate([("l3", "a"), ("l3", "b"), ("probe", "a"), ("probe", "b")])])
+    return placed.select("place", F.col(key).alias("pair_group_uid"), F.explode(members).alias("m")).select((F.col("place") * 4 + F.col("m.i")).cast("long").alias("ordinal"), "pair_group_uid", "m.pair_member", "m.answer")
+
+
+def packaged(pairs: DataFrame, key: str, salt: str) -> DataFrame:
+    """Release form of pairs: opaque ids, the order of the two members and of the pairs decided by salted digests.
+
+    Output: ``pair_id``, ``first_side``, ``place_key`` (sort by it), ``source_pair_id``.
+    """
+    digest = lambda what: F.sha2(F.concat_ws("\0", F.lit(salt), F.lit(what), F.col(key)), 256)
+    return pairs.where(F.col(key).isNotNull()).select(F.substring(digest("id"), 1, 16).alias("pair_id"), F.when(digest("side") < "8", "a").otherwise("b").alias("first_side"), digest("place").alias("place_key"), F.col(key).alias("source_pair_id")).distinct()

@@ -199,3 +199,41 @@ def rollout_stability(rollouts: DataFrame, by: list[str], key: str, bits: str, l
     types = {f.name: f.dataType.simpleString() for f in rollouts.schema.fields}
     head = "".join(f"`{b}` {types[b]}, " for b in by)
     return rollouts.select(*by, key, bits).mapInPandas(draw, head + f"`{key}` {types[key]}, k int, replicate int, rate double")
+
+
+def retention_interval(value: np.ndarray, reference: np.ndarray, chance: np.ndarray, draws: int, seed: int, fixed: bool = True) -> dict[str, float | None]:
+    """Chance-corrected retention with an interval; value, reference and chance share the draws.
+
+    ``fixed`` keeps the mean chance of all items in every draw, else it is averaged anew. Draws without room above
+    chance are dropped and counted.
+    """
+
+    def kept(v: float, r: float, c: float) -> float | None:
+        return (v - c) / (r - c) if abs(r - c) >= 1e-12 else None
+
+    rng, mean, found = np.random.default_rng(seed), float(chance.mean()), []
+    for _ in range(draws):
+        at = rng.integers(0, value.size, size=value.size)
+        x = kept(value[at].mean(), reference[at].mean(), mean if fixed else chance[at].mean())
+        if x is not None:
+            found.append(x)
+    low, high = interval(np.array(found)) if found else (None, None)
+    return {"n": value.size, "estimate": kept(float(value.mean()), float(reference.mean()), mean), "ci_low": low, "ci_high": high, "kept": len(found)}
+
+
+def key_shuffle_null(said: list, gold: list, template: list, draws: int, seed: int) -> dict[str, float]:
+    """Null of exact agreement when the golds are shuffled among the rows of a template."""
+    rng, n = random.Random(seed), len(said)
+    seen = sum(a == b for a, b in zip(said, gold, strict=True)) / n
+    groups: dict = {}
+    for i, t in enumerate(template):
+        groups.setdefault(t, []).append(i)
+    null = []
+    for _ in range(draws):
+        hits = 0
+        for rows in groups.values():
+            order = list(range(len(rows)))
+            rng.shuffle(order)
+            hits += sum(said[i] == gold[rows[j]] for i, j in zip(rows, order, strict=True))
+        null.append(hits / n)
+    return {"n": n, "observed": seen, "null_mean": sum(null) / draws, "p_value": (sum(x >= seen for x in null) + 1) / (draws + 1)}

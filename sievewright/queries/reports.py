@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import measures, text
-from sievewright.functions.answers import close, numeric_value, pair_score, plain_number
-from sievewright.functions.keys import unit_hash
+from sievewright.functions.answers import answers_equal, close, golds_equivalent, normalize_presentation, numeric_value, open_score, pair_score, plain_number, reward, satisfies_contract
+from sievewright.functions.keys import SQL_ITEM_KEY, item_key, unit_hash
 from sievewright.operators import attack, captions, compare, contamination, corpus, guards, project, ranking, resampling, validate
 from sievewright.plans import targets
-from sievewright.queries.base import ROLLOUTS, SCENES, TRIALS, rollouts, trials
+from sievewright.queries.base import RESPONSES, ROLLOUTS, SCENES, TRIALS, responses, rollouts, trials
 from sievewright.session import table
+from sievewright.sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -414,6 +415,88 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rho.groupBy("k").agg(F.round(F.avg("rho"), 9).alias("mean_rho"), F.round(F.min("rho"), 9).alias("low_rho"), F.count("rho").alias("n"))
 
 
+_vector_query("r07_retention", "n long, estimate double, ci_low double, ci_high double, kept long", lambda p: resampling.retention_interval(p["x"].to_numpy(), p["y"].to_numpy(), np.full(len(p), 0.125), 200, 1))
+_vector_query("r08_retention_anew", "n long, estimate double, ci_low double, ci_high double, kept long", lambda p: resampling.retention_interval(p["x"].to_numpy(), p["y"].to_numpy(), 1 / (4 + np.arange(len(p)) % 5), 200, 1, fixed=False))
+
+
+@query("r15_key_shuffle")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, SCENES).where("answer_a is not null and answer_b is not null").select("ordinal", "layer", "cell", "answer_a", "answer_b")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ordinal", kind="stable")
+        gold = list(zip(pdf["answer_a"], pdf["answer_b"], strict=True))
+        said = [g if o % 3 else (g[1], g[0]) for g, o in zip(gold, pdf["ordinal"], strict=True)]
+        return pd.DataFrame([{"layer": key[0], **resampling.key_shuffle_null(said, gold, pdf["cell"].tolist(), 50, 0)}])
+
+    return rows.groupBy("layer").applyInPandas(run, "layer string, n long, observed double, null_mean double, p_value double")
+
+
+@query("m09_two_roundings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Values printed with three decimals after rounding to four, both on the binary value."""
+
+    def printed(batches):
+        for pdf in batches:
+            yield pdf.assign(printed=[f"{float(f'{v:.4f}'):.3f}" for v in pdf["v"]])
+
+    return table(spark, d, "lineitem").select((F.col("l_extendedprice") / 7).alias("v")).distinct().mapInPandas(printed, "v double, printed string")
+
+
+@query("src07_audit_rows", f"with {ROLLOUTS} select qid, condition, {_P.format('bits')} / 16 as p_sample from rollouts")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    hits = F.size(F.filter("bits", lambda x: x))
+    rows = rollouts(spark, d).select("qid", "condition", F.col("bits").alias("sample_correct"), F.lit(16).alias("sample_count"), hits.alias("sample_correct_count"), (hits / 16).alias("p_sample"))
+    return readers.audit_rows(rows).select("qid", "condition", "p_sample")
+
+
+@query("m05_reward", f"with {RESPONSES}, u as (select record_id, floor(('0x' || substr(md5('dress|' || record_id), 1, 13))::bigint::double / 4503599627370496.0 * 6)::int as u from responses where trim(gold) <> '') select record_id, round((u < 5)::int * 0.9 + (u = 0)::int * 0.1, 9) as reward from u")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = open_score(F.col("prediction"), F.col("gold"))
+    rows = responses(spark, d).where(F.trim("gold") != "").select("record_id", "prediction", s.alias("s"))
+    return rows.select("record_id", F.round(reward(F.col("s.correct"), satisfies_contract(F.col("prediction"))), 9).alias("reward"))
+
+
+_MOTHER = SQL_ITEM_KEY.format("mother_item_id")
+
+
+@query(
+    "d05_constructed",
+    f"with s as (select *, {_MOTHER} as k from {SCENES} where mother_item_id is not null), a as (select k, arg_min(split, ordinal) as sp, arg_min(answer_a, ordinal) as x, arg_min(answer_b, ordinal) as y from s where layer = 'l3' group by k), b as (select k, arg_min(split, ordinal) as sp, arg_min(answer_a, ordinal) as x, arg_min(answer_b, ordinal) as y from s where layer = 'probe' group by k), j as (select a.k, a.x as m0, a.y as m1, b.x as m2, b.y as m3, row_number() over (order by md5(a.k), a.k) - 1 as place from a join b using (k) where a.sp = 'training' and b.sp = 'training' and k is not null) select (place * 4 + i)::bigint as ordinal, k as pair_group_uid, ['l3_a', 'l3_b', 'probe_a', 'probe_b'][i + 1] as pair_member, [m0, m1, m2, m3][i + 1] as answer from j, range(0, 4) as t(i)",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, SCENES).withColumn("mother", item_key("mother_item_id"))
+    return corpus.constructed_rows(s, "mother", F.md5("mother"))
+
+
+@query("d11_packaged", f"select distinct substr(sha256('r' || chr(0) || 'id' || chr(0) || pair_id), 1, 16) as pair_id, case when sha256('r' || chr(0) || 'side' || chr(0) || pair_id) < '8' then 'a' else 'b' end as first_side, sha256('r' || chr(0) || 'place' || chr(0) || pair_id) as place_key, pair_id as source_pair_id from {SCENES} where pair_id is not null")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.packaged(table(spark, d, SCENES), "pair_id", "r")
+
+
+@query("v03_captions", f"with {_MEMBERS} select 'bad_digest' as code, count(*) as n from c where not regexp_full_match(image_sha256, '[0-9a-f]{{64}}')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = validate.violations(_members(spark, d)[1], "image_sha256", captions.caption_rules())
+    return found.where("code = 'bad_digest'").agg(F.count("*").alias("n")).select(F.lit("bad_digest").alias("code"), "n")
+
+
+@query("v08_metadata", f"select ordinal, provenance.generator is not null and provenance.batch_seed >= 0 and verifier_results.n_points > 0 as valid from {SCENES}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, SCENES).select("ordinal", (F.col("provenance.generator").isNotNull() & (F.col("provenance.batch_seed") >= 0) & (F.col("verifier_results.n_points") > 0)).alias("valid"))
+
+
+@query("x07_presentation", "select * from (values ('$x$', 'x'), ('\\( y \\)', 'y'), ('\\text{Yes}', 'Yes'), ('90^\\circ', '90 degrees'), ('\\frac {1}{2}', '\\frac{1}{2}'), ('\\sqrt 2', '\\sqrt{2}'), ('a  b', 'a b')) as t(answer, shown)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("$x$", "\\( y \\)", "\\text{Yes}", "90^\\circ", "\\frac {1}{2}", "\\sqrt 2", "a  b")], "answer string")
+    return rows.select("answer", normalize_presentation(F.col("answer")).alias("shown"))
+
+
+@query("x10_x12_equal", "select * from (values ('3', '3.0', true, true), ('5 cm', '5', true, false), ('yes', 'Yes.', false, true), ('a', 'b', false, false), ('0.5', '1/2', true, true)) as t(a, b, equal, one_gold)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("3", "3.0"), ("5 cm", "5"), ("yes", "Yes."), ("a", "b"), ("0.5", "1/2")], "a string, b string")
+    return rows.select("a", "b", answers_equal(F.col("a"), F.col("b")).alias("equal"), golds_equivalent(F.col("a"), F.col("b")).alias("one_gold"))
+
+
 # ---- composite targets
 
 _TARGET_SQL = {

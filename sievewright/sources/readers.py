@@ -184,3 +184,31 @@ def image_records(rows: DataFrame, dataset: str, split: str, placeholder: str =
         "source",
         "category",
     )
+
+
+def audit_rows(df: DataFrame, rollouts: int = 16, schema_version: str | None = None) -> DataFrame:
+    """Audit rows whose counts agree: array length, number of true samples and rate within 1e-9; any other row raises while it is read."""
+    required_columns(df, ["sample_correct", "sample_count", "sample_correct_count", "p_sample"])
+    hits = F.size(F.filter("sample_correct", lambda x: x))
+    good = (F.size("sample_correct") == rollouts) & (F.col("sample_count") == rollouts) & (F.col("sample_correct_count") == hits) & (F.abs(F.col("p_sample") - hits / rollouts) <= 1e-9)
+    if schema_version is not None:
+        good = good & (F.col("schema_version") == schema_version)
+    return df.where(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("audit row with counts that disagree")).cast("boolean")))
+
+
+def filter_ids(ids: list) -> list[int]:
+    """Row ids of a filter: a nonempty list of unique whole numbers from 0 on."""
+    if not ids or any(isinstance(i, bool) or not isinstance(i, int) or i < 0 for i in ids) or len(set(ids)) != len(ids):
+        raise GuardError("ids must be nonempty, unique and not negative")
+    return list(ids)
+
+
+def pinned_text(path: str, sha256: str) -> str:
+    """A text file whose digest must be the one given."""
+    import hashlib
+
+    with open(path, "rb") as f:
+        data = f.read()
+    if hashlib.sha256(data).hexdigest() != sha256:
+        raise GuardError(f"digest of {path} differs")
+    return data.decode("utf-8")
