@@ -644,29 +644,29 @@ _STRATA = "select coalesce(source, 'unknown') as source, coalesce(category, 'unk
 
 @query(
     "d01_allocation",
-    f"with g as (select source, category, count(*) as n from ({_STRATA}) group by all), t as (select sum(n) as t from g), i as (select g.*, 80 * n / t as ideal from g, t), r as (select *, floor(ideal) as base, row_number() over (order by round(ideal - floor(ideal), 12) desc, n desc, source desc, category desc) as r from i) select source, category, n, (base + (r <= 80 - (select sum(floor(ideal)) from i))::int)::bigint as take from r",
+    f"with g as (select source, category, count(*) as n from ({_STRATA}) group by all), t as (select sum(n) as t from g), i as (select g.*, least(80, t) * n / t as ideal, least(80, t) as size from g, t), r as (select *, floor(ideal) as base, row_number() over (order by round(ideal - floor(ideal), 12) desc, n desc, source desc, category desc) as r from i) select source, category, n, (base + (r <= size - (select sum(floor(ideal)) from i))::int)::bigint as take from r",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "corpus_rows").select(F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("category", F.lit("unknown")).alias("category"))
-    return corpus.allocation(rows, ["source", "category"], 80)
+    return corpus.allocation(rows, ["source", "category"], min(80, rows.count()))
 
 
 @query("d02_stratified")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = compare.first_wins(table(spark, d, "corpus_rows").select("qid", F.coalesce("source", F.lit("unknown")).alias("source"), F.lit(0).alias("ordinal")), ["qid"])
-    return corpus.stratified_sample(rows, ["source"], "qid", 80, 7).select("qid", "source")
+    return corpus.stratified_sample(rows, ["source"], "qid", min(80, rows.count()), 7).select("qid", "source")
 
 
 @query(
     "d04_mixture",
-    f"with c as (select (row_number() over (order by ordinal) - 1) as o, {SQL_ITEM_KEY.format('pair_id')} as uid from {SCENES} where pair_id is not null and split = 'training'), n as (select row_number() over (order by md5(qid)) - 1 as o, 'virl:' || qid as uid from (select distinct qid from corpus_rows)), k as (select count(*) as k from c) select (i // 8 * 24 + i % 8)::bigint as ordinal, 'constructed' as arm_part, c.uid from range(0, 80) as t(i), k join c on c.o = i % k union all select (o // 16 * 24 + 8 + o % 16)::bigint, 'natural', uid from n where o < 160",
+    f"with c as (select (row_number() over (order by ordinal) - 1) as o, {SQL_ITEM_KEY.format('pair_id')} as uid from {SCENES} where pair_id is not null and split = 'training'), n as (select row_number() over (order by md5(qid)) - 1 as o, 'virl:' || qid as uid from (select distinct qid from corpus_rows)), k as (select count(*) as k from c) select (i // 8 * 24 + i % 8)::bigint as ordinal, 'constructed' as arm_part, c.uid from range(0, 16) as t(i), k join c on c.o = i % k union all select (o // 16 * 24 + 8 + o % 16)::bigint, 'natural', uid from n where o < 32",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     scenes = table(spark, d, SCENES).where("pair_id is not null and split = 'training'").select((F.row_number().over(Window.orderBy("ordinal")) - 1).alias("ordinal"), item_key("pair_id").alias("uid"))
     natural = table(spark, d, "corpus_rows").select("qid").distinct().select(F.concat(F.lit("virl:"), "qid").alias("uid"), F.md5("qid").alias("k"))
-    return corpus.mixture(scenes, natural, "1/3", 10, 24, F.col("k"), ["uid"])
+    return corpus.mixture(scenes, natural, "1/3", 2, 24, F.col("k"), ["uid"])
 
 
 @query("d06_freeze", _EDGES + ", out as (select distinct i.dataset, i.item_id from edge e join (select distinct record_id, dataset, item_id from decontamination) i on i.record_id = e.train_record_id where e.action = 'remove') select r.dataset, count(*) as n, count(distinct r.item_id) as items from decontamination r where r.split = 'train' and not exists (select 1 from out o where o.dataset = r.dataset and o.item_id = r.item_id) group by r.dataset")
