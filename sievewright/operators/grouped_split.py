@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.keys import unit_hash
 from sievewright.operators.components import hash_to_min
-from sievewright.session import broadcast_if_small, cut
+from sievewright.session import broadcast_if_small
 
 SALT = "grouped-split-v1"
 
@@ -25,8 +23,8 @@ def tied_groups(rows: DataFrame, keys: list[Column]) -> DataFrame:
     edges = named.where(F.size("__keys") > 1).select(F.col("__keys")[0].alias("a"), F.explode(F.slice("__keys", 2, len(keys))).alias("b")).distinct()
     found = hash_to_min(edges)
     keyed = named.withColumn("__key", F.get("__keys", F.lit(0)))
-    joined = keyed.join(broadcast_if_small(found.select(F.col("node").alias("__key"), "component")), "__key", "left")
-    return joined.withColumn("group_key", F.coalesce("component", "__key")).drop("__keys", "__key", "component")
+    joined = keyed.join(broadcast_if_small(found.select(F.col("node").alias("__key"), F.col("component").alias("__component"))), "__key", "left")
+    return joined.withColumn("group_key", F.coalesce("__component", "__key")).drop("__keys", "__key", "__component")
 
 
 def first_of_groups(grouped: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -51,7 +49,7 @@ def rendezvous(group: Column, shares: list[tuple[str, float]], salt: str = SALT)
     if not real:
         raise ValueError("no split has a positive share")
     drawn = [F.struct((-F.log(F.greatest(unit_hash(group, f"{salt}|{n}"), F.lit(1e-300))) / F.lit(float(s))).alias("k"), F.lit(n).alias("n")) for n, s in real]
-    return reduce(F.least, [drawn[0], *drawn[1:]])["n"] if len(drawn) == 1 else F.least(*drawn)["n"]
+    return drawn[0]["n"] if len(drawn) == 1 else F.least(*drawn)["n"]
 
 
 def grouped_split(rows: DataFrame, keys: list[Column], shares: DataFrame, ordinal: str = "ordinal", salt: str = SALT) -> DataFrame:
@@ -75,8 +73,3 @@ def split_report(assigned: DataFrame, shares: DataFrame) -> DataFrame:
     total = counted.groupBy("scheme").agg(F.sum("n_rows").alias("all_rows"))
     joined = shares.join(counted, ["scheme", "split"], "left").join(total, "scheme", "left")
     return joined.select("scheme", "split", "target_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.round(F.coalesce(F.col("n_rows"), F.lit(0)) / F.col("all_rows"), 9).alias("share"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A result that is read several times."""
-    return cut(df)

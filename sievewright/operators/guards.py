@@ -87,7 +87,7 @@ def matches(filters: dict[str, object]) -> Column:
             return want(c)
         if isinstance(want, list | tuple | set | frozenset):
             values = [v for v in want if v is not None]
-            hit = F.coalesce(c.isin(values), F.lit(False)) if values else F.lit(False)
+            hit = c.isin(values) if values else F.lit(False)
             return hit | c.isNull() if len(values) < len(want) else hit
         return c.eqNullSafe(F.lit(want))
 
