@@ -129,3 +129,20 @@ def test_stream(spark, tmp_path):
     assert got == {"1": (2, True), "2": (0, False), "3": (1, False)}
     batch = spark.read.schema(scoring.SCHEMA).json(str(source))
     assert scoring.rates(batch).first()["n"] == 3
+
+
+def test_audit_rows_and_filters(spark, tmp_path):
+    good = spark.createDataFrame([([True] * 4 + [False] * 12, 16, 4, 0.25)], "sample_correct array<boolean>, sample_count int, sample_correct_count int, p_sample double")
+    assert readers.audit_rows(good).count() == 1
+    bad = spark.createDataFrame([([True] * 4 + [False] * 12, 16, 5, 0.25), (None, 16, 4, 0.25)], good.schema)
+    with pytest.raises(Exception, match="counts that disagree"):
+        readers.audit_rows(bad).collect()
+    assert readers.filter_ids([2, 0]) == [2, 0]
+    for ids in ([], [1, 1], [-1], ["1"], [True]):
+        with pytest.raises(GuardError):
+            readers.filter_ids(ids)
+    path = tmp_path / "c.txt"
+    path.write_text("abc")
+    assert readers.pinned_text(str(path), "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad") == "abc"
+    with pytest.raises(GuardError):
+        readers.pinned_text(str(path), "0")

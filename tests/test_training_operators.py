@@ -159,3 +159,23 @@ def test_large_class_in_blocks(spark, monkeypatch):
     df = spark.range(60).select(F.col("id").alias("ordinal"), F.when(F.col("id") % 3 == 0, "training").otherwise("development").alias("split"), F.lit("g").alias("source"), F.lit("c").alias("class_id"))
     pairs = [(r["train_ordinal"], r["other_ordinal"]) for r in split_overlap.overlaps(df).collect()]
     assert len(pairs) == len(set(pairs)) == 20 * 40
+
+
+def test_tied_groups_keep_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "b", "x"), (2, "b", None, "y"), (3, None, None, "z")], "ordinal long, k string, l string, component string")
+    out = grouped_split.tied_groups(df, [F.col("k"), F.col("l")]).orderBy("ordinal").collect()
+    assert [(r["component"], r["group_key"]) for r in out] == [("x", "a"), ("y", "a"), ("z", None)]
+
+
+def test_near_copies_under_many_names(spark):
+    """A third of the rows shows one scene with small shifts, each under a name of its own."""
+    base = scene(1, 12)
+    rows = []
+    for i in range(90):
+        pts = base if i % 3 == 0 else scene(100 + i, 12)
+        if i % 3 == 0:
+            pts = [p if j != i % 12 else (p[0], p[1], 50 + i) for j, p in enumerate(pts)]
+        rows.append((i, "training" if i % 2 else "development", f"m{i}__l1", f"m{i}", None, None, pts, None, ("g",)))
+    classed = split_overlap.classes(split_overlap.scene_rows(spark.createDataFrame(rows, ROW)))
+    pairs = {(r["train_ordinal"], r["other_ordinal"]) for r in split_overlap.overlaps(classed).collect()}
+    assert pairs == {(a, b) for a in range(0, 90, 3) for b in range(0, 90, 3) if a % 2 and not b % 2}
