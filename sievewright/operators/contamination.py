@@ -23,8 +23,9 @@ BLOCKS = 4
 def record_keys(records: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
     """Records with ``question_key``, ``qa_key`` and ``words`` added. Empty questions have no key."""
     q = normalize_text(F.col(question))
-    named = records.withColumn("question_key", F.when(q != "", q))
-    return named.withColumn("qa_key", F.concat_ws("\x1f", "question_key", normalize_text(F.coalesce(F.col(answer), F.lit("")))).substr(F.lit(1), F.lit(1_000_000))).withColumn("qa_key", F.when(F.col("question_key").isNotNull(), F.col("qa_key"))).withColumn("words", tokens(F.coalesce(q, F.lit(""))))
+    named = records.withColumn("question_key", F.when(q != "", q)).withColumn("words", tokens(F.coalesce(q, F.lit(""))))
+    both = F.concat_ws("\x1f", "question_key", normalize_text(F.coalesce(F.col(answer), F.lit(""))))
+    return named.withColumn("qa_key", F.when(F.col("question_key").isNotNull(), both))
 
 
 def _pairs(train: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
@@ -36,10 +37,9 @@ def _pairs(train: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
 def exact_edges(train: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs with one image, one question and answer, or one question: ``signal``, ``action`` rank (1 inspect, 2 remove)."""
     shown = _pairs(train.where("image_applicable"), held.where("image_applicable"), ["image_sha256"]).select("*", F.lit("image_sha256_exact").alias("signal"), F.lit(2).alias("action"))
-    distinctive = F.size("words") >= DISTINCTIVE_WORDS
-    qa = _pairs(train.withColumn("long", distinctive), held.withColumn("long", distinctive), ["qa_key", "question_key"]).select("train_record_id", "eval_record_id").withColumn("signal", F.lit("question_answer_exact"))
-    sized = held.select(F.col("record_id").alias("eval_record_id"), distinctive.alias("long"))
-    qa = qa.join(sized, "eval_record_id").select("train_record_id", "eval_record_id", "signal", F.when(F.col("long"), 2).otherwise(1).alias("action"))
+    distinctive = held.withColumn("long", F.size("words") >= DISTINCTIVE_WORDS)
+    qa = train.select(F.col("record_id").alias("train_record_id"), "qa_key").join(distinctive.select(F.col("record_id").alias("eval_record_id"), "qa_key", "long"), "qa_key")
+    qa = qa.select("train_record_id", "eval_record_id", F.lit("question_answer_exact").alias("signal"), F.when(F.col("long"), 2).otherwise(1).alias("action"))
     q = _pairs(train, held, ["question_key"]).select("*", F.lit("question_exact").alias("signal"), F.lit(1).alias("action"))
     return shown.unionByName(qa).unionByName(q)
 
