@@ -25,7 +25,7 @@ def feature_auc(table: DataFrame, features: list[str]) -> DataFrame:
 
 
 def discriminant(table: DataFrame, key: str, features: list[str], folds: int = 5, seed: int = 0, draws: int = 200, scope: str | None = None) -> DataFrame:
-    """Out-of-fold area of a ridge discriminant with a bootstrap over pairs, per scope.
+    """Out-of-fold area of a ridge discriminant with a bootstrap over pairs, per scope of any size.
 
     Both members of a pair lie in one fold. Returns scope, n_pairs, auc, folded (at least one half), ci_low, ci_high.
     """
@@ -38,14 +38,15 @@ def discriminant(table: DataFrame, key: str, features: list[str], folds: int = 5
         y = pdf["label"].to_numpy()
         score = ridge_scores(pdf[features].to_numpy(np.float64), y, pdf[key].map(fold).to_numpy())
         whole = rank_auc(score, y)
-        keys, where = np.unique(pdf[key].to_numpy(), return_inverse=True)
-        rows = [np.flatnonzero(where == i) for i in range(len(keys))] if len(keys) < 5_000 else None
+        start, size = np.unique(pdf[key].to_numpy(), return_index=True, return_counts=True)[1:]
         rng, found = np.random.default_rng(seed), []
-        for _ in range(draws if rows else 0):
-            at = np.concatenate([rows[i] for i in rng.integers(0, len(keys), len(keys))])
+        for _ in range(draws):
+            pick = rng.integers(0, len(start), len(start))
+            ends = np.cumsum(size[pick])
+            at = np.repeat(start[pick] - ends + size[pick], size[pick]) + np.arange(ends[-1])
             v = rank_auc(score[at], y[at])
             found.append(max(v, 1 - v))
         low, high = interval(np.array(found)) if found else (None, None)
-        return pd.DataFrame([{"scope": str(group[0]), "n_pairs": len(keys), "auc": whole, "folded": max(whole, 1 - whole), "ci_low": low, "ci_high": high}])
+        return pd.DataFrame([{"scope": str(group[0]), "n_pairs": len(start), "auc": whole, "folded": max(whole, 1 - whole), "ci_low": low, "ci_high": high}])
 
     return lean.groupBy(name).applyInPandas(run, "scope string, n_pairs long, auc double, folded double, ci_low double, ci_high double")
