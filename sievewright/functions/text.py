@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +18,24 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(lowered, "<image>", " "), r"[^\p{L}\p{N}_]+", " "))
 
 
+def normalize_unicode(c: Column) -> Column:
+    """Contamination normal form of any text: NFKC, full case folding, image markers and runs of other than word characters as one blank.
+
+    Texts of ASCII characters alone, where ``normalize_text`` gives the same, stay in the engine; the rest is folded in Python.
+    """
+
+    def fold(value: str) -> str:
+        lowered = unicodedata.normalize("NFKC", value).casefold().replace("<image>", " ")
+        return re.sub(r"\W+", " ", lowered).strip(" ")
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(fold, na_action="ignore")
+
+    wide = c.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(folded(F.when(wide, c)), normalize_text(F.when(~wide, c)))
+
+
 def tokens(normalized: Column) -> Column:
     """Words of a normalised text; empty for an empty text."""
     return F.filter(F.split(normalized, " "), lambda x: x != "")

@@ -1,7 +1,12 @@
 """Queries and operators do the whole job at every size: no switch or cap by the number of rows."""
 
+import hashlib
+import re
+import unicodedata
+
 import numpy as np
 
+from sievewright import queries
 from sievewright.operators import attack
 from sievewright.operators.resampling import grouped_folds, interval, rank_auc, ridge_scores
 
@@ -26,3 +31,17 @@ def test_discriminant_has_an_interval_for_many_pairs(spark):
         folded.append(max(a, 1 - a))
     assert found["n_pairs"] == 5_200
     assert np.allclose([found["ci_low"], found["ci_high"]], interval(np.array(folded)))
+
+
+def folded(value):
+    lowered = unicodedata.normalize("NFKC", value).casefold().replace("<image>", " ")
+    return " ".join(re.sub(r"[^\w]+", " ", lowered, flags=re.UNICODE).split())
+
+
+def test_normal_form_of_texts_in_any_language(spark, tmp_path):
+    texts = ["Ｆｕｌｌ　Ｗｉｄｔｈ １２", "Straße <IMAGE> ﬁve", "图像，红色 三角形", "ｶﾞﾗｽ の 値", "ΣΊΣΥΦΟΣ İstanbul", "n\u0303o e\u0301", "x² ½ Ⅻ", "  plain_ASCII, <image>text! ", "", "，", "<image>", "a\u00a0b\n\tc", "हिन्दी भाषा", None]
+    langs = ["zh", "de", "zh", "ja", None, "es", "und", "EN", "en-x", "ZH", "en", "fr", "hi", "en"]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["digest"] for r in queries.queries()["x01_normalize"](spark, str(tmp_path)).collect()}
+    assert found == {i: hashlib.md5(folded(t).encode()).hexdigest() for i, t, _ in rows if t is not None}
