@@ -663,11 +663,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     f"with c as (select (row_number() over (order by ordinal) - 1) as o, {SQL_ITEM_KEY.format('pair_id')} as uid from {SCENES} where pair_id is not null and split = 'training'), n as (select row_number() over (order by md5(qid)) - 1 as o, 'virl:' || qid as uid from (select distinct qid from corpus_rows)), k as (select count(*) as k from c) select (i // 8 * 24 + i % 8)::bigint as ordinal, 'constructed' as arm_part, c.uid from range(0, 16) as t(i), k join c on c.o = i % k union all select (o // 16 * 24 + 8 + o % 16)::bigint, 'natural', uid from n where o < 32",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """As many windows as the natural pool fills: of 240 rows, of 24 where it does not fill one of 240. The SQL has two windows of 24."""
     from pyspark.sql import Window
 
     scenes = table(spark, d, SCENES).where("pair_id is not null and split = 'training'").select((F.row_number().over(Window.orderBy("ordinal")) - 1).alias("ordinal"), item_key("pair_id").alias("uid"))
     natural = table(spark, d, "corpus_rows").select("qid").distinct().select(F.concat(F.lit("virl:"), "qid").alias("uid"), F.md5("qid").alias("k"))
-    return corpus.mixture(scenes, natural, "1/3", 2, 24, F.col("k"), ["uid"])
+    pool = natural.count()
+    batch = 240 if pool >= 160 else 24
+    return corpus.mixture(scenes, natural, "1/3", max(1, pool // (batch - batch // 3)), batch, F.col("k"), ["uid"])
 
 
 @query("d06_freeze", _EDGES + ", out as (select distinct i.dataset, i.item_id from edge e join (select distinct record_id, dataset, item_id from decontamination) i on i.record_id = e.train_record_id where e.action = 'remove') select r.dataset, count(*) as n, count(distinct r.item_id) as items from decontamination r where r.split = 'train' and not exists (select 1 from out o where o.dataset = r.dataset and o.item_id = r.item_id) group by r.dataset")

@@ -228,8 +228,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w07_cycled", f"with p as (select row_number() over (order by ordinal) - 1 as o, ordinal from {SCENES} where role = 'invariance' and split = 'training'), n as (select count(*) as n from p) select i as draw, p.ordinal from range(0, 1000) as t(i), n join p on p.o = i % n.n")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Twice the pool, and at least 1,000 draws. The SQL has 1,000."""
     pool = table(spark, d, SCENES).where("role = 'invariance' and split = 'training'").select((F.row_number().over(Window.orderBy("ordinal")) - 1).alias("o"), "ordinal")
-    return corpus.cycled(pool, 1000, "o").select("draw", "ordinal")
+    return corpus.cycled(pool, max(1000, 2 * pool.count()), "o").select("draw", "ordinal")
 
 
 @query("w10_even_odd", "select pair, n, questions from (select ordinal // 2 as pair, count(*) as n, count(distinct problem) as questions from mixture_profiles group by 1) where questions > 1")
@@ -317,9 +318,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d10_resume", "select 100::bigint as n")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the table is done. The SQL has 100 rows."""
     rows = table(spark, d, "mixture_profiles").select("ordinal", "pair_group_uid")
     source = rows.withColumn("ordinal", F.row_number().over(Window.orderBy("ordinal")) - 1)
-    return spark.createDataFrame([(corpus.resume_prefix(source, source.where("ordinal < 100"), ["pair_group_uid"]),)], "n long")
+    done = source.where(F.col("ordinal") < rows.count() // 3)
+    return spark.createDataFrame([(corpus.resume_prefix(source, done, ["pair_group_uid"]),)], "n long")
 
 
 @query("d12_attack_set", f"select ordinal, md5(pair_id) < '8' as swapped, case when md5(pair_id) < '8' then answer_b else answer_a end as first_answer from {SCENES} where role <> 'invariance' and pair_id is not null")

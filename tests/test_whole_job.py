@@ -45,3 +45,31 @@ def test_normal_form_of_texts_in_any_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["doc_id"]: r["digest"] for r in queries.queries()["x01_normalize"](spark, str(tmp_path)).collect()}
     assert found == {i: hashlib.md5(folded(t).encode()).hexdigest() for i, t, _ in rows if t is not None}
+
+
+def scenes_and_corpus(spark, path, n_scenes, n_items):
+    scenes = [(i, f"p{i}", "training", "invariance") for i in range(n_scenes)]
+    spark.createDataFrame(scenes, "ordinal long, pair_id string, split string, role string").write.parquet(f"{path}/scene_training_n8_l3_first.parquet")
+    spark.createDataFrame([(f"q{i}",) for i in range(n_items)], "qid string").write.parquet(f"{path}/corpus_rows.parquet")
+
+
+def test_mixture_uses_the_natural_pool_and_cycles(spark, tmp_path):
+    scenes_and_corpus(spark, tmp_path, 50, 500)
+    rows = sorted(queries.queries()["d04_mixture"](spark, str(tmp_path)).collect(), key=lambda r: r["ordinal"])
+    assert [r["ordinal"] for r in rows] == list(range(3 * 240))
+    natural = sorted((f"q{i}" for i in range(500)), key=lambda q: hashlib.md5(q.encode()).hexdigest())[: 3 * 160]
+    assert [r["uid"] for r in rows if r["arm_part"] == "natural"] == [f"virl:{q}" for q in natural]
+    constructed = [r["uid"] for r in rows if r["arm_part"] == "constructed"]
+    assert [r["ordinal"] % 240 < 80 for r in rows] == [r["arm_part"] == "constructed" for r in rows]
+    assert len(set(constructed[:50])) == 50 and constructed == [constructed[i % 50] for i in range(3 * 80)]
+
+
+def test_cycled_draws_go_round_a_large_pool(spark, tmp_path):
+    scenes_and_corpus(spark, tmp_path, 1_200, 1)
+    rows = queries.queries()["w07_cycled"](spark, str(tmp_path)).collect()
+    assert sorted((r["draw"], r["ordinal"]) for r in rows) == [(i, i % 1_200) for i in range(2_400)]
+
+
+def test_resumed_prefix_grows_with_the_table(spark, tmp_path):
+    spark.createDataFrame([(i, f"u{i // 4}") for i in range(900)], "ordinal long, pair_group_uid string").write.parquet(str(tmp_path / "mixture_profiles.parquet"))
+    assert queries.queries()["d10_resume"](spark, str(tmp_path)).first()["n"] == 300
