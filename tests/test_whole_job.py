@@ -7,7 +7,7 @@ import unicodedata
 import numpy as np
 
 from sievewright import queries
-from sievewright.operators import attack
+from sievewright.operators import attack, guards
 from sievewright.operators.resampling import grouped_folds, interval, rank_auc, ridge_scores
 
 
@@ -73,3 +73,11 @@ def test_cycled_draws_go_round_a_large_pool(spark, tmp_path):
 def test_resumed_prefix_grows_with_the_table(spark, tmp_path):
     spark.createDataFrame([(i, f"u{i // 4}") for i in range(900)], "ordinal long, pair_group_uid string").write.parquet(str(tmp_path / "mixture_profiles.parquet"))
     assert queries.queries()["d10_resume"](spark, str(tmp_path)).first()["n"] == 300
+
+
+def test_shard_is_whole_and_its_limit_optional(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"arm{i % 3}") for i in range(2_001)], "ordinal long, arm string")
+    rows.write.parquet(str(tmp_path / "mixture_profiles.parquet"))
+    found = queries.queries()["f03_shard"](spark, str(tmp_path)).collect()
+    assert sorted((r["ordinal"], r["arm"]) for r in found) == [(i, f"arm{i % 3}") for i in range(1, 2_001, 4)]
+    assert sorted(r["ordinal"] for r in guards.shard(rows, 4, 1, limit=200).collect()) == list(range(1, 801, 4))
