@@ -389,14 +389,6 @@ def _overlap(pdf: pd.DataFrame) -> dict:
     return resampling.overlap_null(a, b, universe, 50, 1)
 
 
-def _slope(pdf: pd.DataFrame) -> dict:
-    x, y = np.arange(len(pdf), dtype=float), pdf["x"].to_numpy()
-    rng = np.random.default_rng(5)
-    found = [np.polyfit(x[i], y[i], 1)[0] for i in (rng.integers(0, len(x), len(x)) for _ in range(100))]
-    low, high = resampling.interval(np.array(found))
-    return {"slope": float(np.polyfit(x, y, 1)[0]), "ci_low": low, "ci_high": high}
-
-
 _vector_query("r02_r03_mean", "low double, high double", lambda p: dict(zip(("low", "high"), resampling.interval(resampling.bootstrap_means(p["x"].to_numpy(), 500, 20260710, 200)), strict=True)))
 _vector_query("r04_truncated", "low double, high double", lambda p: dict(zip(("low", "high"), resampling.truncated_interval(p["x"].tolist(), 50, 0), strict=True)))
 _vector_query("r05_difference", "n long, estimate double, ci_low double, ci_high double, se double", lambda p: resampling.mean_interval((p["y"] - p["x"]).to_numpy(), 500, 3))
@@ -405,7 +397,40 @@ _vector_query("r11_r12_exact", "low double, high double", lambda p: dict(zip(("l
 _vector_query("r14_side_swap", "n long, observed double, null_mean double, p_value double", lambda p: resampling.side_swap_null(p["x"].to_numpy(), p["y"].to_numpy(), 50, 0))
 _vector_query("r16_overlap_null", "n long, observed double, null_mean double, p_value double", _overlap)
 _vector_query("r20_hurdle", "n long, estimate double, ci_low double, ci_high double", lambda p: resampling.hurdle(p["x"].to_numpy().astype(int), p["y"].to_numpy(), 200, 0))
-_vector_query("r22_slope", "slope double, ci_low double, ci_high double", _slope)
+
+
+_DOSES = {"dose_zero": 0.0, "dose_third": 1 / 3, "dose_half": 1 / 2, "dose_twothirds": 2 / 3, "dose_full": 1.0}
+
+
+@query("r22_slope")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes of the held-out accuracy of five arms on the mass of their rows, raw and standardised over band and learnability.
+
+    An arm's outcomes and a row's share of success that needs the image are made by fixed hashes.
+    """
+    b = F.col("base_accuracy")
+    kept = table(spark, d, "mixture_profiles").where(b.isNotNull() & ~F.isnan(b) & F.col("arm").isin(list(_DOSES)) & F.col("pair_group_uid").isNotNull())
+    stratum = ranking.decile_band(b) * 2 + ((b > 0) & (b < 1)).cast("int")
+    rows = kept.select("arm", F.lpad(F.col("ordinal").cast("string"), 20, "0").alias("key"), F.when(F.col("pair_group_uid").startswith("virl:"), F.col("pair_group_uid")).alias("natural"), stratum.cast("int").alias("stratum"), (b * unit_hash(F.col("ordinal").cast("string"), "necessity")).alias("v"))
+    items = table(spark, d, SCENES).where("split <> 'training'").select(item_key("pair_id").alias("key")).where("key is not null").distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), (unit_hash(F.col("key"), f"slope|{a}") < 0.4 + 0.2 * f).cast("double").alias("v")) for a, f in _DOSES.items()]))
+    outcomes = items.select("key", each.alias("x")).select("x.arm", "key", F.lit(None).cast("string").alias("natural"), F.lit(None).cast("int").alias("stratum"), "x.v")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        held, trained = pdf[pdf["stratum"].isna()], pdf[pdf["stratum"].notna()]
+        made = trained.loc[trained["natural"].isna()].groupby("key")["v"].first().mean()
+        raw, strata = [], []
+        for arm, dose in _DOSES.items():
+            own = trained[trained["arm"] == arm]
+            natural = own[own["natural"].notna()].drop_duplicates("natural")["v"].mean() if dose < 1 else 0.0
+            raw.append(dose * made + (1 - dose) * natural)
+            strata.append({int(k): g.to_numpy() for k, g in own.groupby("stratum")["v"]})
+        y = np.stack([held.loc[held["arm"] == arm, "v"].to_numpy() for arm in _DOSES])
+        found = resampling.slope_interval(y, np.array(raw), strata)
+        return pd.DataFrame([{"kind": k, "n": y.shape[1], "slope": v[0], "ci_low": v[1], "ci_high": v[2]} for k, v in found.items()])
+
+    return rows.unionByName(outcomes).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "kind string, n long, slope double, ci_low double, ci_high double")
 
 
 @query("r29_stability")

@@ -8,7 +8,7 @@ import numpy as np
 
 from sievewright import queries
 from sievewright.operators import attack, guards
-from sievewright.operators.resampling import grouped_folds, interval, rank_auc, ridge_scores
+from sievewright.operators.resampling import grouped_folds, interval, rank_auc, ridge_scores, slope_interval
 
 
 def test_discriminant_has_an_interval_for_many_pairs(spark):
@@ -81,3 +81,26 @@ def test_shard_is_whole_and_its_limit_optional(spark, tmp_path):
     found = queries.queries()["f03_shard"](spark, str(tmp_path)).collect()
     assert sorted((r["ordinal"], r["arm"]) for r in found) == [(i, f"arm{i % 3}") for i in range(1, 2_001, 4)]
     assert sorted(r["ordinal"] for r in guards.shard(rows, 4, 1, limit=200).collect()) == list(range(1, 801, 4))
+
+
+def test_slopes_vary_with_items_and_strata():
+    rng = np.random.default_rng(3)
+    y, raw = rng.integers(0, 2, (3, 40)).astype(float), np.array([0.0, 0.5, 1.0])
+    strata = [{1: rng.random(9) + f, 2: rng.random(5 + i) * f, 7 + i: rng.random(3)} for i, f in enumerate(raw)]
+    draw, slopes = np.random.default_rng(11), []
+    for _ in range(60):
+        level = y[:, draw.integers(0, 40, 40)].mean(axis=1)
+        x = [sum(w / 45 * s[k][draw.integers(0, len(s[k]), len(s[k]))].mean() for k, w in ((1, 27), (2, 18))) for s in strata]
+        slopes.append((np.polyfit(raw, level, 1)[0], np.polyfit(x, level, 1)[0]))
+    found = slope_interval(y, raw, strata, 60, 11)
+    assert np.allclose(found["raw"][1:], interval(np.array(slopes)[:, 0]))
+    assert np.allclose(found["standardised"][1:], interval(np.array(slopes)[:, 1]))
+    flat = np.tile(y[:1, :1], (3, 40)) + raw[:, None]
+    low, high = slope_interval(flat, raw, strata, 60, 11)["standardised"][1:]
+    assert low < high and np.allclose(slope_interval(flat, raw, strata, 60, 11)["raw"], 1.0)
+
+
+def test_slope_query_lists_both_exposures(spark):
+    rows = {r["kind"]: r for r in queries.queries()["r22_slope"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(rows) == {"raw", "standardised"}
+    assert all(r["ci_low"] <= r["slope"] <= r["ci_high"] for r in rows.values())
