@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Draws made at once, to bound memory.
 BLOCK = 500
+#: Numbers drawn at once; the stream does not depend on it.
+WIDEST = 8_000_000
 
 
 def interval(values: np.ndarray, alpha: float = 0.05) -> tuple[float, float]:
@@ -30,7 +32,7 @@ def interval(values: np.ndarray, alpha: float = 0.05) -> tuple[float, float]:
 
 def bootstrap_means(values: np.ndarray, draws: int, seed: int, block: int = BLOCK) -> np.ndarray:
     """Means of resamples with replacement, drawn row by row from one generator."""
-    rng = np.random.default_rng(seed)
+    rng, block = np.random.default_rng(seed), max(1, min(block, WIDEST // values.size))
     parts = [values[rng.integers(0, values.size, size=(min(block, draws - s), values.size))].mean(axis=1) for s in range(0, draws, block)]
     return np.concatenate(parts)
 
@@ -83,9 +85,11 @@ def truncated_interval(values: list[float], draws: int, seed: int, alpha: float
 
 def side_swap_null(scores: np.ndarray, swapped: np.ndarray, draws: int, seed: int) -> dict[str, float]:
     """Null of pair scores when the sides of each row are swapped by a coin."""
-    rng, n = random.Random(seed), len(scores)
+    state, n = random.Random(seed).getstate()[1], len(scores)
+    rng = np.random.RandomState()  # the same generator as Python's, which gives the same numbers
+    rng.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
     seen = float(np.sum(scores)) / n
-    null = [sum(s if rng.random() < 0.5 else o for o, s in zip(scores, swapped, strict=True)) / n for _ in range(draws)]
+    null = [float(np.where(rng.random_sample(n) < 0.5, swapped, scores).sum()) / n for _ in range(draws)]
     return {"n": n, "observed": seen, "null_mean": sum(null) / draws, "p_value": (sum(x >= seen for x in null) + 1) / (draws + 1)}
 
 
@@ -95,8 +99,11 @@ def overlap_null(a: set, b: set, universe: list, draws: int, seed: int) -> dict[
     seen = len(a & b) / len(a | b) if a | b else 0.0
     null = []
     for _ in range(draws):
-        x, y = set(rng.choice(pool, len(a), replace=False).tolist()), set(rng.choice(pool, len(b), replace=False).tolist())
-        null.append(len(x & y) / len(x | y) if x | y else 0.0)
+        held = np.zeros(len(pool), bool)
+        held[rng.choice(pool, len(a), replace=False)] = True
+        common = int(held[rng.choice(pool, len(b), replace=False)].sum())
+        union = len(a) + len(b) - common
+        null.append(common / union if union else 0.0)
     return {"n": len(universe), "observed": seen, "null_mean": float(np.mean(null)), "p_value": (sum(v >= seen for v in null) + 1) / (draws + 1)}
 
 
@@ -257,12 +264,15 @@ def key_shuffle_null(said: list, gold: list, template: list, draws: int, seed: i
     groups: dict = {}
     for i, t in enumerate(template):
         groups.setdefault(t, []).append(i)
+    codes: dict = {}
+    left, right = (np.array([codes.setdefault(v, len(codes)) for v in side]) for side in (said, gold))
+    sides = [(left[rows], right[rows]) for rows in groups.values()]
     null = []
     for _ in range(draws):
         hits = 0
-        for rows in groups.values():
-            order = list(range(len(rows)))
+        for a, b in sides:
+            order = list(range(len(a)))
             rng.shuffle(order)
-            hits += sum(said[i] == gold[rows[j]] for i, j in zip(rows, order, strict=True))
+            hits += int((a == b[order]).sum())
         null.append(hits / n)
     return {"n": n, "observed": seen, "null_mean": sum(null) / draws, "p_value": (sum(x >= seen for x in null) + 1) / (draws + 1)}

@@ -88,7 +88,7 @@ def paired_delta(pairs: DataFrame, audits: DataFrame) -> DataFrame:
     """Mean member change from base to tuned on shared items, per layer, with a bootstrap interval."""
     one = _last(pairs.where("seed = 0")).select("run", "item_id", "layer", "ordinal", _member().alias("m"))
     a, b = one.where("run = 'base'").select("item_id", F.col("m").alias("before")), one.where("run = 'tuned'")
-    return resampling.bootstrap_cells(b.join(a, "item_id").select("layer", "ordinal", (F.col("m") - F.col("before")).alias("d")), ["layer"], "d", "ordinal", draws=500)
+    return resampling.bootstrap_cells(b.join(a, "item_id").select("layer", "ordinal", (F.col("m") - F.col("before")).alias("d")), ["layer"], "d", "ordinal")
 
 
 @target("tableG3", "tableG4")

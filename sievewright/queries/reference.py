@@ -730,7 +730,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r01_bootstrap")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return resampling.bootstrap_cells(trials(spark, d).withColumn("v", F.col("pair_correct").cast("double")), ["run", "seed"], "v", "ordinal", draws=500)
+    return resampling.bootstrap_cells(trials(spark, d).withColumn("v", F.col("pair_correct").cast("double")), ["run", "seed"], "v", "ordinal")
 
 
 @query("r28_schedule")

@@ -366,7 +366,7 @@ def _attack_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r24_discriminant")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return attack.discriminant(_attack_table(spark, d), "key", ["sx", "sy"], draws=50)
+    return attack.discriminant(_attack_table(spark, d), "key", ["sx", "sy"], draws=1_000)
 
 
 def _vector_query(name: str, schema: str, run):
@@ -386,7 +386,7 @@ def _overlap(pdf: pd.DataFrame) -> dict:
     universe = sorted(set(pdf["item_id"]))
     place = {v: i for i, v in enumerate(universe)}
     a, b = ({place[v] for v in pdf.loc[pdf[c] == 0, "item_id"]} for c in ("x", "y"))
-    return resampling.overlap_null(a, b, universe, 50, 1)
+    return resampling.overlap_null(a, b, universe, 10_000, 1)
 
 
 _vector_query("r02_r03_mean", "low double, high double", lambda p: dict(zip(("low", "high"), resampling.interval(resampling.bootstrap_means(p["x"].to_numpy(), 500, 20260710, 200)), strict=True)))
@@ -394,7 +394,7 @@ _vector_query("r04_truncated", "low double, high double", lambda p: dict(zip(("l
 _vector_query("r05_difference", "n long, estimate double, ci_low double, ci_high double, se double", lambda p: resampling.mean_interval((p["y"] - p["x"]).to_numpy(), 500, 3))
 _vector_query("r06_ratio", "n long, estimate double, ci_low double, ci_high double, kept long", lambda p: resampling.ratio_interval(p["x"].to_numpy(), p["y"].to_numpy(), 300, 3))
 _vector_query("r11_r12_exact", "low double, high double", lambda p: dict(zip(("low", "high"), resampling.clopper_pearson(int(p["x"].sum()), len(p)), strict=True)))
-_vector_query("r14_side_swap", "n long, observed double, null_mean double, p_value double", lambda p: resampling.side_swap_null(p["x"].to_numpy(), p["y"].to_numpy(), 50, 0))
+_vector_query("r14_side_swap", "n long, observed double, null_mean double, p_value double", lambda p: resampling.side_swap_null(p["x"].to_numpy(), p["y"].to_numpy(), 1_000, 0))
 _vector_query("r16_overlap_null", "n long, observed double, null_mean double, p_value double", _overlap)
 _vector_query("r20_hurdle", "n long, estimate double, ci_low double, ci_high double", lambda p: resampling.hurdle(p["x"].to_numpy().astype(int), p["y"].to_numpy(), 200, 0))
 
@@ -455,7 +455,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         pdf = pdf.sort_values("ordinal", kind="stable")
         gold = list(zip(pdf["answer_a"], pdf["answer_b"], strict=True))
         said = [g if o % 3 else (g[1], g[0]) for g, o in zip(gold, pdf["ordinal"], strict=True)]
-        return pd.DataFrame([{"layer": key[0], **resampling.key_shuffle_null(said, gold, pdf["cell"].tolist(), 50, 0)}])
+        return pd.DataFrame([{"layer": key[0], **resampling.key_shuffle_null(said, gold, pdf["cell"].tolist(), 1_000, 0)}])
 
     return rows.groupBy("layer").applyInPandas(run, "layer string, n long, observed double, null_mean double, p_value double")
 

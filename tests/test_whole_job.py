@@ -1,14 +1,16 @@
 """Queries and operators do the whole job at every size: no switch or cap by the number of rows."""
 
 import hashlib
+import random
 import re
 import unicodedata
 
 import numpy as np
 
 from sievewright import queries
-from sievewright.operators import attack, guards
+from sievewright.operators import attack, guards, resampling
 from sievewright.operators.resampling import grouped_folds, interval, rank_auc, ridge_scores, slope_interval
+from sievewright.queries.base import trials
 
 
 def test_discriminant_has_an_interval_for_many_pairs(spark):
@@ -104,3 +106,49 @@ def test_slope_query_lists_both_exposures(spark):
     rows = {r["kind"]: r for r in queries.queries()["r22_slope"](spark, "/root/testdata/sf0.01").collect()}
     assert set(rows) == {"raw", "standardised"}
     assert all(r["ci_low"] <= r["slope"] <= r["ci_high"] for r in rows.values())
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_registered_draws_are_those_of_the_reference(spark):
+    q = queries.queries()
+    rows = trials(spark, SMALL).where("seed = 0 and run = 'base'").toPandas().sort_values("ordinal", kind="stable")
+    x, y = rows["correct_a"].to_numpy(float), rows["correct_b"].to_numpy(float)
+    swap = q["r14_side_swap"](spark, SMALL).where("run = 'base'").first().asDict()
+    assert swap == {"run": "base", **resampling.side_swap_null(x, y, 1_000, 0)}
+    names = sorted(set(rows["item_id"]))
+    a, b = ({names.index(v) for v in rows.loc[~rows[c], "item_id"]} for c in ("correct_a", "correct_b"))
+    overlap = q["r16_overlap_null"](spark, SMALL).where("run = 'base'").first().asDict()
+    assert overlap == {"run": "base", **resampling.overlap_null(a, b, names, 10_000, 1)}
+    assert all(abs(r["p_value"] * 1_001 - round(r["p_value"] * 1_001)) < 1e-9 and r["p_value"] < 1 / 51 for r in q["r15_key_shuffle"](spark, SMALL).collect() if r["observed"] > r["null_mean"] + 0.3)
+    mean = q["r01_bootstrap"](spark, SMALL).where("run = 'base' and seed = 0").first()
+    whole = resampling.mean_interval(rows["pair_correct"].to_numpy(float), 2_000, 0)
+    assert (mean["ci_low"], mean["ci_high"]) == (whole["ci_low"], whole["ci_high"])
+
+
+def test_faster_nulls_keep_their_streams(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 2, (2, 300)).astype(float)
+    coin = random.Random(7)
+    null = [sum(s if coin.random() < 0.5 else o for o, s in zip(a, b, strict=True)) / 300 for _ in range(40)]
+    assert resampling.side_swap_null(a, b, 40, 7)["null_mean"] == sum(null) / 40
+    left, right, draw, null = set(range(50)), set(range(30, 120)), np.random.default_rng(2), []
+    for _ in range(40):
+        x, y = (set(draw.choice(np.arange(200), len(s), replace=False).tolist()) for s in (left, right))
+        null.append(len(x & y) / len(x | y))
+    assert resampling.overlap_null(left, right, list(range(200)), 40, 2)["null_mean"] == float(np.mean(null))
+    said, gold, kind = ([(int(v), 0) for v in rng.integers(0, 3, 90)] for _ in range(3))
+    kind, shuffler, null = [k[0] for k in kind], random.Random(5), []
+    for _ in range(40):
+        hits = 0
+        for t in dict.fromkeys(kind):
+            rows = [i for i in range(90) if kind[i] == t]
+            order = list(range(len(rows)))
+            shuffler.shuffle(order)
+            hits += sum(said[i] == gold[rows[j]] for i, j in zip(rows, order, strict=True))
+        null.append(hits / 90)
+    assert resampling.key_shuffle_null(said, gold, kind, 40, 5)["null_mean"] == sum(null) / 40
+    whole = resampling.bootstrap_means(a, 120, 9)
+    monkeypatch.setattr(resampling, "WIDEST", 2_100)
+    assert (resampling.bootstrap_means(a, 120, 9) == whole).all()
