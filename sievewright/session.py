@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,17 @@ def build_session(app: str = "sievewright", master: str | None = None, partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; choose a local one only where none is set."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A temporary folder is chosen where none is set and all tasks run on this machine; a cluster without a shared folder
+    raises, since a folder of one machine would lose data with it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"sievewright-{os.getuid()}"))
 
 
@@ -56,6 +63,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+def broadcast_if_few(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the counted rows, at a bound of bytes a row, fit under ``limit``."""
+    return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
