@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import cutting, leakage, mixing, packing
+from sievewright.llm import cutting, leakage, mixing, packing, record_queries
 from sievewright.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +59,9 @@ def queries() -> dict[str, Query]:
         "p6_shares": p6_shares,
         "p7_pieces": p7_pieces,
         "p7_report": p7_report,
-    }
+    } | record_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    """These operators need a tokenizer or a learned space, which SQL lacks; tests compare them with brute force."""
-    return {}
+    """SQL of the queries that need no tokenizer and no learned space; tests compare the others with brute force."""
+    return dict(record_queries.SQL)
