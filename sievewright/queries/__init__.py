@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievewright.queries import reference, reports, training
+from sievewright.queries import reference, reports
 
-_MODULES = (reference, reports, training)
+_MODULES = (reference, reports)
 
 
 def queries() -> dict:
