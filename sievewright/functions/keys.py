@@ -16,25 +16,38 @@ def blank_to_null(c: Column | str) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
+def item_text(c: Column | str) -> Column:
+    """One spelling of a mother item, pair or stream id; empty for a blank one."""
+    c = F.regexp_replace(F.lower(_text(c)), r"\s+", "")
+    return F.regexp_replace(F.translate(c, "-", "_"), r"^(virl:|scene_v[0-9]+/)+", "")
+
+
 def item_key(c: Column | str) -> Column:
     """One spelling of a mother item, pair or stream id: case, white space, dashes and name-space prefixes do not count.
 
     Null and blank ids stay null.
     """
-    c = F.regexp_replace(F.lower(_text(c)), r"\s+", "")
-    c = F.regexp_replace(F.translate(c, "-", "_"), r"^(virl:|scene_v[0-9]+/)+", "")
-    return F.when(c != "", c)
+    return F.nullif(item_text(c), F.lit(""))
+
+
+def pair_mother_text(c: Column | str) -> Column:
+    """The mother item named by a pair id, empty for a blank one."""
+    return F.regexp_replace(item_text(c), r"__(l1|l2|l3|probe)(_r[0-9]+)?$", "")
 
 
 def pair_mother_key(c: Column | str) -> Column:
     """The mother item named by a pair id: what precedes the layer and the revision."""
-    return blank_to_null(F.regexp_replace(item_key(c), r"__(l1|l2|l3|probe)(_r[0-9]+)?$", ""))
+    return F.nullif(pair_mother_text(c), F.lit(""))
+
+
+def digest_text(c: Column | str) -> Column:
+    """One spelling of a digest; empty for a blank one."""
+    return F.regexp_replace(F.regexp_replace(F.lower(_text(c)), r"\s+", ""), r"^sha256:", "")
 
 
 def digest_key(c: Column | str) -> Column:
     """One spelling of a digest: case, white space and an algorithm prefix do not count."""
-    c = F.regexp_replace(F.regexp_replace(F.lower(_text(c)), r"\s+", ""), r"^sha256:", "")
-    return F.when(c != "", c)
+    return F.nullif(digest_text(c), F.lit(""))
 
 
 def unit_hash(key: Column | str, salt: str) -> Column:
