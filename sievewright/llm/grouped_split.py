@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.keys import unit_hash
-from sievewright.llm.components import hash_to_min
+from sievewright.llm.components import counted_components
 from sievewright.session import broadcast_if_few, cut
 
 SALT = "grouped-split-v1"
@@ -24,9 +24,10 @@ def tied_groups(rows: DataFrame, keys: list[Column]) -> DataFrame:
     """
     named = rows.withColumn("__keys", F.array_sort(F.array_distinct(F.array_compact(F.array(*keys)))))
     edges = named.where(F.size("__keys") > 1).select(F.col("__keys")[0].alias("a"), F.explode(F.slice("__keys", 2, len(keys))).alias("b")).distinct()
-    found = cut(hash_to_min(edges).select(F.col("node").alias("__key"), F.col("component").alias("__component")))
+    found, n = counted_components(edges)
+    found = found.select(F.col("node").alias("__key"), F.col("component").alias("__component"))
     keyed = named.withColumn("__key", F.get("__keys", F.lit(0)))
-    joined = keyed.join(broadcast_if_few(found, found.count(), 200), "__key", "left")
+    joined = keyed.join(broadcast_if_few(found, n, 200), "__key", "left")
     return joined.withColumn("group_key", F.coalesce("__component", "__key")).drop("__keys", "__key", "__component")
 
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.keys import digest_key, item_key, pair_mother_key
-from sievewright.llm.components import hash_to_min
+from sievewright.functions.keys import digest_text, item_text, pair_mother_text
+from sievewright.llm.components import counted_components
 from sievewright.llm.cosine_join import cosine_links, weighted_vectors
 from sievewright.session import broadcast_if_few, cut
 
@@ -35,51 +35,43 @@ def scene_points(scene: Column) -> Column:
 
 
 def scene_rows(scenes: DataFrame, seed: int = 0) -> DataFrame:
-    """Rows of the scene table with the keys that may link them.
+    """Rows of the scene table with the 64-bit keys that may link them.
 
-    ``ordinal``, ``split``, ``source``, ``points_a``, ``points_b`` and 64-bit keys ``mother``, ``pair``, ``shown_a``,
-    ``shown_b``, ``image_a``, ``image_b``, each with a second hash (``..._2``) that tells equal keys of unequal content
-    apart. Null, blank and empty parts have no key.
+    ``ordinal``, ``split``, ``source``, ``mother``, ``pair``, ``image_a``, ``image_b``, each of these four with a second
+    hash (``..._2``) that tells equal keys of unequal content apart, ``shown_a``, ``shown_b``. Null, blank and empty
+    parts have no key.
     """
-    named = scenes.select(
-        "ordinal",
-        "split",
-        F.col("provenance.generator").alias("source"),
-        item_key("mother_item_id").alias("mother"),
-        pair_mother_key("pair_id").alias("pair"),
-        digest_key("image_a_sha256").alias("image_a"),
-        digest_key("image_b_sha256").alias("image_b"),
-        scene_points(F.col("scene_a")).alias("points_a"),
-        scene_points(F.col("scene_b")).alias("points_b"),
-    )
+    ids = {"mother": ("m", item_text("mother_item_id")), "pair": ("m", pair_mother_text("pair_id")), "image_a": ("d", digest_text("image_a_sha256")), "image_b": ("d", digest_text("image_b_sha256"))}
+    named = scenes.select("ordinal", "split", F.col("provenance.generator").alias("source"), *[c.alias(n) for n, (_, c) in ids.items()], *[scene_points(F.col(f"scene_{s}")).alias(f"points_{s}") for s in "ab"])
+    hashed = [F.when(F.col(n) != "", F.xxhash64(F.lit(f"{kind}{seed}{again}"), n)).alias(n + again) for n, (kind, _) in ids.items() for again in ("", "_2")]
+    return named.select("ordinal", "split", "source", *hashed, *[_shown(f"points_{s}", seed).alias(f"shown_{s}") for s in "ab"])
 
-    def hashed(kind: str, c: str, of: str, exists: Column) -> list[Column]:
-        return [F.when(exists, F.xxhash64(F.lit(f"{kind}{seed}{n}"), of)).alias(c + n) for n in ("", "_2")]
 
-    ids = [x for c, kind in (("mother", "m"), ("pair", "m"), ("image_a", "d"), ("image_b", "d")) for x in hashed(kind, c, c, F.col(c).isNotNull())]
-    shown = [x for s in "ab" for x in hashed("s", f"shown_{s}", f"points_{s}", F.size(F.coalesce(f"points_{s}", F.array())) > 0)]
-    return named.select("ordinal", "split", "source", "points_a", "points_b", *ids, *shown)
+def _shown(points: str, seed: int) -> Column:
+    """Key of a scene given by its points."""
+    return F.when(F.size(points) > 0, F.xxhash64(F.lit(f"s{seed}"), points))
 
 
-def _entries(*names: str) -> Column:
-    """The keys of a row, as structs of key, check and points."""
-    points = lambda c: F.col("points" + c[-2:]) if c.startswith("shown") else F.lit(None).cast("array<bigint>")
-    each = [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("key"), F.col(c + "_2").alias("check"), points(c).alias("points"))) for c in names]
-    return F.array_compact(F.array(*each))
+def _distinct_scenes(scenes: DataFrame, seed: int) -> DataFrame:
+    """Distinct scenes: ``key``, ``terms``. Raises ``ValueError`` where two scenes have one key."""
+    sides = scenes.select(F.explode(F.array("scene_a", "scene_b")).alias("scene")).select(scene_points(F.col("scene")).alias("terms"))
+    distinct = cut(sides.where("size(terms) > 0").distinct().withColumn("key", _shown("terms", seed)))
+    if distinct.groupBy("key").count().where("count > 1").limit(1).count():
+        raise ValueError("two contents have one key")
+    return distinct
 
 
-def _known_keys(rows: DataFrame, train: str) -> DataFrame:
-    """Each id and scene with the smallest and largest anchor of its rows: ``key``, ``points``, ``low``, ``high``, ``held`` (1: on a row of another split).
+def _known_keys(rows: DataFrame) -> DataFrame:
+    """Each id and scene with the smallest and largest anchor of its rows: ``key``, ``low``, ``high``.
 
     A row's anchor is its first key. Raises ``ValueError`` where two contents have one key.
     """
-    anchor = F.coalesce("mother", "pair", "shown_a", "shown_b")
-    held = (F.col("split") != train).cast("int")
-    each = rows.select(anchor.alias("anchor"), F.coalesce(held, F.lit(0)).alias("held"), F.explode(_entries("mother", "pair", "shown_a", "shown_b")).alias("e"))
-    known = cut(each.groupBy("e.key", "e.check", "e.points").agg(F.min("anchor").alias("low"), F.max("anchor").alias("high"), F.max("held").alias("held")))
-    if known.groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").limit(1).count():
+    pairs = F.array(*[F.struct(F.col(c).alias("key"), F.col(check).alias("check")) for c, check in (("mother", "mother_2"), ("pair", "pair_2"), ("shown_a", "shown_a"), ("shown_b", "shown_b"), ("image_a", "image_a_2"), ("image_b", "image_b_2"))])
+    each = rows.select("named", F.explode(pairs).alias("e")).where("e.key is not null")
+    known = cut(each.groupBy("e.key").agg(F.min("named").alias("low"), F.max("named").alias("high"), F.min("e.check").alias("check"), F.max("e.check").alias("check_2")))
+    if known.where("check <> check_2").limit(1).count():
         raise ValueError("two contents have one key")
-    return known.drop("check")
+    return known.select("key", "low", "high")
 
 
 def classes(scenes: DataFrame, threshold: float = AGREEMENT, train: str = TRAIN) -> DataFrame:
@@ -95,7 +87,7 @@ def classes(scenes: DataFrame, threshold: float = AGREEMENT, train: str = TRAIN)
     """
     for seed in range(3):
         try:
-            return _classes(scene_rows(scenes, seed), threshold, train)
+            return _classes(scenes, seed, threshold, train)
         except ValueError as e:
             if "one key" not in str(e):
                 raise
@@ -106,8 +98,7 @@ class _Labels:
     """Component of each linked node."""
 
     def __init__(self, links: DataFrame):
-        self.nodes = cut(hash_to_min(links))
-        self.n = self.nodes.count()
+        self.nodes, self.n = counted_components(links)
 
     def of(self, rows: DataFrame, key: str, name: str) -> DataFrame:
         """Rows with the component of a key, or the key itself where it is in no link."""
@@ -115,14 +106,17 @@ class _Labels:
         return rows.join(known, key, "left").withColumn(name, F.coalesce("component", key)).drop("component")
 
 
-def _classes(keyed: DataFrame, threshold: float, train: str) -> DataFrame:
+def _classes(scenes: DataFrame, seed: int, threshold: float, train: str) -> DataFrame:
     named = F.coalesce("mother", "pair", "shown_a", "shown_b")
-    known = _known_keys(keyed, train)
-    vectors, longest = weighted_vectors(known.where("points is not null").select("key", F.col("points").alias("terms"), "low"), threshold, TILT)
-    shared = cut(known.where("low <> high").select("key", F.col("low").alias("a")))
-    each = keyed.select(named.alias("b"), F.explode(_entries("mother", "pair", "shown_a", "shown_b")).alias("e")).select("b", "e.key")
-    links = cut(each.join(broadcast_if_few(shared, shared.count(), 48), "key").where("a <> b").select("a", "b").distinct())
-    rows = cut(keyed.select("ordinal", "split", "source", F.coalesce(named, "image_a", "image_b").alias("anchor"), *[x for s in "ab" for x in (f"image_{s}", F.col(f"shown_{s}").isNotNull().cast("int").alias(f"scene_{s}"))]))
+    rows = cut(scene_rows(scenes, seed).withColumn("named", named).withColumn("anchor", F.coalesce("named", "image_a", "image_b")))
+    known = _known_keys(rows)
+    n_known = known.count()
+    vectors, longest = weighted_vectors(_distinct_scenes(scenes, seed).join(broadcast_if_few(known.select("key", "low"), n_known, 48), "key"), threshold, TILT)
+    # images link later, when scenes may speak against them
+    shared = known.where("low <> high").select("key", F.col("low").alias("a"))
+    n_shared = shared.count()
+    each = rows.select(F.col("named").alias("b"), F.explode(F.array("mother", "pair", "shown_a", "shown_b")).alias("key"))
+    links = cut(each.join(broadcast_if_few(shared, n_shared, 48), "key").where("a <> b").select("a", "b").distinct())
     images = _shared_images(rows)
     held = cut(rows.where(F.col("split") != train).select("anchor").distinct())
     anchors = cut(vectors.select("low").distinct())
@@ -135,23 +129,22 @@ def _classes(keyed: DataFrame, threshold: float, train: str) -> DataFrame:
         mixed = both(held, "anchor").select("whole").distinct()
         aside = whole.of(judged.where("not real"), "cls", "whole").select("image", "whole").distinct()
         doubtful = aside.join(aside.join(mixed, "whole").select("image").distinct(), "image").select("whole")
-        inside = cut(mixed.unionByName(doubtful).distinct())
-        state = both(anchors, "low").join(broadcast_if_few(inside, inside.count(), 32).withColumn("inside", F.lit(1)), "whole", "left")
-        state = cut(state.select("low", "cls", F.coalesce("inside", F.lit(0)).alias("inside")))
-        side = F.col("inside")
-        if before is not None:
-            state = cut(state.join(before, "low").withColumn("side", F.col("inside") - F.col("was")))
-            side = F.col("side")
-        placed = state.select("low", "cls", side.alias("side"))
-        if not placed.where("side = 1").limit(1).count():
+        inside = mixed.unionByName(doubtful).distinct().withColumn("inside", F.lit(1))
+        state = both(anchors, "low").join(broadcast_if_few(inside, n_anchors, 48), "whole", "left").select("low", "cls", F.coalesce("inside", F.lit(0)).alias("inside"))
+        state = cut(state.withColumn("side", F.col("inside")) if before is None else state.join(broadcast_if_few(before, n_anchors, 48), "low").withColumn("side", F.col("inside") - F.col("was")))
+        found = None
+        if state.where("side = 1").limit(1).count():
+            placed = vectors.join(broadcast_if_few(state.select("low", "cls", "side"), n_anchors, 48), "low").drop("low")
+            found = cut(cosine_links(placed, longest, threshold))
+        if found is None or not found.limit(1).count():
             return both(rows, "anchor").select("ordinal", "split", "source", F.col("whole").alias("class_id"))
-        links = cut(links.unionByName(cosine_links(vectors.join(broadcast_if_few(placed, n_anchors, 48), "low").drop("low"), longest, threshold)))
+        links = links.unionByName(found)
         before = state.select("low", F.col("inside").alias("was"))
 
 
 def _shared_images(rows: DataFrame) -> DataFrame:
     """Images that sit on several anchors: ``image``, ``anchor``, ``n`` (times with a scene)."""
-    sides = F.explode(F.array(*[F.struct(F.col(f"image_{s}").alias("image"), F.col(f"scene_{s}").alias("scene")) for s in "ab"]))
+    sides = F.explode(F.array(*[F.struct(F.col(f"image_{s}").alias("image"), F.col(f"shown_{s}").isNotNull().cast("int").alias("scene")) for s in "ab"]))
     seen = rows.select("anchor", sides.alias("e")).where("e.image is not null").groupBy("e.image", "anchor").agg(F.sum("e.scene").alias("n"))
     seen = cut(seen)
     shared = cut(seen.groupBy("image").agg(F.min("anchor").alias("lo"), F.max("anchor").alias("hi")).where("lo <> hi").select("image"))
