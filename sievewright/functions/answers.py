@@ -35,15 +35,37 @@ LAYOUT = (
 TOLERANCE = 1e-4
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _NAMED = r"(?i)(?:final answer|answer)\s*[:：]"
-_DEPTH = 4
+_BOX = r"\\boxed\{"
+_OPENER = r"\$|\\\(|\\\[|\\text\{"
 
 
-def _boxed_body(depth: int) -> str:
-    """Pattern of balanced text in braces, nested up to ``depth``."""
-    inner = r"[^{}]*"
-    for _ in range(depth):
-        inner = r"(?:[^{}]|\{" + inner + r"\})*"
-    return inner
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
+def _balanced(rest: Column) -> Column:
+    """What stands before the brace that closes an open one, or null where none does.
+
+    The text is cut behind every brace; depth and length are added up until the depth is 0.
+    """
+
+    def step(a: Column, part: Column) -> Column:
+        depth = a["depth"] + F.when(part.endswith("{"), 1).otherwise(-1)
+        return F.when(a["depth"] == 0, a).otherwise(F.struct(depth.alias("depth"), (a["size"] + F.length(part)).alias("size")))
+
+    parts = F.regexp_extract_all(rest, F.lit(r"[^{}]*[{}]"), 0)
+    end = F.aggregate(parts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size")), step)
+    return let(end, lambda e: F.when(e["depth"] == 0, F.substring(rest, F.lit(1), e["size"] - 1)))
+
+
+def boxed_spans(text: Column) -> Column:
+    """The contents of all boxes whose braces balance, at any depth, in the order in which the boxes open."""
+
+    def spans(parts: Column) -> Column:
+        rests = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "\\boxed{"))
+        return F.array_compact(F.transform(rests, _balanced))
+
+    return let(F.split(text, _BOX), lambda parts: F.when(F.size(parts) > 1, spans(parts)).otherwise(F.array().cast("array<string>")))
 
 
 def extract_answer(response: Column) -> Column:
@@ -58,7 +80,7 @@ def extract_answer(response: Column) -> Column:
 
 def _extracted(text: Column) -> Column:
     tags = F.regexp_extract_all(text, F.lit(r"(?is)<answer>\s*(.*?)\s*</answer>"), 1)
-    boxes = F.regexp_extract_all(text, F.lit(r"(?s)\\boxed\{(" + _boxed_body(_DEPTH) + r")\}"), 1)
+    boxes = boxed_spans(text)
     lines = F.filter(F.transform(F.split(text, _LINES), lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")), lambda x: x != "")
     named = lambda ls: F.filter(ls, lambda x: x.rlike(_NAMED))
 
@@ -124,15 +146,19 @@ def close(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
 
 
 def _unwrapped(c: Column) -> Column:
-    """Text without enclosing math delimiters and text commands, to a depth of ``_DEPTH``."""
+    """Text without enclosing math delimiters and text commands.
+
+    A step that changes more than outer white space takes away an opening delimiter or command, so as many steps as
+    there are of them, and one more, reach the form that no step changes.
+    """
 
     def once(t: Column) -> Column:
-        t = F.trim(t)
-        for pattern in (r"(?s)\A\$\s*(.+?)\s*\$\z", r"(?s)\A\\\(\s*(.+?)\s*\\\)\z", r"(?s)\A\\\[\s*(.+?)\s*\\\]\z"):
+        t = _stripped(t)
+        for pattern in (r"(?s)\A\$\s*(\S.*?)\s*\$\z", r"(?s)\A\\\(\s*(\S.*?)\s*\\\)\z", r"(?s)\A\\\[\s*(\S.*?)\s*\\\]\z"):
             t = F.regexp_replace(t, pattern, "$1")
         return F.regexp_replace(t, r"\\text\{([^{}]*)\}", "$1")
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_DEPTH)), c, lambda t, _: once(t))
+    return F.aggregate(F.sequence(F.lit(0), F.regexp_count(c, F.lit(_OPENER))), c, lambda t, _: once(t))
 
 
 def normalize_presentation(c: Column) -> Column:

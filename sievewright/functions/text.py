@@ -13,15 +13,10 @@ from sievewright.functions.binding import let
 
 
 def normalize_text(c: Column) -> Column:
-    """Contamination normal form: lower case with sharp s as ss, image markers and everything but letters, digits and underscores as one blank."""
-    lowered = F.regexp_replace(F.lower(c), "ß", "ss")
-    return F.trim(F.regexp_replace(F.regexp_replace(lowered, "<image>", " "), r"[^\p{L}\p{N}_]+", " "))
+    """Contamination normal form: NFKC, full case folding, image markers and runs of other than word characters as one blank.
 
-
-def normalize_unicode(c: Column) -> Column:
-    """Contamination normal form of any text: NFKC, full case folding, image markers and runs of other than word characters as one blank.
-
-    Texts of ASCII characters alone, where ``normalize_text`` gives the same, stay in the engine; the rest is folded in Python.
+    Texts of ASCII characters alone are folded by the engine's own functions; only the others go through Python, in
+    Arrow batches. A null text stays null.
     """
 
     def fold(value: str) -> str:
@@ -33,7 +28,8 @@ def normalize_unicode(c: Column) -> Column:
         return texts.map(fold, na_action="ignore")
 
     wide = c.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(folded(F.when(wide, c)), normalize_text(F.when(~wide, c)))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.when(~wide, c)), "<image>", " "), r"[^a-z0-9_]+", " "))
+    return F.coalesce(folded(F.when(wide, c)), plain)
 
 
 def tokens(normalized: Column) -> Column:

@@ -9,17 +9,30 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.measures import hamming64
 from sievewright.functions.text import normalize_text, tokens, word_ngrams
-from sievewright.session import broadcast_if_small
+from sievewright.session import broadcast_if_small, cut
 
 #: Largest hash distance and least overlap at which a pair is removed or looked at, and the words that
 #: make an exact question distinctive.
 HASH_REMOVE, HASH_INSPECT = 6, 10
 JACCARD_REMOVE, JACCARD_INSPECT = 0.80, 0.70
 DISTINCTIVE_WORDS = 5
+#: Columns of a record that edges are made of.
+_USED = ("record_id", "split", "question", "answer", "image_sha256", "image_applicable", "phash64", "dhash64", "delivered_at", "recorded_at")
 #: Blocks of 16 bits into which a hash is cut.
 BLOCKS = 4
 
 
+def latest(records: DataFrame, key: str = "record_id") -> DataFrame:
+    """One row a key: the delivery of the latest ``delivered_at`` and ``recorded_at``, of equals the one with the greatest content.
+
+    Rows with a null key are left out. Time columns that are absent do not count.
+    """
+    first = [c for c in ("delivered_at", "recorded_at") if c in records.columns]
+    rest = [c for c in records.columns if c not in (*first, key)]
+    best = records.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*first, *rest)).alias("__best"))
+    return best.select(*[F.col(c) if c == key else F.col("__best")[c].alias(c) for c in records.columns])
+
+
 def record_keys(records: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
     """Records with ``question_key``, ``qa_key`` and ``words`` added. Empty questions have no key."""
     q = normalize_text(F.col(question))
@@ -44,6 +57,13 @@ def exact_edges(train: DataFrame, held: DataFrame) -> DataFrame:
     return shown.unionByName(qa).unionByName(q)
 
 
+def sides(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training and held-out records with their keys, each as last delivered; the keys are computed once."""
+    used = records.select(*[c for c in _USED if c in records.columns])
+    one = cut(record_keys(latest(used)))
+    return one.where("split = 'train'"), one.where("split <> 'train'")
+
+
 def _near_masks(radius: int) -> list[int]:
     """All 16-bit masks of at most ``radius`` bits."""
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(16), r)]
@@ -115,10 +135,9 @@ def edges(records: DataFrame) -> DataFrame:
     """All edges between training and held-out records with merged signals and the strongest action.
 
     Columns: train_record_id, eval_record_id, the signals as nullable columns, and action (inspect or remove). Records
-    delivered twice count once.
+    delivered twice count once, as last delivered.
     """
-    one = record_keys(records.where("record_id is not null").dropDuplicates(["record_id"]))
-    train, held = one.where("split = 'train'"), one.where("split <> 'train'")
+    train, held = sides(records)
     nothing = [F.lit(None).cast("int").alias("distance"), F.lit(None).cast("double").alias("score")]
     every = exact_edges(train, held).select("train_record_id", "eval_record_id", "signal", "action", *nothing)
     every = every.unionByName(hash_edges(train, held).select("train_record_id", "eval_record_id", "signal", "action", "distance", F.lit(None).cast("double").alias("score")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.measures import exact_count
+from sievewright.operators.ordering import numbered
 from sievewright.session import broadcast_if_small
 
 
@@ -68,7 +69,7 @@ def mixture(constructed: DataFrame, natural: DataFrame, share: str, windows: int
     """
     c = exact_count(share, batch)
     need = windows * (batch - c)
-    placed = natural.withColumn("draw", F.row_number().over(Window.orderBy(order_key)) - 1).where(F.col("draw") < need)
+    placed = numbered(natural, order_key, name="draw").where(F.col("draw") < need)
     if need and natural.count() < need:
         raise ValueError(f"the natural pool has fewer than {need} rows")
     parts = []
@@ -135,7 +136,7 @@ def constructed_rows(scenes: DataFrame, key: str, order_key: Column, split: str
     """
     both = layer_pairs(scenes, key, "layer", "l3", "probe", ["split", "answer_a", "answer_b"])
     kept = both.where((F.col("l3_split") == split) & (F.col("probe_split") == split))
-    placed = kept.withColumn("place", F.row_number().over(Window.orderBy(order_key, key)) - 1)
+    placed = numbered(kept, order_key, F.col(key), name="place")
     members = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f"{layer}_{s}").alias("pair_member"), F.col(f"{layer}_answer_{s}").alias("answer")) for i, (layer, s) in enumerate([("l3", "a"), ("l3", "b"), ("probe", "a"), ("probe", "b")])])
     return placed.select("place", F.col(key).alias("pair_group_uid"), F.explode(members).alias("m")).select((F.col("place") * 4 + F.col("m.i")).cast("long").alias("ordinal"), "pair_group_uid", "m.pair_member", "m.answer")
 

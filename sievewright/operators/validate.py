@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.text import has_forbidden, is_opaque_id, is_opaque_path
-
-#: Words that must not appear in released paths or ids, since they tell the side or role.
-FORBIDDEN = ["target", "stable", "switch", "invariance", "answer", "correct", "swap"]
+#: Words that must not appear in released paths or ids, since they tell the side. The words of template
+#: names are forbidden as well.
+FORBIDDEN = ["side", "answer", "template", "left", "right"]
 _SIZES = {"n8": 8, "n12": 12, "n20": 20}
 
 
@@ -50,24 +49,6 @@ def scene_violations(scenes: DataFrame) -> DataFrame:
     return rows.unionByName(repeated)
 
 
-def release_violations(members: DataFrame) -> DataFrame:
-    """Violations of a release of pairs: opaque ids and paths, exactly two members, unique members, no telling words.
-
-    ``members``: pair_id, member_id, image_path.
-    """
-    rules = {
-        "pair_id_not_opaque": ~is_opaque_id(F.col("pair_id")),
-        "member_id_not_opaque": ~is_opaque_id(F.col("member_id")),
-        "image_path_not_opaque": ~is_opaque_path(F.col("image_path")),
-        "telling_path": has_forbidden(F.col("image_path"), FORBIDDEN),
-        "missing_member": F.col("member_id").isNull(),
-    }
-    rows = violations(members, "pair_id", rules)
-    count = members.groupBy("pair_id").count().where("count <> 2").select(F.lit("member_count").alias("code"), F.col("pair_id").alias("key"))
-    twice = members.groupBy("member_id").count().where("count > 1 and member_id is not null").select(F.lit("repeated_member").alias("code"), F.col("member_id").alias("key"))
-    return rows.unionByName(count).unionByName(twice)
-
-
 def battery_status(found: DataFrame, codes: list[str]) -> DataFrame:
     """Count and status of every check: ``code``, ``n``, ``passed``. Checks without a violation are listed with 0."""
     names = found.sparkSession.createDataFrame([(c,) for c in sorted(codes)], "code string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import answers, measures, text
 from sievewright.functions.keys import SQL_ITEM_KEY, item_key
-from sievewright.operators import compare, contamination, corpus, guards, ranking, resampling, validate
+from sievewright.operators import compare, contamination, corpus, guards, ordering, ranking, resampling, validate
 from sievewright.queries.base import RESPONSES, ROLLOUTS, SCENES, TRIALS, responses, rollouts, trials
 from sievewright.session import table
 from sievewright.sources import readers
@@ -15,7 +17,33 @@ from sievewright.sources import readers
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-_NORM = "trim(regexp_replace(replace(replace(lower({}), 'ß', 'ss'), '<image>', ' '), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+
+
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters that NFKC and case folding change into one other character, and those that they change into several."""
+    one, several = {}, []
+    for at in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+        c = chr(at)
+        f = unicodedata.normalize("NFKC", c).casefold()
+        if len(f) == 1 and f != c:
+            one[c] = f
+        elif len(f) > 1 and at in (0xDF, 0x130, 0x149, 0x1F0, *range(0xA8, 0xC0), *range(0x2070, 0x2190), *range(0xFB00, 0xFB07)):
+            several.append((c, f))
+    return "".join(one), "".join(one.values()), several
+
+
+def _norm() -> str:
+    """The contamination normal form in SQL; characters that fold into several are those of Latin texts."""
+    one, into, several = _folds()
+    literal = lambda s: "'" + s.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
+    t = "nfc_normalize({})"
+    for c, f in several:
+        t = f"replace({t}, {literal(c)}, {literal(f)})"
+    t = f"nfc_normalize(lower(translate({t}, {literal(one)}, {literal(into)})))"
+    return f"trim(regexp_replace(replace({t}, '<image>', ' '), '[^\\p{{{{L}}}}\\p{{{{N}}}}_]+', ' ', 'g'))"
+
+
+_NORM = _norm()
 
 
 def query(name: str, sql: str | None = None):
@@ -44,9 +72,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return compare.last_wins(one.select("item_id", "ordinal", "pair_correct"), ["item_id"]).select("item_id", "pair_correct")
 
 
-@query("f03_shard", "select ordinal, arm from mixture_profiles where ordinal % 4 = 1 and ordinal < 1 + 4 * 200")
+@query("f03_shard", "select ordinal, arm from mixture_profiles where ordinal % 4 = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """The whole shard. The SQL has its first 200 rows."""
     return guards.shard(table(spark, d, "mixture_profiles"), 4, 1).select("ordinal", "arm")
 
 
@@ -82,10 +109,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("o02_natural_order", "select item_id, row_number() over (order by (case when regexp_full_match(item_id, '\\d+') then 0 else 1 end), try_cast(item_id as hugeint), item_id) as place from (select distinct item_id from decontamination where item_id is not null)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     ids = table(spark, d, "decontamination").where("item_id is not null").select("item_id").distinct()
-    return ids.withColumn("place", F.row_number().over(Window.orderBy(*ranking.natural_order(F.col("item_id")))))
+    return ordering.numbered(ids, *ranking.natural_order(F.col("item_id")), name="place").withColumn("place", F.col("place") + 1)
 
 
 @query("o04_examples", "select source, list(doc_id order by doc_id)[1:5] as examples from documents where source is not null group by source")
@@ -139,10 +164,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---- text
 
 
-@query("x01_normalize", "select doc_id, md5(" + _NORM.format("text") + ") as digest from documents where text is not null and lang in ('en', 'de', 'fr', 'es')")
+@query("x01_normalize", "select doc_id, md5(" + _NORM.format("text") + ") as digest from documents where text is not null")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """All texts, whatever their language. The SQL lists four spellings of lang and folds neither NFKC nor full case, so it has fewer rows."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.normalize_unicode(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("digest"))
 
 
 _SHINGLES = "list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))"
@@ -244,7 +268,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein("left_name", "right_name"))
 
 
-@query("x23_forbidden", f"select ordinal, len(list_intersect(string_split_regex(lower(image_a_path), '[^a-z0-9]+'), ['target', 'stable', 'switch', 'invariance', 'answer', 'correct', 'swap'])) > 0 as telling from {SCENES} where image_a_path is not null")
+@query("x23_forbidden", f"select ordinal, len(list_intersect(string_split_regex(lower(image_a_path), '[^a-z0-9]+'), ['side', 'answer', 'template', 'left', 'right'])) > 0 as telling from {SCENES} where image_a_path is not null")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, SCENES).where("image_a_path is not null").select("ordinal", text.has_forbidden(F.col("image_a_path"), validate.FORBIDDEN).alias("telling"))
 
@@ -257,7 +281,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- contamination
 
-_RECORDS = f"one as (select record_id, any_value(split) as split, any_value(question) as question, any_value(answer) as answer, any_value(image_sha256) as image_sha256, any_value(image_applicable) as image_applicable, any_value(phash64) as phash64, any_value(dhash64) as dhash64 from decontamination where record_id is not null group by record_id), keyed as (select *, nullif({_NORM.format('question')}, '') as q, {_NORM.format("coalesce(answer, '')")} as a, {_QWORDS} as w from one), train as (from keyed where split = 'train'), held as (from keyed where split <> 'train')"
+_RECORDS = f"one as (from decontamination where record_id is not null qualify row_number() over (partition by record_id order by delivered_at desc nulls last, recorded_at desc nulls last) = 1), keyed as (select *, nullif({_NORM.format('question')}, '') as q, {_NORM.format("coalesce(answer, '')")} as a, {_QWORDS} as w from one), train as (from keyed where split = 'train'), held as (from keyed where split <> 'train')"
 _HALF = "('0x' || substr({}, {}, 8))::bigint"
 _HAM = "(" + " + ".join(f"bit_count(xor({_HALF.format('t.{0}', at)}, {_HALF.format('h.{0}', at)}))" for at in (1, 9)) + ")"
 _EXACT = "select t.record_id as train_record_id, h.record_id as eval_record_id, 'image_sha256_exact' as signal, 2 as action from train t join held h using (image_sha256) where t.image_applicable and h.image_applicable union all select t.record_id, h.record_id, 'question_answer_exact', case when len(h.w) >= 5 then 2 else 1 end from train t join held h on t.q = h.q and t.a = h.a union all select t.record_id, h.record_id, 'question_exact', 1 from train t join held h on t.q = h.q"
@@ -267,8 +291,7 @@ _JACC = "select t as train_record_id, h as eval_record_id, c / (len(ts.s) + len(
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    one = contamination.record_keys(table(spark, d, "decontamination").where("record_id is not null").dropDuplicates(["record_id"]))
-    return one.where("split = 'train'"), one.where("split <> 'train'")
+    return contamination.sides(table(spark, d, "decontamination"))
 
 
 @query("j12_exact_overlap", f"with {_RECORDS} {_EXACT}")
@@ -661,13 +684,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "d04_mixture",
-    f"with c as (select (row_number() over (order by ordinal) - 1) as o, {SQL_ITEM_KEY.format('pair_id')} as uid from {SCENES} where pair_id is not null and split = 'training'), n as (select row_number() over (order by md5(qid)) - 1 as o, 'virl:' || qid as uid from (select distinct qid from corpus_rows)), k as (select count(*) as k from c) select (i // 8 * 24 + i % 8)::bigint as ordinal, 'constructed' as arm_part, c.uid from range(0, 16) as t(i), k join c on c.o = i % k union all select (o // 16 * 24 + 8 + o % 16)::bigint, 'natural', uid from n where o < 32",
+    f"with c as (select (row_number() over (order by ordinal) - 1) as o, {SQL_ITEM_KEY.format('pair_id')} as uid from {SCENES} where pair_id is not null and split = 'training'), n as (select row_number() over (order by md5(qid)) - 1 as o, 'virl:' || qid as uid from (select distinct qid from corpus_rows)), k as (select count(*) as k from c), b as (select case when count(*) >= 160 then 240 else 24 end as b, count(*) as pool from n), s as (select b, b // 3 as c, b - b // 3 as d, greatest(1, pool // (b - b // 3)) as windows from b) select (i // s.c * s.b + i % s.c)::bigint as ordinal, 'constructed' as arm_part, c.uid from s, range(0, (select windows * c from s)) as t(i), k join c on c.o = i % k union all select (o // s.d * s.b + s.c + o % s.d)::bigint, 'natural', uid from n, s where o < s.windows * s.d",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """As many windows as the natural pool fills: of 240 rows, of 24 where it does not fill one of 240. The SQL has two windows of 24."""
-    from pyspark.sql import Window
-
-    scenes = table(spark, d, SCENES).where("pair_id is not null and split = 'training'").select((F.row_number().over(Window.orderBy("ordinal")) - 1).alias("ordinal"), item_key("pair_id").alias("uid"))
+    """As many windows as the natural pool fills: of 240 rows, of 24 where it does not fill one of 240."""
+    scenes = ordering.numbered(table(spark, d, SCENES).where("pair_id is not null and split = 'training'").select(F.col("ordinal").alias("at"), item_key("pair_id").alias("uid")), "at").drop("at")
     natural = table(spark, d, "corpus_rows").select("qid").distinct().select(F.concat(F.lit("virl:"), "qid").alias("uid"), F.md5("qid").alias("k"))
     pool = natural.count()
     batch = 240 if pool >= 160 else 24

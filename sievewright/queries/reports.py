@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import measures, text
 from sievewright.functions.answers import answers_equal, close, golds_equivalent, normalize_presentation, numeric_value, open_score, pair_score, plain_number, reward, satisfies_contract
 from sievewright.functions.keys import SQL_ITEM_KEY, item_key, unit_hash
-from sievewright.operators import attack, captions, compare, contamination, corpus, guards, project, ranking, resampling, validate
+from sievewright.operators import attack, captions, compare, contamination, corpus, guards, ordering, project, ranking, release, resampling, validate
 from sievewright.plans import targets
 from sievewright.queries.base import RESPONSES, ROLLOUTS, SCENES, TRIALS, responses, rollouts, trials
 from sievewright.session import table
@@ -226,10 +226,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("source is not null").select("doc_id", "source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("place"))
 
 
-@query("w07_cycled", f"with p as (select row_number() over (order by ordinal) - 1 as o, ordinal from {SCENES} where role = 'invariance' and split = 'training'), n as (select count(*) as n from p) select i as draw, p.ordinal from range(0, 1000) as t(i), n join p on p.o = i % n.n")
+@query("w07_cycled", f"with p as (select row_number() over (order by ordinal) - 1 as o, ordinal from {SCENES} where role = 'invariance' and split = 'training'), n as (select count(*) as n from p) select i as draw, p.ordinal from range(0, (select greatest(1000, 2 * count(*)) from p)) as t(i), n join p on p.o = i % n.n")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Twice the pool, and at least 1,000 draws. The SQL has 1,000."""
-    pool = table(spark, d, SCENES).where("role = 'invariance' and split = 'training'").select((F.row_number().over(Window.orderBy("ordinal")) - 1).alias("o"), "ordinal")
+    """Twice the pool, and at least 1,000 draws."""
+    pool = ordering.numbered(table(spark, d, SCENES).where("role = 'invariance' and split = 'training'").select("ordinal"), "ordinal", name="o")
     return corpus.cycled(pool, max(1000, 2 * pool.count()), "o").select("draw", "ordinal")
 
 
@@ -247,8 +247,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("o01_sorted", "select qid, row_number() over (order by coalesce(source, '') desc, coalesce(category, '') desc, qid) as place from (select qid, max(source) as source, max(category) as category from corpus_rows group by qid)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "corpus_rows").groupBy("qid").agg(F.max("source").alias("source"), F.max("category").alias("category"))
-    w = Window.orderBy(F.coalesce("source", F.lit("")).desc(), F.coalesce("category", F.lit("")).desc(), "qid")
-    return g.select("qid", F.row_number().over(w).alias("place"))
+    placed = ordering.numbered(g, F.coalesce("source", F.lit("")).desc(), F.coalesce("category", F.lit("")).desc(), "qid", name="place")
+    return placed.select("qid", (F.col("place") + 1).alias("place"))
 
 
 # ---- formulas
@@ -316,12 +316,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus_rows").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("category").alias("categories"), F.sum(F.size("image_paths").cast("long")).alias("images"))
 
 
-@query("d10_resume", "select 100::bigint as n")
+@query("d10_resume", "select count(*) // 3 as n from mixture_profiles")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """A third of the table is done. The SQL has 100 rows."""
-    rows = table(spark, d, "mixture_profiles").select("ordinal", "pair_group_uid")
-    source = rows.withColumn("ordinal", F.row_number().over(Window.orderBy("ordinal")) - 1)
-    done = source.where(F.col("ordinal") < rows.count() // 3)
+    """A third of the table is done; the operator compares it row by row with the source."""
+    source = ordering.numbered(table(spark, d, "mixture_profiles").select(F.col("ordinal").alias("at"), "pair_group_uid"), "at").drop("at")
+    done = source.where(F.col("ordinal") < source.count() // 3)
     return spark.createDataFrame([(corpus.resume_prefix(source, done, ["pair_group_uid"]),)], "n long")
 
 
@@ -331,17 +330,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ordinal", "swapped", F.when(F.col("swapped"), F.col("answer_b")).otherwise(F.col("answer_a")).alias("first_answer"))
 
 
-@query("v01_release", f"with m as (select substr(sha256('r' || chr(0) || pair_id), 1, 16) as pair_id, substr(sha256('m' || chr(0) || image_a_path), 1, 16) as member_id, image_a_path as image_path from {SCENES} where pair_id is not null and image_a_path is not null) select 'image_path_not_opaque' as code, count(*) as n from m union all select 'telling_path', count(*) from m where len(list_intersect(string_split_regex(lower(image_path), '[^a-z0-9]+'), ['target', 'stable', 'switch', 'invariance', 'answer', 'correct', 'swap'])) > 0 union all select 'member_count', count(*) from (select pair_id from m group by pair_id having count(*) <> 2) union all select 'repeated_member', count(*) from (select member_id from m group by member_id having count(*) > 1)")
+_TELLING = "['side', 'answer', 'template', 'left', 'right']"
+_WORDS = f"list_filter(flatten((select list(distinct string_split_regex(lower(coalesce(template_id, '')), '[^a-z0-9]+')) from {SCENES} where pair_id is not null)), lambda w: len(w) >= 4 and not regexp_full_match(w, 'v\\d+'))"
+_RELEASE = f"""one as (select pair_id as name, arg_min(struct_pack(a := image_a_path, b := image_b_path, c := changed_region_mask_a, d := changed_region_mask_b), ordinal) as x from {SCENES} where pair_id is not null group by pair_id),
+  told as materialized (select list_concat({_WORDS}, {_TELLING}) as telling),
+  m as (select substr(sha256('r' || chr(0) || name), 1, 16) as pair_id, unnest([struct_pack(side := 'a', image := coalesce(x.a, ''), mask := coalesce(x.c, '')), struct_pack(side := 'b', image := coalesce(x.b, ''), mask := coalesce(x.d, ''))]) as y from one),
+  p as (select pair_id, unnest([struct_pack(folder := 'images', path := y.image), struct_pack(folder := 'masks', path := y.mask)]) as z from m),
+  q as (select *, z.path as path, list_filter(string_split(z.path, '/'), lambda s: s not in ('', '.')) as parts from p)"""
+
+
+def _release(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A release of the scene pairs under opaque ids with the paths of the table, and its key."""
+    paths = ["image_a_path", "image_b_path", "changed_region_mask_a", "changed_region_mask_b", "answer_a", "answer_b", "template_id"]
+    one = table(spark, d, SCENES).where("pair_id is not null").groupBy("pair_id").agg(F.min_by(F.struct(*paths), "ordinal").alias("x")).select("pair_id", "x.*")
+    member = lambda s: measures.opaque_id("m", F.col("pair_id"), F.lit(s))
+    pair = measures.opaque_id("r", F.col("pair_id")).alias("pair_id")
+    manifest = one.select(pair, F.array(*[F.struct(member(s).alias("member_id"), F.col(f"image_{s}_path").alias("image_path"), F.col(f"changed_region_mask_{s}").alias("mask_path")) for s in "ab"]).alias("members"))
+    keys = one.select(pair, "template_id", F.array(*[F.struct(member(s).alias("member_id"), F.lit(s).alias("source_side"), F.col(f"answer_{s}").alias("answer")) for s in "ab"]).alias("members"))
+    return manifest, keys
+
+
+@query(
+    "v01_release",
+    f"with {_RELEASE}, codes as (select case when path like '/%' or list_contains(parts, '..') then ['unsafe_path'] else list_filter([case when len(parts) <> 2 or parts[1] <> z.folder then 'nonuniform_path' end, case when not regexp_full_match(coalesce(parts[len(parts)], ''), '[0-9a-f]{{16}}\\.png') then 'nonopaque_filename' end, case when list_has_any(string_split_regex(lower(path), '[^a-z0-9]+'), telling) then 'leaky_path' end], lambda c: c is not null) end as c from q, told), n as (select count(*) as n from one) select code, count(*) as n from (select unnest(c) as code from codes union all select 'member_order_not_randomized' from n where n >= 4) group by code",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All codes but that of answers that match, which SQL cannot decide (v01_answers has it)."""
+    return release.lint(*_release(spark, d)).where("code <> 'answers_cross_match'").groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("v01_answers")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, SCENES).where("pair_id is not null and image_a_path is not null")
-    m = rows.select(measures.opaque_id("r", F.col("pair_id")).alias("pair_id"), measures.opaque_id("m", F.col("image_a_path")).alias("member_id"), F.col("image_a_path").alias("image_path"))
-    return validate.release_violations(m).groupBy("code").agg(F.count("*").alias("n"))
+    return release.lint(*_release(spark, d)).where("code = 'answers_cross_match'").select("code", "pair_id")
 
 
-@query("v02_status", "select 'bad_layer' as code, 0::bigint as n, true as passed union all select 'bad_role', 0, true")
+@query("v02_status", f"with hits as (select case when layer not in ('l1', 'l2', 'l3', 'probe') then 'bad_layer' end as a, case when not regexp_full_match(image_a_sha256, '[0-9a-f]{{64}}') then 'bad_digest_a' end as b, case when question is null or trim(question) = '' then 'no_question' end as c, case when scene_a is null or scene_b is null then 'no_scene' end as e, case when image_a_sha256 = image_b_sha256 then 'same_images' end as f from {SCENES}), counted as (select code, count(*) as n from (select unnest([a, b, c, e, f]) as code from hits) where code is not null group by code) select t.code, coalesce(n, 0)::bigint as n, n is null as passed from (values ('bad_layer'), ('bad_digest_a'), ('no_question'), ('no_scene'), ('same_images')) as t(code) left join counted using (code)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = validate.scene_violations(table(spark, d, SCENES))
-    return validate.battery_status(found.where("code in ('bad_layer', 'bad_role')"), ["bad_layer", "bad_role"])
+    codes = ["bad_layer", "bad_digest_a", "no_question", "no_scene", "same_images"]
+    return validate.battery_status(validate.scene_violations(table(spark, d, SCENES)).where(F.col("code").isin(codes)), codes)
 
 
 @query("v06_artifact", "select round(greatest(0, least(1, abs(x - 0.5) / 0.5)), 9) as score, x <= 0.55 and x <= 0.62 as passes, x from (values (0.4), (0.5), (0.6), (1.0)) as t(x)")

@@ -141,15 +141,37 @@ def test_conditions(spark):
     assert told == "Look \n[Image description 1: x]\n here \n[Image description 2: y]\n."
 
 
-def test_release_rules(spark):
-    good = spark.createDataFrame([("0" * 16, "1" * 16, "1" * 16 + ".png"), ("0" * 16, "2" * 16, "2" * 16 + ".png")], "pair_id string, member_id string, image_path string")
-    assert validate.release_violations(good).count() == 0
-    bad = good.union(spark.createDataFrame([("P", None, "target_switch.png")], good.schema))
-    assert {r["code"] for r in validate.release_violations(bad).collect()} == {"pair_id_not_opaque", "image_path_not_opaque", "telling_path", "missing_member", "member_count"}
-
-
 def test_text(spark):
     row = spark.range(1).select(
         text.normalize_text(F.lit("Straße <image> A-b_c!")).alias("n"), F.size(text.word_ngrams(F.split(F.lit("a b c"), " "))).alias("short"), F.size(text.word_ngrams(F.split(F.lit("a b c d e f a b c d e"), " "))).alias("k")
     ).first()
     assert row.asDict() == {"n": "strasse a b_c", "short": 0, "k": 6}
+
+
+def test_boxes_at_any_depth(spark):
+    deep = "\\boxed{" + "{" * 9 + "x" + "}" * 9 + "}"
+    cases = {
+        r"\boxed{\boxed{3}}": "3",
+        r"a \boxed{1} b \boxed{\frac{1}{2}} c": r"\frac{1}{2}",
+        r"\boxed{1} and \boxed{2": "1",
+        r"\boxed{ {a}{b} }": "{a}{b}",
+        r"\boxed{}": "",
+        deep: "{" * 9 + "x" + "}" * 9,
+        r"\boxed{1} \boxed": "1",
+        "no box\nlast": "last",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["s"]["span"] for r in rows.select("t", answers.extract_answer(F.col("t")).alias("s")).collect()}
+    assert got == cases
+
+
+def test_presentation_is_unwrapped_to_the_end(spark):
+    cases = {"$" * 7 + "x" + "$" * 7: "x", r"\(\[ $\text{\text{a}}$ \]\)": "a", "$ $": "$ $", "$": "$", r"$\text{\(x\)}$": "x", "plain": "plain"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["n"] for r in rows.select("t", answers.normalize_presentation(F.col("t")).alias("n")).collect()}
+    assert got == cases
+
+
+def test_normal_form_folds_width_case_and_ligatures(spark):
+    rows = spark.createDataFrame([("Ｆull ﬁne",), ("Straße <image>ǅ",), (None,), ("",), ("ſharp İ",)], "t string")
+    assert [r[0] for r in rows.select(text.normalize_text(F.col("t"))).collect()] == ["full fine", "strasse d\u017e", None, "", "sharp i"]
