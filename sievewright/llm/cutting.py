@@ -9,15 +9,18 @@ alone, and the piece texts are read by offset. Texts of one range take the same
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.tokens import VOCABULARY, Coder, clean_text, coder
+from sievewright.session import broadcast_if_few
 from sievewright.session import cut as cut_lineage
 
 #: Bytes of a range and of its halo.
@@ -31,11 +34,11 @@ STRETCH = 24
 #: Shortened words after which a full stop ends no sentence.
 SHORT = ("Dr", "Mr", "Mrs", "No", "Nr", "approx", "cf", "e.g", "i.e", "vs", "fig", "z. B", "z.B", "c.-à-d")
 
-_LINE = re.compile(r"[^\S\n]*\n\s*")
-_SENTENCE = re.compile(
-    r"[.!?…]" + "".join(rf"(?<!\b{re.escape(x)}\.)" for x in SHORT)
-    + r"""["'”’)\]]*(?=[ \t]+["'“‘(\[]?[A-Z0-9À-ÞΑ-ΩА-Я぀-鿿])|[。！？]["'”’）」』]*"""
-)
+_LINE = re.compile(r"\n\s*")
+_SENTENCE = re.compile(r"""[.!?…]["'”’)\]]*(?=[ \t]+["'“‘(\[]?[A-Z0-9À-ÞΑ-ΩА-Я぀-鿿])""")
+_SENTENCE_WIDE = re.compile(r"""[。！？]["'”’）」』]*""")
+_SHORT_LAST = {x[-1] for x in SHORT}
+_SHORT = re.compile(r"(?:" + "|".join(rf"(?<!\w){re.escape(x)}" for x in SHORT) + r")\.$")
 #: Places where the split pattern starts a new word whatever stands before: a blank after a non-blank, or a letter or
 #: digit run followed by a character of another kind.
 _ANEW = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])")
@@ -76,6 +79,11 @@ def token_ends(text: str, code: Coder) -> np.ndarray:
     return np.cumsum(code.lengths[np.array(code.encode(text), np.int64)]) if text else np.zeros(0, np.int64)
 
 
+def _ends_short(text: str, at: int) -> bool:
+    """Whether the full stop at a place belongs to a shortened word."""
+    return text[at] == "." and text[at - 1 : at] in _SHORT_LAST and _SHORT.search(text, max(0, at - 8), at + 1) is not None
+
+
 def boundaries(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, tokens and kind at each boundary of a text, its end included.
 
@@ -83,14 +91,19 @@ def boundaries(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     as of ``token_ends``.
     """
     data = text.encode()
-    sentence = [m.end() for m in _SENTENCE.finditer(text)]
-    places, kinds = sentence, [2] * len(sentence)
-    if "\n" in text:
-        for m in _LINE.finditer(text):
-            a, b = m.span()
-            # a run of blanks that ends a line belongs to the piece before, unless it indents the next line
-            places.append(b if text[b - 1] == "\n" and b < len(text) else a)
-            kinds.append(4 if text.count("\n", a, b) > 1 else 3)
+    places = [m.end() for m in _SENTENCE.finditer(text) if not _ends_short(text, m.start())]
+    if "。" in text or "！" in text or "？" in text:
+        places += [m.end() for m in _SENTENCE_WIDE.finditer(text)]
+    kinds = [2] * len(places)
+    for m in _LINE.finditer(text):
+        a, b = m.span()
+        if text[b - 1] == "\n" and b < len(text):
+            places.append(b)
+        else:  # a run of blanks that ends a line belongs to the piece before, unless it indents the next line
+            while a and text[a - 1].isspace():
+                a -= 1
+            places.append(a)
+        kinds.append(4 if text.count("\n", a, b) > 1 else 3)
     at, kind = np.array(places, np.int64), np.array(kinds, np.int8)
     if not text.isascii():
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -104,8 +117,10 @@ def boundaries(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         raw = np.frombuffer(data, np.uint8)
         blank = (raw == 32) | (raw == 10) | (raw == 9) | (raw == 13)
         words, _, word_token = _real(np.flatnonzero(~blank[:-1] & blank[1:]) + 1, None, ends)
-        stretch = np.searchsorted(edges, word_token, "left") - 1
-        inside = np.isin(stretch, wide) & (word_token != edges[np.minimum(stretch + 1, len(edges) - 1)])
+        stretch = edges.searchsorted(word_token) - 1
+        long = np.zeros(len(edges), bool)
+        long[wide] = True
+        inside = long[stretch] & (word_token != edges[np.minimum(stretch + 1, len(edges) - 1)])
         at, kind, token = np.concatenate([at, words[inside]]), np.concatenate([kind, np.ones(inside.sum(), np.int8)]), np.concatenate([token, word_token[inside]])
         order = np.argsort(token, kind="stable")
         at, kind, token = at[order], kind[order], token[order]
@@ -129,7 +144,7 @@ def _real(at: np.ndarray, kind: np.ndarray | None, ends: np.ndarray) -> tuple[np
         return none, np.zeros(0, np.int8), none
     order = np.lexsort((-kind, at))
     at, kind = at[order], kind[order]
-    index = np.searchsorted(ends, at)
+    index = ends.searchsorted(at)
     real = (at > 0) & (index < len(ends) - 1) & (ends[np.minimum(index, len(ends) - 1)] == at)
     real[1:] &= at[1:] != at[:-1]
     return at[real], kind[real], index[real] + 1
@@ -146,21 +161,22 @@ def choose(token: np.ndarray, kind: np.ndarray, most: int, overlap: int) -> list
     out: list[tuple[int, int, int, int]] = []
     if total <= most:
         return out
+    at = token.tolist()
     start, done = 0, 0
     while True:
-        base = int(np.searchsorted(token, start, "right")) - 1
+        base = bisect_right(at, start) - 1
         if total - start <= most:
-            out.append((start, base, len(token) - 1, 5))
+            out.append((start, base, len(at) - 1, 5))
             return out
-        lo = int(np.searchsorted(token, max(start + most // 2, done + 1)))
-        hi = int(np.searchsorted(token, start + most, "right"))
+        lo = bisect_left(at, max(start + most // 2, done + 1))
+        hi = bisect_right(at, start + most)
         if lo >= hi:
-            lo = int(np.searchsorted(token, done + 1))
+            lo = bisect_left(at, done + 1)
             hi = max(hi, lo + 1)
         ks = kind[lo:hi]
-        end = lo + int(np.flatnonzero(ks == ks.max())[-1])
+        end = hi - 1 - int(ks[::-1].argmax())
         out.append((start, base, end, int(kind[end])))
-        done = int(token[end])
+        done = at[end]
         start = max(done - overlap, start + 1) if overlap else done
 
 
@@ -179,7 +195,7 @@ def _aligned(view: bytes, ends: np.ndarray, skip: int, code: Coder) -> int:
         rest = view[e : e + 120].decode("utf-8", "ignore")
         anew = _ANEW.search(rest, 1)
         word = rest[: anew.start()] if anew else rest
-        if code.count(word) <= int(np.searchsorted(ends, e + len(word.encode()), "right")) - s:
+        if code.count(word) <= int(ends.searchsorted(e + len(word.encode()), "right")) - s:
             return e
     e = int(ends[skip - 1])
     while e > 0 and e < len(view) and 0x80 <= view[e] < 0xC0:
@@ -228,8 +244,8 @@ def pieces(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY
     """Ordered pieces of all texts longer than a limit, for every setting of ``limits``.
 
     ``limits``: rows of ``purpose`` piece with ``setting``, ``max_tokens`` and ``overlap_tokens`` (null is 0). Returns
-    setting, doc_id, piece (from 0), start_byte and end_byte (of the UTF-8 text), tokens, boundary (what the piece ends
-    at) and text. Pieces end at paragraphs, lines, sentences or words, and inside a word only where a text has no
+    setting, doc_id, piece (from 0), start_byte and end_byte (of the UTF-8 text), tokens (of the piece as a text of its
+    own), boundary (what the piece ends at) and text. Pieces end at paragraphs, lines, sentences or words, and inside a word only where a text has no
     other boundary for long; consecutive pieces share ``overlap_tokens`` tokens (a little more or less where that
     place lies inside a character or word). Null texts and texts within a limit give no pieces. ``doc_id`` must be
     unique.
@@ -238,17 +254,17 @@ def pieces(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY
     rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     short = rows.where(F.octet_length("text") <= range_bytes)
 
-    def direct(batches: Iterator[pd.DataFrame]):
+    def direct(batches: Iterator[pa.RecordBatch]):
         code = coder(vocabulary)
-        for pdf in batches:
+        for batch in batches:
             out, size = [], 0
-            for doc, raw in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if size > OUTPUT_BYTES:
-                    yield _frame(out)
+                    yield _batch(out)
                     out, size = [], 0
-                text = clean_text(raw)
-                if not text:
+                if not raw or len(raw) * 4 <= settings_least:
                     continue
+                text = clean_text(raw)
                 data = text.encode()
                 if len(data) <= settings_least:
                     continue
@@ -258,17 +274,58 @@ def pieces(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY
                 at, token, kind = boundaries(text, ends)
                 out += _cut(doc, data, at, token, kind, ends, settings, code)
                 size += len(data) * len(settings)
-            yield _frame(out)
+            if out:
+                yield _batch(out)
 
     settings_least = min((m for _, m, _ in settings), default=0)  # a token has at least one byte
-    done = short.mapInPandas(direct, _PIECE)
+    done = short.mapInArrow(direct, _PIECE)
     long = rows.where(F.octet_length("text") > range_bytes).select("doc_id", F.encode("text", "UTF-8").alias("data"))
     stitched = _stitched(long, settings, vocabulary, range_bytes)
     return done.unionByName(stitched)
 
 
-def _frame(out: list) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=["setting", "doc_id", "piece", "start_byte", "end_byte", "tokens", "boundary", "text"])
+_ARROW = pa.schema([("setting", pa.string()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("tokens", pa.int32()), ("boundary", pa.string()), ("text", pa.string())])
+
+
+def _batch(out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
+_BLANK = b" \n\t\r"
+
+
+def _blank_after_word(data: bytes, at: int) -> bool:
+    """Whether a blank that follows none stands at a byte: tokenizing starts anew there whatever precedes."""
+    return data[at] in _BLANK and 0x20 < data[at - 1] < 0x7F
+
+
+def exact_tokens(data: bytes, s: int, e: int, ends: np.ndarray, code: Coder) -> int:
+    """Tokens of the bytes from ``s`` to ``e`` as a text of their own, given the tokens of the whole text.
+
+    Between the first and the last place where tokenizing starts anew both texts have the same tokens; only what stands
+    before and behind is encoded again.
+    """
+    head = s
+    if s and not (_blank_after_word(data, s) or (data[s - 1] == 10 and data[s] > 0x20 and data[s] < 0x7F)):
+        view = data[s : min(e, s + 256)]
+        view = view[: len(view) - _torn(view)].decode("utf-8", "ignore")
+        found = _ANEW.search(view, 1)
+        head = s + len(view[: found.start()].encode()) if found else e
+    tail = e
+    if e < len(data) and not _blank_after_word(data, e):
+        while tail > head and data[tail - 1] in _BLANK:
+            tail -= 1
+        if tail == e or (tail > head and not _blank_after_word(data, tail)):
+            begin = _edge(data, max(head, e - 256))
+            view = data[begin:e].decode("utf-8", "ignore")
+            last = None
+            for last in _ANEW.finditer(view, 1):
+                pass
+            tail = begin + len(view[: last.start()].encode()) if last else head
+    if tail <= head:
+        return code.count(data[s:e].decode("utf-8", "ignore"))
+    inside = int(ends.searchsorted(tail, "right") - ends.searchsorted(head, "right"))
+    return inside + (code.count(data[s:head].decode("utf-8", "ignore")) if head > s else 0) + (code.count(data[tail:e].decode("utf-8", "ignore")) if tail < e else 0)
 
 
 def _cut(doc: int, data: bytes, at: np.ndarray, token: np.ndarray, kind: np.ndarray, ends: np.ndarray, settings: list, code: Coder) -> list[tuple]:
@@ -277,17 +334,75 @@ def _cut(doc: int, data: bytes, at: np.ndarray, token: np.ndarray, kind: np.ndar
         for n, (start, base, end, k) in enumerate(choose(token, kind, most, overlap)):
             exact = not start or (base >= 0 and int(token[base]) == start)
             s, e = (int(ends[start - 1]) if start else 0) if exact else _aligned(data, ends, start, code), int(at[end])
-            out.append((name, doc, n, s, e, int(token[end]) - start, KINDS[k], data[s:e].decode("utf-8", "ignore")))
+            out.append((name, doc, n, s, e, exact_tokens(data, s, e, ends, code), KINDS[k], data[s:e].decode("utf-8", "ignore")))
     return out
 
 
 def _stitched(long: DataFrame, settings: list, vocabulary: str, range_bytes: int) -> DataFrame:
-    """Pieces of texts of several ranges: boundary tables by range, stitched by prefix sums, texts by offset."""
+    """Pieces of texts of several ranges: boundary tables by range, stitched by prefix sums, texts by offset.
+
+    ``long``: doc_id, data. Only the ranges leave their rows for the tables, and only the pieces for the texts; what
+    is joined to the texts are numbers, which are broadcast where they are few.
+    """
     size = F.octet_length("data")
     ranges = long.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / range_bytes))).alias("n"), size.alias("size"), "data")
-    lead = 8  # bytes before a range, enough for the character that precedes it
+    part = F.expr("substring(data, cast(begin + 1 as int), cast(length as int))")
+    ranges = _spans(ranges, range_bytes).select("doc_id", "n", "size", "begin", part.alias("part"))
+    chosen = cut_lineage(_chosen(ranges, settings, vocabulary, range_bytes))
+    part = F.expr("substring(data, cast(origin + 1 as int), cast(end_byte - origin as int))")
+    spans = long.join(broadcast_if_few(chosen, chosen.count(), 120), "doc_id").select("setting", "doc_id", "piece", "origin", "skip", "end_byte", "boundary", part.alias("part"))
+    return _emitted(spans, vocabulary)
+
+
+def _spans(ranges: DataFrame, range_bytes: int) -> DataFrame:
+    """Ranges with the first byte and the number of bytes that a worker needs: a few bytes before, and the halo behind."""
+    lead = 8  # enough for the character that precedes
     begin = F.greatest(F.col("n") * range_bytes - lead, F.lit(0))
-    ranges = ranges.select("doc_id", "n", "size", begin.alias("begin"), F.expr(f"substring(data, cast(greatest(n * {range_bytes} - {lead}, 0) + 1 as int), {range_bytes + lead + 2 * HALO_BYTES})").alias("part"))
+    return ranges.withColumn("begin", begin).withColumn("length", F.least(F.col("size") - F.col("begin"), F.lit(range_bytes + lead + 2 * HALO_BYTES)))
+
+
+def file_pieces(files: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY, range_bytes: int = 1 << 20) -> DataFrame:
+    """Pieces of text files of any size, as of ``pieces``, without loading a file as a whole.
+
+    ``files``: doc_id, path (of a file system that pyarrow opens and all executors reach), size in bytes; UTF-8. Workers
+    open a file and read their range, and later their piece, by offset. Only the boundary table of a file is held by
+    one task. Null paths and empty files give no pieces.
+    """
+    settings = _limits(limits)
+    known = files.select("doc_id", "path", "size").where("doc_id is not null and path is not null and size > 0")
+    each = known.select("doc_id", "path", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / range_bytes))).alias("n"))
+    ranges = _read(_spans(each, range_bytes).repartition("doc_id", "n"), ["doc_id", "n", "size", "begin"], "begin", "length")
+    chosen = cut_lineage(_chosen(ranges, settings, vocabulary, range_bytes))
+    spans = chosen.withColumn("length", F.col("end_byte") - F.col("origin")).join(known.select("doc_id", "path"), "doc_id").repartition("doc_id", "setting", "piece")
+    return _emitted(_read(spans, ["setting", "doc_id", "piece", "origin", "skip", "end_byte", "boundary"], "origin", "length"), vocabulary)
+
+
+def _read(spans: DataFrame, keep: list[str], begin: str, length: str) -> DataFrame:
+    """Rows with the bytes of their file from ``begin`` on as ``part``."""
+
+    def read(batches: Iterator[pd.DataFrame]):
+        from pyarrow.fs import FileSystem, LocalFileSystem
+
+        opened: dict[str, object] = {}
+        for pdf in batches:
+            parts = []
+            for path, at, n in zip(pdf["path"], pdf[begin].tolist(), pdf[length].tolist(), strict=True):
+                if path not in opened:
+                    for f in opened.values():
+                        f.close()
+                    system, name = FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+                    opened = {path: system.open_input_file(name)}
+                parts.append(opened[path].read_at(n, at))
+            yield pdf[keep].assign(part=parts)
+        for f in opened.values():
+            f.close()
+
+    types = {f.name: f.dataType.simpleString() for f in spans.schema}
+    return spans.mapInPandas(read, ", ".join(f"{c} {types[c]}" for c in keep) + ", part binary")
+
+
+def _chosen(ranges: DataFrame, settings: list, vocabulary: str, range_bytes: int) -> DataFrame:
+    """Pieces as numbers, from ranges of texts (doc_id, n, size, begin, part): boundary tables, stitched by prefix sums."""
 
     def tables(batches: Iterator[pd.DataFrame]):
         code = coder(vocabulary)
@@ -334,20 +449,23 @@ def _stitched(long: DataFrame, settings: list, vocabulary: str, range_bytes: int
         if parts:
             yield finish()
 
-    chosen = cut_lineage(ordered.mapInPandas(stitch, "doc_id long, setting string, piece int, origin long, skip int, end_byte long, tokens int, boundary string"))
-    part = F.expr("substring(data, cast(origin + 1 as int), cast(end_byte - origin as int))")
-    spans = chosen.join(long, "doc_id").select("setting", "doc_id", "piece", "origin", "skip", "end_byte", "tokens", "boundary", part.alias("part"))
+    return ordered.mapInPandas(stitch, "doc_id long, setting string, piece int, origin long, skip int, end_byte long, tokens int, boundary string").drop("tokens")
+
+
+def _emitted(spans: DataFrame, vocabulary: str) -> DataFrame:
+    """Pieces with their texts: ``part`` has the bytes from the boundary at ``origin`` to the end of the piece."""
 
     def emit(batches: Iterator[pd.DataFrame]):
         code = coder(vocabulary)
         for pdf in batches:
-            starts, texts = [], []
+            starts, texts, tokens = [], [], []
             for origin, skip, part in zip(pdf["origin"].tolist(), pdf["skip"].tolist(), pdf["part"], strict=True):
                 data = bytes(part)
                 s = start_byte(data, 0, skip, code)
                 starts.append(origin + s)
                 texts.append(data[s:].decode("utf-8", "ignore"))
-            yield pd.DataFrame({"setting": pdf["setting"], "doc_id": pdf["doc_id"], "piece": pdf["piece"], "start_byte": np.array(starts, np.int64), "end_byte": pdf["end_byte"], "tokens": pdf["tokens"], "boundary": pdf["boundary"], "text": texts})
+                tokens.append(code.count(texts[-1]))
+            yield pd.DataFrame({"setting": pdf["setting"], "doc_id": pdf["doc_id"], "piece": pdf["piece"], "start_byte": np.array(starts, np.int64), "end_byte": pdf["end_byte"], "tokens": np.array(tokens, np.int32), "boundary": pdf["boundary"], "text": texts})
 
     return spans.mapInPandas(emit, _PIECE)
 

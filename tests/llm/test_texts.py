@@ -176,3 +176,35 @@ def test_pieces_end_at_boundaries(spark):
 def test_pieces_of_nothing(spark, documents):
     limits = spark.createDataFrame(PIECES, LIMITS)
     assert cutting.pieces(documents.limit(0), limits).count() == 0
+
+
+def test_piece_tokens_are_those_of_the_piece(spark, documents):
+    limits = spark.createDataFrame([("piece", "a", 100, 20), ("piece", "b", 300, 0)], LIMITS)
+    code = coder()
+    got = cutting.pieces(documents, limits, range_bytes=2_000).collect()
+    assert len(got) > 100
+    assert all(r["tokens"] == code.count(r["text"]) for r in got)
+    assert all(r["tokens"] <= {"a": 100, "b": 300}[r["setting"]] for r in got)
+
+
+def test_pieces_of_files(spark, tmp_path):
+    r = random.Random(4)
+    bodies = {1: "\n\n".join(words(r, 40) for _ in range(900)), 2: "図形の面積は三平方です。" * 3000, 3: "short", 4: ""}
+    rows = []
+    for i, body in bodies.items():
+        (tmp_path / f"{i}.txt").write_text(body)
+        rows.append((i, ("file://" if i == 2 else "") + str(tmp_path / f"{i}.txt"), len(body.encode())))
+    files = spark.createDataFrame([*rows, (5, None, 9)], "doc_id long, path string, size long")
+    limits = spark.createDataFrame([("piece", "a", 200, 20)], LIMITS)
+    got = {(x["doc_id"], x["piece"]): (x["start_byte"], x["end_byte"], x["tokens"], x["text"]) for x in cutting.file_pieces(files, limits, range_bytes=16_384).collect()}
+    texts_ = spark.createDataFrame([(i, b) for i, b in bodies.items()], "doc_id long, text string")
+    want = {(x["doc_id"], x["piece"]): (x["start_byte"], x["end_byte"], x["tokens"], x["text"]) for x in cutting.pieces(texts_, limits, range_bytes=16_384).collect()}
+    assert got == want and len({d for d, _ in got}) == 2
+    for i in (1, 2):
+        data = bodies[i].encode()
+        at = 0
+        for n in range(sum(d == i for d, _ in got)):
+            s, e, _, text = got[i, n]
+            assert data[s:e].decode() == text and s <= at < e
+            at = e
+        assert at == len(data)
