@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.tokens import VOCABULARY, Coder, clean_text, coder
+from sievewright.llm.tokens import VOCABULARY, Coder, clean_text, shipped, worker_coder
 from sievewright.session import broadcast_if_few
 from sievewright.session import cut as cut_lineage
 
@@ -254,8 +254,10 @@ def pieces(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY
     rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     short = rows.where(F.octet_length("text") <= range_bytes)
 
+    name = shipped(documents.sparkSession, vocabulary)
+
     def direct(batches: Iterator[pa.RecordBatch]):
-        code = coder(vocabulary)
+        code = worker_coder(name)
         for batch in batches:
             out, size = [], 0
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -404,8 +406,10 @@ def _read(spans: DataFrame, keep: list[str], begin: str, length: str) -> DataFra
 def _chosen(ranges: DataFrame, settings: list, vocabulary: str, range_bytes: int) -> DataFrame:
     """Pieces as numbers, from ranges of texts (doc_id, n, size, begin, part): boundary tables, stitched by prefix sums."""
 
+    name = shipped(ranges.sparkSession, vocabulary)
+
     def tables(batches: Iterator[pd.DataFrame]):
-        code = coder(vocabulary)
+        code = worker_coder(name)
         for pdf in batches:
             out = []
             for doc, n, whole, begin, part in zip(pdf["doc_id"].tolist(), pdf["n"].tolist(), pdf["size"].tolist(), pdf["begin"].tolist(), pdf["part"], strict=True):
@@ -455,8 +459,10 @@ def _chosen(ranges: DataFrame, settings: list, vocabulary: str, range_bytes: int
 def _emitted(spans: DataFrame, vocabulary: str) -> DataFrame:
     """Pieces with their texts: ``part`` has the bytes from the boundary at ``origin`` to the end of the piece."""
 
+    name = shipped(spans.sparkSession, vocabulary)
+
     def emit(batches: Iterator[pd.DataFrame]):
-        code = coder(vocabulary)
+        code = worker_coder(name)
         for pdf in batches:
             starts, texts, tokens = [], [], []
             for origin, skip, part in zip(pdf["origin"].tolist(), pdf["skip"].tolist(), pdf["part"], strict=True):

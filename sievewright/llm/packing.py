@@ -19,11 +19,9 @@ from sievewright.session import cut
 
 #: Items that one task packs; a block leaves at most a few bins partly unused.
 BLOCK_ITEMS = 20_000
-#: Sources that do not share a container: machine output and personal letters.
-APART = (("run_logs", "reader_letters"), ("recipe_files", "reader_letters"))
 
 
-def best_fit(sizes: list[int], sources: list[str], clusters: list[int], capacity: int, apart: tuple = APART) -> list[int]:
+def best_fit(sizes: list[int], sources: list[str], clusters: list[int], capacity: int, apart: tuple = ()) -> list[int]:
     """Bin of each item, in the order given. Every size must be between 1 and ``capacity``.
 
     Two items with one cluster never share a bin, nor do items of two sources that are to be kept ``apart``.
@@ -61,15 +59,18 @@ def best_fit(sizes: list[int], sources: list[str], clusters: list[int], capacity
     return out
 
 
-def pack(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY, apart: tuple = APART, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def pack(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY, apart: tuple = (), block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Documents in containers: ``setting``, ``capacity``, ``container``, ``doc_id``, ``piece``, ``first_token``, ``tokens``, ``source``.
 
     ``limits``: rows of ``purpose`` container with ``setting`` and ``max_tokens``. A text of more tokens than a
     capacity is divided into pieces of exactly the capacity, each a full container of its own, and a rest that is
     packed like any other item; no other text is divided. Items are spread over blocks by a hash of their id, and each
-    block is packed by itself. Null, empty and blank texts take no container. Repeated rows of a document are one.
+    block is packed by itself; there are as many blocks as the number of documents asks for, so containers change when
+    documents are added. No container holds two copies of a text; ``apart`` names pairs of sources that share no
+    container either. Null, empty and blank texts take no container. Rows that repeat a document count as the one with
+    the most tokens.
     """
-    sized = cut(measured(documents.dropDuplicates(["doc_id"]) if _repeated(documents) else documents, vocabulary))
+    sized = cut(_one_each(measured(documents, vocabulary)))
     settings = [(r["setting"], int(r["max_tokens"])) for r in limits.where("purpose = 'container' and max_tokens > 0").select("setting", "max_tokens").distinct().collect()]
     schema = "setting string, capacity long, container string, doc_id long, piece int, first_token long, tokens long, source string"
     spark = documents.sparkSession
@@ -92,9 +93,10 @@ def pack(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY,
     return packed.unionByName(full)
 
 
-def _repeated(documents: DataFrame) -> bool:
-    """Whether a document id occurs on several rows."""
-    return documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+def _one_each(sized: DataFrame) -> DataFrame:
+    """One row a document: of repeated ones that with the most tokens, of equals the greatest."""
+    most = F.max(F.struct("tokens", "cluster", "source"))
+    return sized.groupBy("doc_id").agg(most.alias("m")).select("doc_id", "m.source", "m.tokens", "m.cluster")
 
 
 def pack_report(packed: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Default place of the vocabulary; a parameter of every operator here.
@@ -44,6 +46,17 @@ def coder(path: str = VOCABULARY) -> Coder:
     return Coder(path)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Name under which every worker finds a copy of the driver's vocabulary file (see ``worker_coder``)."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def worker_coder(name: str) -> Coder:
+    """The encoder of a shipped vocabulary file, in a task."""
+    return coder(SparkFiles.get(name))
+
+
 def clean_text(text: object) -> str | None:
     """Text with unpaired surrogates replaced, or ``None``."""
     return text.encode("utf-8", "replace").decode() if isinstance(text, str) else None
@@ -64,8 +77,10 @@ def measured(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     repetitive texts weigh less. Null, empty and blank texts have no tokens worth placing and are left out.
     """
 
+    name = shipped(documents.sparkSession, vocabulary)
+
     def measure(batches: Iterator[pd.DataFrame]):
-        code = coder(vocabulary)
+        code = worker_coder(name)
         for pdf in batches:
             kept, tokens, clusters, quality = [], [], [], []
             for i, raw in enumerate(pdf["text"]):

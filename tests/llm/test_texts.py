@@ -52,7 +52,8 @@ def test_best_fit_takes_the_tightest_compatible_bin():
 
 def test_pack(spark, documents):
     limits = spark.createDataFrame([("container", "s", 64, None), ("container", "m", 700, None), ("piece", "x", 9, 1)], LIMITS)
-    packed = packing.pack(documents, limits, block_items=20).collect()
+    apart = (("run_logs", "reader_letters"),)
+    packed = packing.pack(documents, limits, apart=apart, block_items=20).collect()
     sizes = {r["doc_id"]: r for r in measured(documents).collect()}
     for setting, capacity in (("s", 64), ("m", 700)):
         rows = [r for r in packed if r["setting"] == setting]
@@ -76,7 +77,7 @@ def test_pack(spark, documents):
             assert not {"run_logs", "reader_letters"} <= {r["source"] for r in inside}
     assert packing.pack(documents.limit(0), limits).count() == 0
     assert packing.pack(documents, limits.limit(0)).count() == 0
-    doubled = packing.pack(documents.unionByName(documents), limits, block_items=20)
+    doubled = packing.pack(documents.unionByName(documents), limits, apart=apart, block_items=20)
     assert doubled.count() == len(packed)
 
 
