@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievewright.queries import reference, reports
+from sievewright.queries import files, reference, reports
 
-_MODULES = (reference, reports)
+_MODULES = (reference, reports, files)
 
 
 def queries() -> dict:

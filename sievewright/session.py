@@ -47,6 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"sievewright-{os.getuid()}"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the one of the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return str(spark.sparkContext.getCheckpointDir())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -160,6 +160,17 @@ def _members(content: bytes) -> Iterator[tuple[str, bytes]]:
                     yield info.name, t.extractfile(info).read()
 
 
+def embedded_images(df: DataFrame, key: str, column: str) -> DataFrame:
+    """Images that stand inside the rows of a Parquet table, as a struct of bytes and path or an array of them.
+
+    One row an image: the key, ``image_index``, ``path``, ``bytes``, ``n_bytes``, ``sha256``. Rows without images and
+    images without bytes give none.
+    """
+    several = df.schema[column].dataType.typeName() == "array"
+    each = df.select(key, F.posexplode(F.col(column) if several else F.array(column)).alias("image_index", "x")).where("x.bytes is not null")
+    return each.select(key, "image_index", "x.path", "x.bytes", F.octet_length("x.bytes").cast("long").alias("n_bytes"), F.sha2("x.bytes", 256).alias("sha256"))
+
+
 def images(spark: SparkSession, root: str) -> DataFrame:
     """One row per distinct image content below a folder: ``sha256``, ``image_path`` (the smallest), ``duplicate_paths``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.sha2("content", 256).alias("sha256"))

@@ -11,13 +11,16 @@ def canonical_json(*names: str) -> Column:
     return F.to_json(F.struct(*sorted(names)))
 
 
-def write_lines(df: DataFrame, path: str) -> None:
+def write_lines(df: DataFrame, path: str, compression: str = "none") -> None:
     """Canonical JSON lines in a new folder; an existing one raises."""
-    df.select(canonical_json(*df.columns).alias("value")).write.mode("errorifexists").text(path)
+    df.select(canonical_json(*df.columns).alias("value")).write.mode("errorifexists").option("compression", compression).text(path)
 
 
 def write_table(df: DataFrame, root: str, name: str, columns: list[str] | None = None) -> None:
-    """A small report table as CSV and JSON; null is an empty cell. Names must hold no separator."""
+    """A report table as CSV and JSON, one file each; null is an empty cell. Names must hold no separator.
+
+    A report is small by nature; tables of any size go through ``write_tsv`` or ``write_lines``.
+    """
     if "/" in name or "\\" in name or name in ("", ".", ".."):
         raise ValueError(f"bad table name: {name!r}")
     out = df.select(*(columns or df.columns)).coalesce(1)
@@ -35,9 +38,21 @@ def tsv_cell(c: Column) -> Column:
     return F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\r", r"\\r")
 
 
-def write_tsv(df: DataFrame, path: str) -> int:
-    """A benchmark table; returns the number of rows whose text had a lone carriage return."""
+def write_tsv(df: DataFrame, path: str, files: int | None = None) -> int:
+    """A benchmark table, in as many files as there are tasks or in ``files``; returns the number of rows whose text had a lone carriage return."""
     texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     lone = df.where(F.greatest(*[F.coalesce(F.replace(F.col(c), F.lit("\r\n"), F.lit("")).contains("\r").cast("int"), F.lit(0)) for c in texts], F.lit(0)) == 1).count() if texts else 0
-    df.withColumns({c: tsv_cell(F.col(c)) for c in texts}).coalesce(1).write.mode("errorifexists").option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').csv(path)
+    out = df.withColumns({c: tsv_cell(F.col(c)) for c in texts})
+    (out.coalesce(files) if files else out).write.mode("errorifexists").option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').csv(path)
     return lone
+
+
+def image_index(rows: DataFrame, path: str, digest: str) -> DataFrame:
+    """Names of images by content: ``sha256``, ``name`` (digest and extension), ``first_path``, ``n_uses``.
+
+    Paths of one content share a name; the smallest path gives the extension. Rows without a path or digest are left out.
+    """
+    known = rows.where(F.col(path).isNotNull() & F.col(digest).isNotNull())
+    grouped = known.groupBy(F.col(digest).alias("sha256")).agg(F.min(path).alias("first_path"), F.count("*").alias("n_uses"))
+    extension = F.lower(F.regexp_extract("first_path", r"(\.[A-Za-z0-9]+)$", 1))
+    return grouped.select("sha256", F.concat("sha256", extension).alias("name"), "first_path", "n_uses")
