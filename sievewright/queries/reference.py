@@ -94,17 +94,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(rows.where("split = 'train'").select("item_id").distinct(), "item_id", "left_anti").select("dataset", "item_id").distinct()
 
 
-_STATEMENTS = "(1, 0.5, 0.5004, 'eq'), (2, 0.5, 0.51, 'eq'), (3, 0.2, 0.2, 'le'), (4, 0.3, 0.2, 'lt'), (5, 0.3, 0.3, 'ge'), (6, 0.4, 0.3, 'gt'), (7, 0.0, 0.0, 'zero'), (8, null, null, 'undefined'), (9, null, 0.1, 'eq'), (10, 0.1, null, 'eq')"
-
-
-@query(
-    "f07_outcome",
-    f"with s(id, v, p, r) as (values {_STATEMENTS}) select id::bigint as id, case when p is null and r <> 'undefined' then null when r = 'undefined' and v is null then 'matched' when v is null then 'mismatch' when (r = 'eq' and abs(v - p) <= 5e-4) or (r = 'le' and v <= p + 1e-9) or (r = 'lt' and v < p) or (r = 'ge' and v >= p - 1e-9) or (r = 'gt' and v > p) or (r = 'zero' and v = 0) then 'matched' else 'mismatch' end as outcome from s",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.sql(f"select * from values {_STATEMENTS} as t(id, v, p, r)")
-    v, p = F.col("v").cast("double"), F.col("p").cast("double")
-    return rows.select(F.col("id").cast("long").alias("id"), compare.outcome(v, p, F.col("r"), F.lit(None).cast("double")).alias("outcome"))
 
 
 @query("o02_natural_order", "select item_id, row_number() over (order by (case when regexp_full_match(item_id, '\\d+') then 0 else 1 end), try_cast(item_id as hugeint), item_id) as place from (select distinct item_id from decontamination where item_id is not null)")
@@ -134,10 +123,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("u03_coverage", "with a as (select distinct split, layer from scene_training_n8_l3_first where role = 'invariance'), b as (select distinct split, layer from scene_training_n8_l3_first where cell = 'n20') select coalesce(a.split, b.split) as split, coalesce(a.layer, b.layer) as layer, case when b.split is null then 'left_only' else 'right_only' end as side from a full join b using (split, layer) where a.split is null or b.split is null")
+_LAYER_KEYS = f"(select distinct mother_item_id, cell from {SCENES} where layer = '{{}}' and mother_item_id is not null and cell is not null)"
+
+
+@query("u03_coverage", f"with a as {_LAYER_KEYS.format('l3')}, b as {_LAYER_KEYS.format('probe')} select coalesce(a.mother_item_id, b.mother_item_id) as mother_item_id, coalesce(a.cell, b.cell) as cell, case when b.cell is null then 'left_only' else 'right_only' end as side from a full join b using (mother_item_id, cell) where a.cell is null or b.cell is null")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, SCENES)
-    return guards.coverage_gaps(s.where("role = 'invariance'"), s.where("cell = 'n20'"), ["split", "layer"])
+    """Items of one layer that the other lacks."""
+    s = table(spark, d, SCENES).where("mother_item_id is not null and cell is not null")
+    return guards.coverage_gaps(s.where("layer = 'l3'"), s.where("layer = 'probe'"), ["mother_item_id", "cell"])
 
 
 # ---- sources over the tables
@@ -179,13 +172,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", F.size(text.word_ngrams(text.tokens(text.normalize_text(F.col("question"))))).alias("n"), text.normalize_text(F.col("question")).alias("q")).distinct().select("record_id", "n")
 
 
-@query("x03_x04_jaccard", "select 'texts' as kind, 1.0::double as value union all select 'results', 0.0::double union all select 'three', 0.5::double")
+_JWORDS = "list_distinct(" + _QWORDS + ")"
+_JBOTH = "list_distinct(list_filter(string_split(" + _NORM.format("question || ' ' || answer") + ", ' '), lambda x: x <> ''))"
+
+
+@query("x03_x04_jaccard", f"select record_id, case when len({_JBOTH}) = 0 then 1.0 else len(list_intersect({_JWORDS}, {_JBOTH})) / len({_JBOTH}) end as texts, case when len({_JBOTH}) = 0 then 0.0 else len(list_intersect({_JWORDS}, {_JBOTH})) / len({_JBOTH}) end as results from (select distinct record_id, question, answer from decontamination where question is not null and answer is not null)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    a, b = F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit("b"), F.lit("c"), F.lit("d"))
-    rows = [("texts", text.jaccard(none, none)), ("results", text.jaccard(none, none, 0.0)), ("three", text.jaccard(a, b))]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("double").alias("value")) for k, v in rows]))
-    return spark.range(1).select(each.alias("x")).select("x.*")
+    """Words of a question against the words of the question with its answer."""
+    rows = table(spark, d, "decontamination").where("question is not null and answer is not null").select("record_id", "question", "answer").distinct()
+    words = lambda c: F.array_distinct(text.tokens(text.normalize_text(c)))
+    both = rows.select("record_id", words(F.col("question")).alias("a"), words(F.concat_ws(" ", "question", "answer")).alias("b"))
+    return both.select("record_id", text.jaccard(F.col("a"), F.col("b")).cast("double").alias("texts"), text.jaccard(F.col("a"), F.col("b"), 0.0).cast("double").alias("results"))
 
 
 @query("x05_extract", f"with {RESPONSES} select record_id, case floor(('0x' || substr(md5('dress|' || record_id), 1, 13))::bigint::double / 4503599627370496.0 * 6)::int when 4 then trim(gold) || '.' when 5 then '' else trim(gold) end as span from responses")
@@ -205,16 +202,49 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", answers.normalize_answer_text(F.col("answer")).alias("answer_key"))
 
 
-@query("x09_units", "select * from (values ('5 cm', '5', 'cm'), ('5.0 centimeters', '5.0', 'cm'), ('12 square meters', '12', 'm2'), ('3 in', '3', 'in'), ('90 degrees', '90', 'degree'), ('main', 'main', null), ('7', '7', null), ('4 kilometers', '4', 'km')) as t(answer, core, unit)")
+_WHOLE = f"(select ordinal, answer_a as a from {SCENES} where regexp_full_match(answer_a, '-?[0-9]+'))"
+
+
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """Scene rows whose first answer is a whole number: ordinal, a."""
+    return table(spark, d, SCENES).where(F.col("answer_a").rlike(r"\A-?[0-9]+\z")).select("ordinal", F.col("answer_a").alias("a"))
+
+
+def _form(forms: list[str]) -> F.Column:
+    """The answer in one of several forms, by ordinal; ``@`` stands for the answer."""
+    return F.replace(F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("ordinal") % len(forms) + 1).cast("int")), F.lit("@"), F.col("a"))
+
+
+_UNIT_FORMS = ["@ cm", "@ centimeters", "@ square meters", "@ in", "@ degrees", "@", "@ kilometers", "@ ft^2"]
+
+
+@query("x09_units", f"select ordinal, a as core, ['cm', 'cm', 'm2', 'in', 'degree', null, 'km', 'ft2'][ordinal % 8 + 1] as unit from {_WHOLE}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _whole(spark, d).select("ordinal", answers.split_unit(_form(_UNIT_FORMS)).alias("s")).select("ordinal", "s.core", "s.unit")
+
+
+_RELATIONS = ["eq", "le", "lt", "ge", "gt", "zero", "undefined"]
+
+
+@query(
+    "f07_outcome",
+    f"with s as (select ordinal, a::double / 8 as v, case when ordinal % 5 = 0 then null else (a::double + ordinal % 3 - 1) / 8 end as p, ['eq', 'le', 'lt', 'ge', 'gt', 'zero', 'undefined'][ordinal % 7 + 1] as r from {_WHOLE} union all select -ordinal, null, null, ['eq', 'undefined'][ordinal % 2 + 1] from {_WHOLE}) select ordinal, case when p is null and r <> 'undefined' then null when r = 'undefined' and v is null then 'matched' when v is null then 'mismatch' when (r = 'eq' and abs(v - p) <= 5e-4) or (r = 'le' and v <= p + 1e-9) or (r = 'lt' and v < p) or (r = 'ge' and v >= p - 1e-9) or (r = 'gt' and v > p) or (r = 'zero' and v = 0) then 'matched' else 'mismatch' end as outcome from s",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("5 cm", "5.0 centimeters", "12 square meters", "3 in", "90 degrees", "main", "7", "4 kilometers")], "answer string")
-    return rows.select("answer", answers.split_unit(F.col("answer")).alias("s")).select("answer", "s.core", "s.unit")
+    """Values made of the whole answers against printed ones beside them, by every relation, with either missing."""
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("ordinal") % n + 1).cast("int"))
+    a = F.col("a").cast("double")
+    told = _whole(spark, d).select("ordinal", (a / 8).alias("v"), F.when(F.col("ordinal") % 5 != 0, (a + F.col("ordinal") % 3 - 1) / 8).alias("p"), pick(_RELATIONS, 7).alias("r"))
+    none = F.lit(None).cast("double")
+    untold = _whole(spark, d).select((-F.col("ordinal")).alias("ordinal"), none.alias("v"), none.alias("p"), pick(["eq", "undefined"], 2).alias("r"))
+    return told.unionByName(untold).select("ordinal", compare.outcome(F.col("v"), F.col("p"), F.col("r"), none).alias("outcome"))
 
 
-@query("x11_tiers", "select * from (values ('5', '5', 2), ('5.00004', '5', 2), ('x = 5 m', '5', 1), ('-1', '1', 0), ('15', '5', 0), ('1/2', '0.5', 2), ('50%', '0.5', 2), ('the red one', 'red', 1), ('reddish', 'red', 0), ('Yes.', 'yes', 2), ('', 'yes', 0), ('5 cm', '5 m', 0), ('5 cm', '5', 2), ('$5$', '5', 2)) as t(span, gold, tier)")
+@query("x11_tiers", f"select ordinal, [2, 2, 1, 0, 2, 0, 2, 1][ordinal % 8 + 1] as tier from {_WHOLE}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    cases = [("5", "5"), ("5.00004", "5"), ("x = 5 m", "5"), ("-1", "1"), ("15", "5"), ("1/2", "0.5"), ("50%", "0.5"), ("the red one", "red"), ("reddish", "red"), ("Yes.", "yes"), ("", "yes"), ("5 cm", "5 m"), ("5 cm", "5"), ("$5$", "5")]
-    return spark.createDataFrame(cases, "span string, gold string").withColumn("tier", answers.match_tier(F.col("span"), F.col("gold")))
+    """Answers as they are, close by, inside a phrase, with another digit, in math mode, missing, quoted, and quoted before a stop (the quote then stays)."""
+    span = _form(["@", "@.00004", "x = @ m", "@7", "$@$", "", "'@'", "'@'."])
+    return _whole(spark, d).select("ordinal", answers.match_tier(span, F.col("a")).alias("tier"))
 
 
 @query("x13_pair_score", f"with {RESPONSES}, said as (select record_id, floor(('0x' || substr(md5('dress|' || record_id), 1, 13))::bigint::double / 4503599627370496.0 * 6)::int as u from responses where trim(gold) <> '') select record_id, u < 5 as correct, u = 0 as strict from said")
@@ -228,12 +258,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return responses(spark, d).select("record_id", answers.satisfies_contract(F.col("prediction")).alias("valid"))
 
 
-@query("x16_choices", "select * from (values ('<answer>B</answer>', true), ('Option (B).', true), ('(A)', false), ('the red kite', true), ('A or B', false), ('blue', false)) as t(prediction, correct)")
+@query("x16_choices", f"select ordinal, [true, true, false, false, true, false][ordinal % 6 + 1] as correct, [true, false, false, false, false, false][ordinal % 6 + 1] as strict from {_WHOLE}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("<answer>B</answer>", "Option (B).", "(A)", "the red kite", "A or B", "blue")], "prediction string")
-    labels = F.array(*[F.lit(x) for x in "ABC"])
-    options = F.array(F.lit("green"), F.lit("red kite"), F.lit("blue"))
-    return rows.select("prediction", answers.choice_score(F.col("prediction"), F.array(F.lit("B")), labels, options)["correct"].alias("correct"))
+    """Labels, marked labels, two labels and option texts; the right option is the answer of the row."""
+    labels, options = F.array(*[F.lit(x) for x in "ABC"]), F.array(F.lit("green"), F.concat(F.lit("value "), F.col("a")), F.lit("blue"))
+    score = answers.choice_score(_form(["<answer>B</answer>", "Option (B).", "(A)", "A or B", "value @", "blue"]), F.array(F.lit("B")), labels, options)
+    return _whole(spark, d).select("ordinal", score.alias("s")).select("ordinal", "s.correct", "s.strict")
 
 
 @query(
@@ -261,10 +291,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus_rows").groupBy(measures.pass_rate_bin(F.col("pass_rate_7b_base")).alias("rate"), measures.image_count_bucket(F.size("image_paths")).alias("images")).agg(F.count("*").alias("n"))
 
 
-@query("x22_levenshtein", "select a.name as left_name, b.name as right_name, levenshtein(a.name, b.name) as distance from (select distinct source as name from documents where source is not null) a join (select distinct source as name from documents where source is not null) b on a.name < b.name and left(a.name, 1) = left(b.name, 1)")
+@query("x22_levenshtein", "select a.name as left_name, b.name as right_name, levenshtein(a.name, b.name) as distance from (select distinct source as name from documents where source is not null) a join (select distinct source as name from documents where source is not null) b on a.name < b.name")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of the distinct spellings of sources, which are few however many documents there are."""
     names = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("left_name")).distinct()
-    pairs = names.join(names.withColumnRenamed("left_name", "right_name"), F.substring("left_name", 1, 1) == F.substring("right_name", 1, 1)).where("left_name < right_name")
+    pairs = names.join(names.withColumnRenamed("left_name", "right_name"), F.col("left_name") < F.col("right_name"))
     return pairs.withColumn("distance", F.levenshtein("left_name", "right_name"))
 
 
@@ -357,10 +388,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return compare.strict_join(real, blind, ["qid"]).select("qid", hits(F.col("l_bits")).alias("real_hits"), hits(F.col("r_bits")).alias("blind_hits"))
 
 
-@query("j04_choose_key", "select 'item_id,run,seed,ordinal' as chosen")
+@query("j04_choose_key", f"with {TRIALS} select case when count(*) = count(distinct item_id) then 'item_id' when count(*) = count(distinct (item_id, ordinal)) then 'item_id,ordinal' else 'item_id,run,seed,ordinal' end as chosen from trials")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = trials(spark, d)
-    keys = compare.choose_key(t, t, [["item_id"], ["qid"], ["item_id", "run", "seed", "ordinal"]])
+    keys = compare.choose_key(t, t, [["item_id"], ["qid"], ["item_id", "ordinal"], ["item_id", "run", "seed", "ordinal"]])
     return spark.createDataFrame([(",".join(keys),)], "chosen string")
 
 

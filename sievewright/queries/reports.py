@@ -12,6 +12,7 @@ from sievewright.functions.answers import answers_equal, close, golds_equivalent
 from sievewright.functions.keys import SQL_ITEM_KEY, item_key, unit_hash
 from sievewright.operators import attack, captions, compare, contamination, corpus, guards, ordering, project, ranking, release, resampling, validate
 from sievewright.plans import targets
+from sievewright.queries.reference import _form, _whole
 from sievewright.queries.base import RESPONSES, ROLLOUTS, SCENES, TRIALS, responses, rollouts, trials
 from sievewright.session import table
 from sievewright.sources import readers
@@ -71,10 +72,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return project.public_part(rows, ["answer_a", "answer_b"])
 
 
-@query("proj06_columns", "select 'doc_id' as name union all select 'source' union all select 'lang'")
+@query("proj06_columns", "select name from (select unnest([struct_pack(name := 'doc_id', n := count(doc_id)), struct_pack(name := 'source', n := count(source)), struct_pack(name := 'nothing', n := 0), struct_pack(name := 'lang', n := count(lang)), struct_pack(name := 'late', n := count(case when collected_at < written_at then 1 end))], recursive := true) from documents) where n > 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    df = project.without_empty_columns(table(spark, d, "documents").select("doc_id", "source", F.lit(None).cast("string").alias("nothing"), "lang"))
-    return spark.createDataFrame([(c,) for c in df.columns], "name string")
+    """Columns that hold any value."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.lit(None).cast("string").alias("nothing"), "lang", F.when(F.col("collected_at") < F.col("written_at"), 1).alias("late"))
+    return spark.createDataFrame([(c,) for c in project.without_empty_columns(rows).columns], "name string")
 
 
 @query("proj07_conditioned", "select ordinal, case when (length(problem) - length(replace(problem, '<image>', ''))) // 7 = len(images) then trim(regexp_replace(array_to_string(list_transform(string_split(problem, '<image>'), lambda x: trim(x)), ' '), '[ \\t]+', ' ', 'g')) end as prompt from mixture_profiles where problem is not null and images is not null")
@@ -194,12 +196,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return trials(spark, d).groupBy("run", "seed").agg(k.alias("successes"), (2 * F.count("*")).alias("n"), F.round(k / (2 * F.count("*")), 9).alias("ratio"))
 
 
-@query("a03_pair_metrics", f"with s as (select layer, case when answer_a = answer_b then 1 else 0 end as same, answer_a, answer_b from {SCENES} where regexp_full_match(answer_a, '[A-Z][0-9]') and regexp_full_match(answer_b, '[A-Z][0-9]')) select layer, count(*) as n, 1.0::double as pair_accuracy, 1.0::double as member_accuracy, 1.0::double as strict_pair_accuracy, 0.0::double as collapse_rate from s group by layer")
+@query("a03_pair_metrics", f"with s as (select layer, case when ordinal % 3 = 0 and answer_a <> answer_b then 1 else 0 end as wrong, ordinal % 4 = 1 as bare from {SCENES} where answer_a is not null and answer_b is not null) select layer, count(*) as n, round(avg(1 - wrong), 9) as pair_accuracy, round(avg(1 - wrong / 2), 9) as member_accuracy, round(avg(case when bare then 0 else 1 - wrong end), 9) as strict_pair_accuracy, round(avg(wrong), 9) as collapse_rate from s group by layer")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, SCENES).where(F.col("answer_a").rlike(r"\A[A-Z][0-9]\z") & F.col("answer_b").rlike(r"\A[A-Z][0-9]\z"))
-    said = lambda c: F.concat(F.lit("I see. <answer>"), F.lower(F.col(c)), F.lit("</answer>"))
-    scored = rows.select("layer", pair_score(said("answer_a"), said("answer_b"), F.col("answer_a"), F.col("answer_b")).alias("s")).select("layer", "s.*")
-    return compare.pair_rates(scored, ["layer"]).select("layer", "n", "pair_accuracy", "member_accuracy", "strict_pair_accuracy", "collapse_rate")
+    """A third of the pairs gets the second answer twice, a quarter answers without a tag."""
+    rows = table(spark, d, SCENES).where("answer_a is not null and answer_b is not null")
+    first = F.when(F.col("ordinal") % 3 == 0, F.col("answer_b")).otherwise(F.col("answer_a"))
+    said = lambda c: F.when(F.col("ordinal") % 4 == 1, F.lower(c)).otherwise(F.concat(F.lit("I see. <answer>"), F.lower(c), F.lit("</answer>")))
+    scored = rows.select("layer", pair_score(said(first), said(F.col("answer_b")), F.col("answer_a"), F.col("answer_b")).alias("s")).select("layer", "s.*")
+    rates = ["pair_accuracy", "member_accuracy", "strict_pair_accuracy", "collapse_rate"]
+    return compare.pair_rates(scored, ["layer"]).select("layer", "n", *[F.round(r, 9).alias(r) for r in rates])
 
 
 @query("a08_grouped", "select arm, list(ordinal order by ordinal)[1:3] as first_rows, count(*) as n from mixture_profiles group by arm")
@@ -277,10 +282,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
 
 
-@query("x06_fractions", "select * from (values ('1/3', 0.333333333), ('\\frac{1}{4}', 0.25), ('50%', 0.5), ('1,200', 1200.0), ('$3.5', 3.5), ('1e3', 1000.0), ('1/0', null), ('abc', null)) as t(answer, value)")
+_WHOLE = f"(select ordinal, answer_a as a from {SCENES} where regexp_full_match(answer_a, '-?[0-9]+'))"
+
+
+@query("x06_fractions", f"select ordinal, round([a::double / 4, case when a like '-%' then a::double / 4 else a::double / 4 end, a::double / 100, a::double * 1000, a::double, a::double * 10, null][ordinal % 7 + 1], 9) as value from {_WHOLE}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("1/3", "\\frac{1}{4}", "50%", "1,200", "$3.5", "1e3", "1/0", "abc")], "answer string")
-    return rows.select("answer", F.round(numeric_value(F.col("answer")), 9).alias("value"))
+    """Quotients, TeX fractions, percentages, thousands, prices, powers of ten and words."""
+    return _whole(spark, d).select("ordinal", F.round(numeric_value(_form(["@/4", "\\frac{@}{4}", "@%", "@,000", "$@", "@e1", "@/0"])), 9).alias("value"))
 
 
 @query("x17_options", "select qid, list_filter(string_split(question, ' '), lambda x: regexp_full_match(x, '[A-D][.]')) as labels from (select distinct qid, question from corpus_rows where question is not null)")
@@ -289,10 +297,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qid", F.filter(F.split("question", " "), lambda x: x.rlike(r"\A[A-D][.]\z")).alias("labels"))
 
 
-@query("x21_python_list", "select * from (values ('[''a'', ''b'']', ['a', 'b']), ('[\"x y\"]', ['x y']), ('[]', []::varchar[]), ('none', null)) as t(cell, parsed)")
+@query("x21_python_list", "select qid, image_paths as parsed from (select distinct qid, image_paths from corpus_rows where image_paths is not null)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("['a', 'b']", '["x y"]', "[]", "none")], "cell string")
-    return rows.select("cell", text.python_list(F.col("cell")).alias("parsed"))
+    """Lists written as Python literals, in single and double quotes, and read again."""
+    rows = table(spark, d, "corpus_rows").where("image_paths is not null").select("qid", "image_paths").distinct()
+    quote = F.when(F.crc32("qid") % 2 == 0, "'").otherwise('"')
+    body = F.array_join(F.transform("image_paths", lambda x: F.concat(quote, F.coalesce(x, F.lit("")), quote)), ", ")
+    return rows.select("qid", text.python_list(F.concat(F.lit("["), body, F.lit("]"))).alias("parsed"))
 
 
 @query("x24_opaque", f"select ordinal, regexp_full_match(substr(sha256(pair_id), 1, 16), '[0-9a-f]{{16}}') as opaque, regexp_full_match(image_a_path, '[0-9a-f]{{16}}\\.png') as opaque_path from {SCENES} where pair_id is not null")
@@ -370,10 +381,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return validate.battery_status(validate.scene_violations(table(spark, d, SCENES)).where(F.col("code").isin(codes)), codes)
 
 
-@query("v06_artifact", "select round(greatest(0, least(1, abs(x - 0.5) / 0.5)), 9) as score, x <= 0.55 and x <= 0.62 as passes, x from (values (0.4), (0.5), (0.6), (1.0)) as t(x)")
+@query("v06_artifact", f"select ordinal, round(greatest(0, least(1, abs(x - 0.5) / 0.5)), 9) as score, x <= 0.55 and x + 0.05 <= 0.62 as passes from (select ordinal, (ordinal % 101) / 100 as x from {SCENES})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in (0.4, 0.5, 0.6, 1.0)], "x double")
-    return rows.select(F.round(validate.artifact_score(F.col("x")), 9).alias("score"), validate.gate(F.col("x"), F.col("x")).alias("passes"), "x")
+    """Areas over the whole of [0, 1], one a scene row, with an upper bound 0.05 above."""
+    rows = table(spark, d, SCENES).select("ordinal", (F.col("ordinal") % 101 / 100).alias("x"))
+    return rows.select("ordinal", F.round(validate.artifact_score(F.col("x")), 9).alias("score"), validate.gate(F.col("x"), F.col("x") + 0.05).alias("passes"))
 
 
 @query("r26_univariate", f"with m as (select 0 as y, len(question)::double as q, list_sum(list_transform(scene_a, lambda p: p.x))::double as sx from {SCENES} where scene_a is not null and question is not null union all select 1, len(question), list_sum(list_transform(scene_b, lambda p: p.x)) from {SCENES} where scene_b is not null and question is not null), u as (select 'q' as feature, y, q as v from m union all select 'sx', y, sx from m), r as (select feature, y, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2 as r from u) select feature, sum(y)::bigint as n_pos, sum(1 - y)::bigint as n_neg, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 9) as auc from r group by feature")
@@ -539,16 +551,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, SCENES).select("ordinal", (F.col("provenance.generator").isNotNull() & (F.col("provenance.batch_seed") >= 0) & (F.col("verifier_results.n_points") > 0)).alias("valid"))
 
 
-@query("x07_presentation", "select * from (values ('$x$', 'x'), ('\\( y \\)', 'y'), ('\\text{Yes}', 'Yes'), ('90^\\circ', '90 degrees'), ('\\frac {1}{2}', '\\frac{1}{2}'), ('\\sqrt 2', '\\sqrt{2}'), ('a  b', 'a b')) as t(answer, shown)")
+@query("x07_presentation", f"select ordinal, [a, a, a, a || ' degrees', '\\frac{{' || a || '}}{{2}}', 'a ' || a][ordinal % 6 + 1] as shown from {_WHOLE}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("$x$", "\\( y \\)", "\\text{Yes}", "90^\\circ", "\\frac {1}{2}", "\\sqrt 2", "a  b")], "answer string")
-    return rows.select("answer", normalize_presentation(F.col("answer")).alias("shown"))
+    return _whole(spark, d).select("ordinal", normalize_presentation(_form(["$ @ $", "\\( @ \\)", "$\\text{@}$", "@^\\circ", "\\frac {@} {2}", "a   @"])).alias("shown"))
 
 
-@query("x10_x12_equal", "select * from (values ('3', '3.0', true, true), ('5 cm', '5', true, false), ('yes', 'Yes.', false, true), ('a', 'b', false, false), ('0.5', '1/2', true, true)) as t(a, b, equal, one_gold)")
+@query("x10_x12_equal", f"select ordinal, [true, true, true, false, true][ordinal % 5 + 1] as equal, [true, false, true, false, true][ordinal % 5 + 1] as one_gold from {_WHOLE}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("3", "3.0"), ("5 cm", "5"), ("yes", "Yes."), ("a", "b"), ("0.5", "1/2")], "a string, b string")
-    return rows.select("a", "b", answers_equal(F.col("a"), F.col("b")).alias("equal"), golds_equivalent(F.col("a"), F.col("b")).alias("one_gold"))
+    """The same value in other digits, with a unit, with a stop after a normal form, another value, a quotient."""
+    said = _form(["@.0", "@ cm", "@.", "@7", "@/1"])
+    rows = _whole(spark, d).withColumn("said", said)
+    return rows.select("ordinal", answers_equal(F.col("a"), F.col("said")).alias("equal"), golds_equivalent(F.col("a"), F.col("said")).alias("one_gold"))
 
 
 # ---- composite targets
@@ -591,9 +604,9 @@ for _name in sorted(targets.TARGETS):
     _target_query(_name)
 
 
-@query("v07_compared", f"with {TRIALS}, t as (select run, round(avg(m), 9) as value from (select run, seed, avg(pair_correct::int) as m from trials group by run, seed) group by run) select 'mismatch' as outcome, count(*) as n from t where abs(value - 0.999) > 5e-4")
+@query("v07_compared", f"with {TRIALS}, t as (select run, round(avg(m), 9) as value from (select run, seed, avg(pair_correct::int) as m from trials group by run, seed) group by run), p(run, printed, relation) as (values ('base', 0.999, 'eq'), ('tuned', 0.999, 'lt')), o as (select case when (relation = 'eq' and abs(value - printed) <= 5e-4) or (relation = 'lt' and value < printed) then 'matched' else 'mismatch' end as outcome from t join p using (run)) select outcome, count(*) as n from o group by outcome")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    printed = spark.createDataFrame([("base", 0.999, "eq", None), ("tuned", 0.999, "eq", None)], "run string, paper_value double, relation string, tolerance double")
+    printed = spark.createDataFrame([("base", 0.999, "eq", None), ("tuned", 0.999, "lt", None)], "run string, paper_value double, relation string, tolerance double")
     return targets.summary(targets.run("table1", trials(spark, d), rollouts(spark, d), printed, ["run"]))
 
 
