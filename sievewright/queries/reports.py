@@ -587,8 +587,17 @@ _TARGET_SQL |= {
     "tableG1": f"with {TRIALS}, g as (select run, sum(correct_a::int + correct_b::int)::bigint as k, (2 * count(*))::bigint as n from trials group by run) select run, k, n, round(k / n, 9) as value, round(greatest(0, (k/n + {_W}/(2*n)) / (1 + {_W}/n) - {compare.Z95} * sqrt((k/n)*(1-k/n)/n + {_W}/(4*n*n)) / (1 + {_W}/n)), 9) as ci_low, round(least(1, (k/n + {_W}/(2*n)) / (1 + {_W}/n) + {compare.Z95} * sqrt((k/n)*(1-k/n)/n + {_W}/(4*n*n)) / (1 + {_W}/n)), 9) as ci_high from g",
     "figure5": f"with {ROLLOUTS}, {_RB}, r as (select qid, blind as hits, (blind + 0.5) / 17 as q, (real - blind) / 16 as gain from rb), p as (select *, (hits > 0)::int as above, row_number() over (partition by (hits > 0)::int order by q, qid) as i, count(*) over (partition by (hits > 0)::int) as m from r) select case when above = 0 then 0 else ceil(10 * i / m)::int end as decile, count(*) as n, round(min(q), 9) as q_min, round(max(q), 9) as q_max, round(avg(gain), 9) as value from p group by 1",
 }
-for _same, _as in {"figure2a": "table1", "tableA2": "tableA1", "tableB3": "tableB2", "tableG4": "tableG3", "figure2c": "tableE2", "figure2b": "tableE1", "tableH2": "tableH1"}.items():
-    _TARGET_SQL[_same] = _TARGET_SQL[_as]
+_TARGET_SQL |= {
+    "figure2a": f"with {TRIALS}, e as (select run, layer, avg(pair_correct::int) as m from trials group by all) select run, round(avg(pair_correct::int), 9) as value, round(avg((correct_a <> correct_b)::int), 9) as one_right, (select round(max(m), 9) from e where e.run = t.run) as best from trials t group by run",
+    "tableA2": f"with {TRIALS}, last as (from {_LAST}), j as (select b.layer, b.pair_correct::int as b, t.pair_correct::int as t, 1 / substr(b.cell, 2)::double as c from last b join last t on b.item_id = t.item_id and b.run = 'base' and t.run = 'tuned' and b.seed = 0 and t.seed = 0), g as (select layer, count(*) as n, avg(b) as b, avg(t) as t, avg(c) as c from j group by layer) select layer, n, round(c, 9) as chance, case when abs(b - c) >= 1e-12 then round((t - c) / (b - c), 9) end as value from g",
+    "tableB3": f"with {TRIALS} select run, cell, layer, count(*) as n, round(avg((correct_a::int + correct_b::int) / 2), 9) as value from trials group by all",
+    "tableG4": f"with {TRIALS}, last as (from {_LAST}), j as (select b.seed, b.pair_correct::int as b, t.pair_correct::int as t from last b join last t on b.item_id = t.item_id and b.seed = t.seed and b.run = 'base' and t.run = 'tuned') select seed, count(*) as n, round(avg(b), 9) as base, round(avg(t), 9) as tuned, round(avg(t - b), 9) as value from j group by seed",
+    "figure2b": f"with {TRIALS}, last as (from {_LAST}), g as (select seed + case when run = 'tuned' then 2 else 0 end as step, sum(pair_correct::int)::bigint as k, count(*) as n from last group by 1) select step, n, round(k / n, 9) as value, round(greatest(0, (k/n + {_W}/(2*n)) / (1 + {_W}/n) - {compare.Z95} * sqrt((k/n)*(1-k/n)/n + {_W}/(4*n*n)) / (1 + {_W}/n)), 9) as ci_low, round(least(1, (k/n + {_W}/(2*n)) / (1 + {_W}/n) + {compare.Z95} * sqrt((k/n)*(1-k/n)/n + {_W}/(4*n*n)) / (1 + {_W}/n)), 9) as ci_high from g",
+    "figure2c": f"with {TRIALS}, last as (from {_LAST}), h as (select item_id, max((run = 'base' and seed = 0)::int) as base0, max((run = 'tuned' and seed = 0)::int) as tuned0, max((run = 'tuned' and seed = 1)::int) as tuned1 from last where pair_correct and not (run = 'base' and seed = 1) group by item_id) select base0, tuned0, tuned1, count(*) as value from h group by all",
+    "tableH2": f"with {ROLLOUTS}, {_RB}, j as (select category, real / 16 as m, least(floor(blind / 16 * 10), 9)::bigint as band from rb), w as (select band, count(*) as w from j group by band), c as (select category, band, avg(m) as m from j group by all) select category, count(*) as n_bands, round(sum(m * w) / sum(w), 9) as value from c join w using (band) group by category",
+    "tableH3": f"with {ROLLOUTS}, {_RB}, j as (select category, blind / 16 as q, (real - blind) / 16 as gain from rb) select category, count(*) as n, case when var_pop(q) > 1e-15 then round(covar_pop(q, gain) / var_pop(q), 9) end as value from j group by category",
+    "figure4": f"with {TRIALS}, {_PAIRED} select 'a' as panel, run as name, round(sum(correct_a::int + correct_b::int) / (2 * count(*)), 9) as value from trials group by run union all select 'b', cell, round(avg(tuned::int - base::int), 9) from j group by cell union all select 'c', layer, round(avg((not base and tuned)::int), 9) from j group by layer",
+}
 
 
 def _target_query(name: str) -> None:
