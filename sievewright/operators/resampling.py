@@ -46,41 +46,67 @@ def mean_interval(values: np.ndarray, draws: int, seed: int) -> dict[str, float]
     return {"n": v.size, "estimate": float(v.mean()), "ci_low": low, "ci_high": high, "se": float(v.std(ddof=1) / math.sqrt(v.size)) if v.size > 1 else 0.0}
 
 
+def resampled(groups: list[np.ndarray], draws: int, seed: int) -> list[np.ndarray]:
+    """Column means of resamples of several groups: an array of draws x columns a group.
+
+    One generator serves all: in every draw each group in turn gets as many rows as it has. Columns of a group share
+    the rows drawn.
+    """
+    rng = np.random.default_rng(seed)
+    means = [np.empty((draws, g.shape[1])) for g in groups]
+    columns = [np.ascontiguousarray(g.T) for g in groups]
+    for d in range(draws):
+        for c, m in zip(columns, means, strict=True):
+            at = rng.integers(0, c.shape[1], size=c.shape[1])
+            m[d] = [x.take(at).mean() for x in c]
+    return means
+
+
 def ratio_interval(num: np.ndarray, den: np.ndarray, draws: int, seed: int) -> dict[str, float | None]:
     """Ratio of two paired means; both share the draws, and draws with a vanishing denominator are dropped and counted."""
-    rng = np.random.default_rng(seed)
-    found = []
-    for _ in range(draws):
-        at = rng.integers(0, num.size, size=num.size)
-        d = den[at].mean()
-        if abs(d) > 1e-12:
-            found.append(num[at].mean() / d)
-    low, high = interval(np.array(found)) if found else (None, None)
+    drawn = resampled([np.column_stack([num, den]).astype(np.float64)], draws, seed)[0]
+    real = np.abs(drawn[:, 1]) > 1e-12
+    low, high = interval(drawn[real, 0] / drawn[real, 1]) if real.any() else (None, None)
     whole = float(den.mean())
-    return {"n": num.size, "estimate": float(num.mean() / whole) if abs(whole) > 1e-12 else None, "ci_low": low, "ci_high": high, "kept": len(found)}
+    return {"n": num.size, "estimate": float(num.mean() / whole) if abs(whole) > 1e-12 else None, "ci_low": low, "ci_high": high, "kept": int(real.sum())}
 
 
 def hurdle(counts: np.ndarray, gains: np.ndarray, draws: int, seed: int) -> dict[str, float]:
-    """Mean gain of rows with a success minus that of rows without, resampled apart."""
-    floor, above = gains[counts == 0], gains[counts > 0]
-    if not floor.size or not above.size:
+    """Mean gain of rows with a success minus that of rows without; either group is resampled by itself."""
+    sides = [gains[counts == 0, None].astype(np.float64), gains[counts > 0, None].astype(np.float64)]
+    if not all(len(side) for side in sides):
         raise ValueError("needs rows on both sides")
-    rng = np.random.default_rng(seed)
-    out = np.empty(draws)
-    for i in range(draws):
-        low = floor[rng.integers(0, floor.size, size=floor.size)].mean()
-        out[i] = above[rng.integers(0, above.size, size=above.size)].mean() - low
-    a, b = interval(out)
-    return {"n": gains.size, "estimate": float(above.mean() - floor.mean()), "ci_low": a, "ci_high": b}
+    without, with_success = (m[:, 0] for m in resampled(sides, draws, seed))
+    low, high = interval(with_success - without)
+    return {"n": gains.size, "estimate": float(sides[1].mean() - sides[0].mean()), "ci_low": low, "ci_high": high}
+
+
+def _twister(seed: int) -> np.random.MT19937:
+    """Python's generator of a seed as NumPy's, which gives the same 32-bit words."""
+    state = random.Random(seed).getstate()[1]
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    return bits
+
+
+def python_places(n: int, size: int, draws: int, seed: int):
+    """For every draw, ``size`` places below ``n`` as Python's generator gives them: the high bits of a word, over again where they are no place."""
+    bits, shift, spare = _twister(seed), np.uint64(32 - n.bit_length()), np.zeros(0, np.int64)
+    for _ in range(draws):
+        while spare.size < size:
+            words = bits.random_raw(max(size, 65_536)) >> shift
+            spare = np.concatenate([spare, words[words < n].astype(np.int64)])
+        yield spare[:size]
+        spare = spare[size:]
 
 
 def truncated_interval(values: list[float], draws: int, seed: int, alpha: float = 0.05) -> tuple[float, float]:
     """Interval with Python's generator and truncated ranks; NaN for no values."""
     if not values:
         return math.nan, math.nan
-    rng, n = random.Random(seed), len(values)
-    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(draws))
-    return means[int(alpha / 2 * draws)], means[min(draws - 1, int((1 - alpha / 2) * draws))]
+    v, n = np.asarray(values, np.float64), len(values)
+    means = np.sort([v[at].sum() / n for at in python_places(n, n, draws, seed)])
+    return float(means[int(alpha / 2 * draws)]), float(means[min(draws - 1, int((1 - alpha / 2) * draws))])
 
 
 def side_swap_null(scores: np.ndarray, swapped: np.ndarray, draws: int, seed: int) -> dict[str, float]:
@@ -244,17 +270,16 @@ def retention_interval(value: np.ndarray, reference: np.ndarray, chance: np.ndar
     chance are dropped and counted.
     """
 
-    def kept(v: float, r: float, c: float) -> float | None:
-        return (v - c) / (r - c) if abs(r - c) >= 1e-12 else None
+    def kept(v: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        room = np.abs(r - c) >= 1e-12
+        return ((v - c)[room]) / (r - c)[room]
 
-    rng, mean, found = np.random.default_rng(seed), float(chance.mean()), []
-    for _ in range(draws):
-        at = rng.integers(0, value.size, size=value.size)
-        x = kept(value[at].mean(), reference[at].mean(), mean if fixed else chance[at].mean())
-        if x is not None:
-            found.append(x)
-    low, high = interval(np.array(found)) if found else (None, None)
-    return {"n": value.size, "estimate": kept(float(value.mean()), float(reference.mean()), mean), "ci_low": low, "ci_high": high, "kept": len(found)}
+    whole = np.column_stack([value, reference, chance]).astype(np.float64)
+    v, r, c = resampled([whole], draws, seed)[0].T
+    found = kept(v, r, np.full(draws, whole[:, 2].mean()) if fixed else c)
+    low, high = interval(found) if found.size else (None, None)
+    once = kept(*whole.mean(axis=0)[:, None])
+    return {"n": value.size, "estimate": float(once[0]) if once.size else None, "ci_low": low, "ci_high": high, "kept": found.size}
 
 
 def key_shuffle_null(said: list, gold: list, template: list, draws: int, seed: int) -> dict[str, float]:

@@ -427,14 +427,14 @@ def _overlap(pdf: pd.DataFrame) -> dict:
     return resampling.overlap_null(a, b, universe, 10_000, 1)
 
 
-_vector_query("r02_r03_mean", "low double, high double", lambda p: dict(zip(("low", "high"), resampling.interval(resampling.bootstrap_means(p["x"].to_numpy(), 500, 20260710, 200)), strict=True)))
-_vector_query("r04_truncated", "low double, high double", lambda p: dict(zip(("low", "high"), resampling.truncated_interval(p["x"].tolist(), 50, 0), strict=True)))
-_vector_query("r05_difference", "n long, estimate double, ci_low double, ci_high double, se double", lambda p: resampling.mean_interval((p["y"] - p["x"]).to_numpy(), 500, 3))
-_vector_query("r06_ratio", "n long, estimate double, ci_low double, ci_high double, kept long", lambda p: resampling.ratio_interval(p["x"].to_numpy(), p["y"].to_numpy(), 300, 3))
+_vector_query("r02_r03_mean", "low double, high double", lambda p: dict(zip(("low", "high"), resampling.interval(resampling.bootstrap_means(p["x"].to_numpy(), 2_000, 20260710, 200)), strict=True)))
+_vector_query("r04_truncated", "low double, high double", lambda p: dict(zip(("low", "high"), resampling.truncated_interval(p["x"].tolist(), 2_000, 0), strict=True)))
+_vector_query("r05_difference", "n long, estimate double, ci_low double, ci_high double, se double", lambda p: resampling.mean_interval((p["y"] - p["x"]).to_numpy(), 2_000, 3))
+_vector_query("r06_ratio", "n long, estimate double, ci_low double, ci_high double, kept long", lambda p: resampling.ratio_interval(p["x"].to_numpy(), p["y"].to_numpy(), 20_000, 3))
 _vector_query("r11_r12_exact", "low double, high double", lambda p: dict(zip(("low", "high"), resampling.clopper_pearson(int(p["x"].sum()), len(p)), strict=True)))
 _vector_query("r14_side_swap", "n long, observed double, null_mean double, p_value double", lambda p: resampling.side_swap_null(p["x"].to_numpy(), p["y"].to_numpy(), 1_000, 0))
 _vector_query("r16_overlap_null", "n long, observed double, null_mean double, p_value double", _overlap)
-_vector_query("r20_hurdle", "n long, estimate double, ci_low double, ci_high double", lambda p: resampling.hurdle(p["x"].to_numpy().astype(int), p["y"].to_numpy(), 200, 0))
+_vector_query("r20_hurdle", "n long, estimate double, ci_low double, ci_high double", lambda p: resampling.hurdle(p["x"].to_numpy().astype(int), p["y"].to_numpy(), 5_000, 0))
 
 
 _DOSES = {"dose_zero": 0.0, "dose_third": 1 / 3, "dose_half": 1 / 2, "dose_twothirds": 2 / 3, "dose_full": 1.0}
@@ -481,8 +481,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rho.groupBy("k").agg(F.round(F.avg("rho"), 9).alias("mean_rho"), F.round(F.min("rho"), 9).alias("low_rho"), F.count("rho").alias("n"))
 
 
-_vector_query("r07_retention", "n long, estimate double, ci_low double, ci_high double, kept long", lambda p: resampling.retention_interval(p["x"].to_numpy(), p["y"].to_numpy(), np.full(len(p), 0.125), 200, 1))
-_vector_query("r08_retention_anew", "n long, estimate double, ci_low double, ci_high double, kept long", lambda p: resampling.retention_interval(p["x"].to_numpy(), p["y"].to_numpy(), 1 / (4 + np.arange(len(p)) % 5), 200, 1, fixed=False))
+_vector_query("r07_retention", "n long, estimate double, ci_low double, ci_high double, kept long", lambda p: resampling.retention_interval(p["x"].to_numpy(), p["y"].to_numpy(), np.full(len(p), 0.125), 10_000, 1))
+_vector_query("r08_retention_anew", "n long, estimate double, ci_low double, ci_high double, kept long", lambda p: resampling.retention_interval(p["x"].to_numpy(), p["y"].to_numpy(), 1 / (4 + np.arange(len(p)) % 5), 10_000, 1, fixed=False))
 
 
 @query("r15_key_shuffle")

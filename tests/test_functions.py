@@ -175,3 +175,22 @@ def test_presentation_is_unwrapped_to_the_end(spark):
 def test_normal_form_folds_width_case_and_ligatures(spark):
     rows = spark.createDataFrame([("Ｆull ﬁne",), ("Straße <image>ǅ",), (None,), ("",), ("ſharp İ",)], "t string")
     assert [r[0] for r in rows.select(text.normalize_text(F.col("t"))).collect()] == ["full fine", "strasse d\u017e", None, "", "sharp i"]
+
+
+def test_python_stream_in_blocks():
+    import random as python_random
+
+    for n in (1, 2, 7, 64, 1000):
+        rng = python_random.Random(5)
+        want = [[rng.randrange(n) for _ in range(n)] for _ in range(30)]
+        assert [at.tolist() for at in resampling.python_places(n, n, 30, 5)] == want
+
+
+def test_groups_share_one_stream():
+    a, b = np.arange(5.0)[:, None], np.column_stack([np.arange(7.0), np.arange(7.0) ** 2])
+    rng, want = np.random.default_rng(9), []
+    for _ in range(4):
+        i, j = rng.integers(0, 5, size=5), rng.integers(0, 7, size=7)
+        want.append((a[i].mean(), b[j, 0].mean(), b[j, 1].mean()))
+    one, two = resampling.resampled([a, b], 4, 9)
+    assert np.allclose(np.column_stack([one, two]), want)
