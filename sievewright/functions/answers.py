@@ -234,11 +234,11 @@ def golds_equivalent(a: Column, b: Column) -> Column:
     return let(both, lambda g: (g["x"] != "") & (g["y"] != "") & ((g["x"] == g["y"]) | close(numeric_value(g["x"]), numeric_value(g["y"]))))
 
 
-def member_score(prediction: Column, gold: Column, other: Column) -> Column:
+def member_score(prediction: Column, gold: Column, other: Column, full_text: bool = False) -> Column:
     """Score of one member of a pair.
 
     The own gold must match at a higher tier than the other one; pairs with one shared gold need a match only. Strict
-    credit also asks for the response contract.
+    credit also asks for the response contract. ``full_text`` adds whether the response as a whole matches both golds.
     """
 
     def score(x: Column) -> Column:
@@ -246,20 +246,25 @@ def member_score(prediction: Column, gold: Column, other: Column) -> Column:
         return F.struct(
             x["span"].alias("span"),
             x["valid"].alias("format_valid"),
+            x["extracted"].alias("extractor_valid"),
+            (~x["extracted"]).alias("fallback"),
             x["own"].alias("tier"),
             x["rival"].alias("other_tier"),
             (~x["same"] & (x["own"] > 0) & (x["own"] == x["rival"])).alias("ambiguous"),
             right.alias("correct"),
             (right & x["valid"]).alias("strict"),
+            *([x["both"].alias("mentions_both")] if full_text else []),
         )
 
-    def parts(span: Column) -> Column:
-        return F.struct(span.alias("span"), match_tier(span, gold).alias("own"), match_tier(span, other).alias("rival"), golds_equivalent(gold, other).alias("same"), satisfies_contract(prediction).alias("valid"))
+    def parts(found: Column) -> Column:
+        span = found["span"]
+        both = [((match_tier(prediction, gold) > 0) & (match_tier(prediction, other) > 0)).alias("both")] if full_text else []
+        return F.struct(span.alias("span"), found["valid"].alias("extracted"), match_tier(span, gold).alias("own"), match_tier(span, other).alias("rival"), golds_equivalent(gold, other).alias("same"), satisfies_contract(prediction).alias("valid"), *both)
 
-    return let(let(extract_answer(prediction)["span"], parts), score)
+    return let(let(extract_answer(prediction), parts), score)
 
 
-def pair_score(prediction_a: Column, prediction_b: Column, gold_a: Column, gold_b: Column) -> Column:
+def pair_score(prediction_a: Column, prediction_b: Column, gold_a: Column, gold_b: Column, full_text: bool = False) -> Column:
     """Score of a pair: both members, both strict, and collapse (one answer given to two different golds)."""
 
     def score(x: Column) -> Column:
@@ -275,10 +280,15 @@ def pair_score(prediction_a: Column, prediction_b: Column, gold_a: Column, gold_
             (one & (normalize_answer_text(gold_a) != normalize_answer_text(gold_b))).alias("collapsed"),
             a["format_valid"].alias("format_a"),
             b["format_valid"].alias("format_b"),
+            a["extractor_valid"].alias("extractor_a"),
+            b["extractor_valid"].alias("extractor_b"),
+            a["fallback"].alias("fallback_a"),
+            b["fallback"].alias("fallback_b"),
             (a["ambiguous"] | b["ambiguous"]).alias("ambiguous"),
+            *([(a["mentions_both"] | b["mentions_both"]).alias("mentions_both")] if full_text else []),
         )
 
-    return let(F.struct(member_score(prediction_a, gold_a, gold_b).alias("a"), member_score(prediction_b, gold_b, gold_a).alias("b")), score)
+    return let(F.struct(member_score(prediction_a, gold_a, gold_b, full_text).alias("a"), member_score(prediction_b, gold_b, gold_a, full_text).alias("b")), score)
 
 
 def choice_labels(span: Column, labels: Column) -> Column:
@@ -327,12 +337,35 @@ def choice_score(prediction: Column, gold: Column, labels: Column, options: Colu
 
 
 def open_score(prediction: Column, gold: Column) -> Column:
-    """Score of an open answer: the tier of its span against the gold."""
+    """Score of an open answer: the tier of its span against the gold. Open answers are never ambiguous."""
 
     def score(x: Column) -> Column:
-        return F.struct(x["span"].alias("span"), x["tier"].alias("tier"), (x["tier"] > 0).alias("correct"), ((x["tier"] > 0) & x["valid"]).alias("strict"))
+        return F.struct(
+            x["span"].alias("span"),
+            x["tier"].alias("tier"),
+            (x["tier"] > 0).alias("correct"),
+            ((x["tier"] > 0) & x["valid"]).alias("strict"),
+            x["valid"].alias("format_valid"),
+            x["extracted"].alias("extractor_valid"),
+            (~x["extracted"]).alias("fallback"),
+            F.lit(False).alias("ambiguous"),
+        )
 
-    return let(let(extract_answer(prediction)["span"], lambda s: F.struct(s.alias("span"), match_tier(s, gold).alias("tier"), satisfies_contract(prediction).alias("valid"))), score)
+    return let(let(extract_answer(prediction), lambda e: F.struct(e["span"].alias("span"), e["valid"].alias("extracted"), match_tier(e["span"], gold).alias("tier"), satisfies_contract(prediction).alias("valid"))), score)
+
+
+#: Codes of a disagreement between two graders.
+REASONS = ("none", "canonical_correct_mathruler_incorrect", "mathruler_correct_canonical_incorrect", "mathruler_error_canonical_incorrect", "mathruler_error_canonical_correct")
+
+
+def disagreement(graded: Column, failed: Column, matched: Column) -> Column:
+    """Code (the place in ``REASONS``) of a disagreement between a symbolic grader and the matcher.
+
+    ``graded``: the grader's verdict, ``failed``: whether it raised, ``matched``: the matcher's verdict. A grader that
+    failed has no verdict. Nulls count as false.
+    """
+    g, f, m = (F.coalesce(c, F.lit(False)) for c in (graded, failed, matched))
+    return F.when(f, F.when(m, 4).otherwise(3)).when(m & ~g, 1).when(g & ~m, 2).otherwise(0)
 
 
 def reward(accuracy: Column, format_valid: Column, weight: float = 0.1) -> Column:

@@ -97,6 +97,9 @@ def pass_rate_bin(p: Column) -> Column:
     return first_case([(rate < high, name) for high, name in RATE_BINS], "80_100")
 
 
+# Fixed values in the next four functions: bounds and names of buckets, bands and kinds.
+
+
 def image_count_bucket(n: Column) -> Column:
     """Bucket of an image count: 1, 2_4, and 5_plus for all others, none included."""
     return first_case([(n == 1, "1"), (n.between(2, 4), "2_4")], "5_plus")

@@ -65,7 +65,11 @@ def rate(flag: Column) -> Column:
 
 
 def pair_rates(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Rates of scored pairs: pair and member accuracy, strict accuracy, collapse, format; NaN on an empty table without groups."""
+    """Rates of scored pairs; NaN on an empty table without groups.
+
+    Pair and member accuracy, both strict as well, collapse, format (the contract), ambiguity, and, where the scores
+    have them, extraction, fallback and responses that match both golds as a whole.
+    """
     both = lambda a, b: F.avg((F.col(a).cast("int") + F.col(b).cast("int")) / 2)
     rates = {
         "pair_accuracy": rate(F.col("pair_correct")),
@@ -76,10 +80,25 @@ def pair_rates(scored: DataFrame, by: list[str]) -> DataFrame:
         "format_rate": both("format_a", "format_b"),
         "ambiguity_rate": rate(F.col("ambiguous")),
     }
+    if "extractor_a" in scored.columns:
+        rates |= {"extractor_rate": both("extractor_a", "extractor_b"), "fallback_rate": both("fallback_a", "fallback_b")}
+    if "mentions_both" in scored.columns:
+        rates["mentions_both_rate"] = rate(F.col("mentions_both"))
     aggs = [F.count("*").alias("n"), *[F.round(F.coalesce(v, F.lit(float("nan"))), 9).alias(k) for k, v in rates.items()]]
     return scored.groupBy(*by).agg(*aggs) if by else scored.agg(*aggs)
 
 
+def benchmark_rates(scored: DataFrame, category: str) -> DataFrame:
+    """Rates of scored answers, overall (null category) and per category: ``n``, strict and final accuracy, format, extractor, contract, ambiguity, fallback.
+
+    ``scored``: category, correct, strict, format_valid, extractor_valid, ambiguous, fallback. A missing category is named
+    ``unknown``. An empty table gives no rows but the overall one, without rates.
+    """
+    parts = {"acc_strict": "strict", "acc_final": "correct", "format_valid": "format_valid", "extractor_valid": "extractor_valid", "contract_valid": "format_valid", "ambiguous_rate": "ambiguous", "fallback_rate": "fallback"}
+    named = scored.withColumn(category, F.coalesce(F.col(category), F.lit("unknown")))
+    return named.rollup(category).agg(F.count("*").alias("n"), *[F.round(rate(F.col(c)), 9).alias(k) for k, c in parts.items()])
+
+
 def member_rate(a: Column, b: Column) -> Column:
     """Successes over two members a row."""
     return F.avg((a.cast("int") + b.cast("int")) / 2)

@@ -105,3 +105,17 @@ def shard(df: DataFrame, n: int, k: int, ordinal: str = "ordinal", limit: int |
     """Every n-th row by position, from ``k`` on; then the first ``limit`` of them by position."""
     part = df.where(F.pmod(F.col(ordinal), F.lit(n)) == k)
     return part if limit is None else part.where(F.col(ordinal) < k + n * limit)
+
+
+def forbidden_columns(df: DataFrame, names: list[str]) -> list[str]:
+    """Columns of a table that it must not have, whatever their case, in their order; an empty list is as it should be."""
+    banned = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() in banned]
+
+
+def without_forbidden(df: DataFrame, names: list[str]) -> DataFrame:
+    """The table, or an error if it has a column it must not have (such as the question or answer beside a caption)."""
+    found = forbidden_columns(df, names)
+    if found:
+        raise GuardError(f"forbidden columns: {found}")
+    return df

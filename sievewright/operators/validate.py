@@ -65,6 +65,21 @@ def file_status(manifest: DataFrame, disk: DataFrame, key: str) -> DataFrame:
     return joined.select(key, F.col("found_bytes").isNotNull().alias("present"), F.coalesce(same, F.lit(False)).alias("matches"), problem.alias("problem"))
 
 
+def shard_status(index: DataFrame, disk: DataFrame) -> DataFrame:
+    """Shards that an index names against the shards found: ``shard`` and ``status``.
+
+    ``index``: shard (one row a weight), sha256 (null where the index has none); ``disk``: shard, sha256. Status is
+    ``ok``, ``missing``, ``not indexed``, ``digest differs`` or ``digest unknown``. Shards named by several rows count
+    once; two digests of one shard in the index count as a difference.
+    """
+    named = index.where("shard is not null").groupBy("shard").agg(F.min("sha256").alias("lo"), F.max("sha256").alias("hi"))
+    there = disk.where("shard is not null").groupBy("shard").agg(F.min("sha256").alias("found"), F.lit(True).alias("present"))
+    both = named.withColumn("indexed", F.lit(True)).join(there, "shard", "full")
+    differs = (F.col("lo") != F.col("hi")) | F.coalesce(F.col("lo") != F.col("found"), F.lit(False))
+    status = F.when(F.col("present").isNull(), "missing").when(F.col("indexed").isNull(), "not indexed").when(differs, "digest differs").when(F.col("lo").isNull() | F.col("found").isNull(), "digest unknown").otherwise("ok")
+    return both.select("shard", status.alias("status"))
+
+
 def adjacency(rows: DataFrame, group: str, ordinal: str, members: list[str], member: str) -> DataFrame:
     """Blocks of consecutive rows that do not hold one group with its members in order: ``block``."""
     n = len(members)

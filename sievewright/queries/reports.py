@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import measures, text
-from sievewright.functions.answers import answers_equal, close, golds_equivalent, normalize_presentation, numeric_value, open_score, pair_score, plain_number, reward, satisfies_contract
+from sievewright.functions.answers import answers_equal, close, disagreement, golds_equivalent, normalize_presentation, numeric_value, open_score, pair_score, plain_number, reward, satisfies_contract
 from sievewright.functions.keys import SQL_ITEM_KEY, item_key, unit_hash
 from sievewright.operators import attack, captions, compare, contamination, corpus, guards, ordering, project, ranking, release, resampling, validate
 from sievewright.plans import targets
@@ -196,15 +196,32 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return trials(spark, d).groupBy("run", "seed").agg(k.alias("successes"), (2 * F.count("*")).alias("n"), F.round(k / (2 * F.count("*")), 9).alias("ratio"))
 
 
-@query("a03_pair_metrics", f"with s as (select layer, case when ordinal % 3 = 0 and answer_a <> answer_b then 1 else 0 end as wrong, ordinal % 4 = 1 as bare from {SCENES} where answer_a is not null and answer_b is not null) select layer, count(*) as n, round(avg(1 - wrong), 9) as pair_accuracy, round(avg(1 - wrong / 2), 9) as member_accuracy, round(avg(case when bare then 0 else 1 - wrong end), 9) as strict_pair_accuracy, round(avg(wrong), 9) as collapse_rate from s group by layer")
+@query("a03_pair_metrics", f"with s as (select layer, case when ordinal % 3 = 0 and answer_a <> answer_b then 1 else 0 end as wrong, (ordinal % 4 = 1)::int as bare, (answer_a <> answer_b)::int as two from {SCENES} where answer_a is not null and answer_b is not null) select layer, count(*) as n, round(avg(1 - wrong), 9) as pair_accuracy, round(avg(1 - wrong / 2), 9) as member_accuracy, round(avg((1 - bare) * (1 - wrong)), 9) as strict_pair_accuracy, round(avg((1 - bare) * (1 - wrong / 2)), 9) as strict_member_accuracy, round(avg(wrong), 9) as collapse_rate, round(avg(1 - bare), 9) as format_rate, round(avg(1 - bare), 9) as extractor_rate, round(avg(bare), 9) as fallback_rate from s group by layer")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A third of the pairs gets the second answer twice, a quarter answers without a tag."""
+    scored = _scored_pairs(spark, d, False)
+    rates = ["pair_accuracy", "member_accuracy", "strict_pair_accuracy", "strict_member_accuracy", "collapse_rate", "format_rate", "extractor_rate", "fallback_rate"]
+    return compare.pair_rates(scored, ["layer"]).select("layer", "n", *rates)
+
+
+def _scored_pairs(spark: SparkSession, d: str, full_text: bool) -> DataFrame:
     rows = table(spark, d, SCENES).where("answer_a is not null and answer_b is not null")
     first = F.when(F.col("ordinal") % 3 == 0, F.col("answer_b")).otherwise(F.col("answer_a"))
     said = lambda c: F.when(F.col("ordinal") % 4 == 1, F.lower(c)).otherwise(F.concat(F.lit("I see. <answer>"), F.lower(c), F.lit("</answer>")))
-    scored = rows.select("layer", pair_score(said(first), said(F.col("answer_b")), F.col("answer_a"), F.col("answer_b")).alias("s")).select("layer", "s.*")
-    rates = ["pair_accuracy", "member_accuracy", "strict_pair_accuracy", "collapse_rate"]
-    return compare.pair_rates(scored, ["layer"]).select("layer", "n", *[F.round(r, 9).alias(r) for r in rates])
+    return rows.select("layer", pair_score(said(first), said(F.col("answer_b")), F.col("answer_a"), F.col("answer_b"), full_text).alias("s")).select("layer", "s.*")
+
+
+@query("a03_mentions")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The rates that need the tiers of whole responses and ambiguous answers, which SQL cannot decide."""
+    return compare.pair_rates(_scored_pairs(spark, d, True), ["layer"]).select("layer", "n", "ambiguity_rate", "mentions_both_rate")
+
+
+@query("a05_benchmark", f"with {RESPONSES}, u as (select split_part(record_id, ':', 1) as category, floor(('0x' || substr(md5('dress|' || record_id), 1, 13))::bigint::double / 4503599627370496.0 * 6)::int as u from responses where trim(gold) <> '') select category, count(*) as n, round(avg((u = 0)::int), 9) as acc_strict, round(avg((u < 5)::int), 9) as acc_final, round(avg((u = 0)::int), 9) as format_valid, round(avg((u <> 4)::int), 9) as extractor_valid, round(avg((u = 0)::int), 9) as contract_valid, 0.0::double as ambiguous_rate, round(avg((u = 4)::int), 9) as fallback_rate from u group by rollup(category)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of a benchmark run, overall and per data set."""
+    rows = responses(spark, d).where(F.trim("gold") != "").select(F.split_part("record_id", F.lit(":"), F.lit(1)).alias("category"), open_score(F.col("prediction"), F.col("gold")).alias("s"))
+    return compare.benchmark_rates(rows.select("category", "s.*"), "category")
 
 
 @query("a08_grouped", "select arm, list(ordinal order by ordinal)[1:3] as first_rows, count(*) as n from mixture_profiles group by arm")
@@ -256,6 +273,39 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("qid", (F.col("place") + 1).alias("place"))
 
 
+@query("f08_forbidden", "select column_name as name from (describe select * from documents) where column_name in ('title', 'run', 'answer')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = guards.forbidden_columns(table(spark, d, "documents"), ["Title", "run", "answer"])
+    return spark.createDataFrame([(c,) for c in found], "name string")
+
+
+@query("v05_shards", f"with i as (select source as shard, min(md5(source)) as lo from documents where source is not null and revision <= 2 group by source), f as (select source as shard, case when min(doc_id) % 5 = 0 then 'x' else md5(source) end as found from documents where source is not null and revision >= 1 group by source) select coalesce(i.shard, f.shard) as shard, case when f.shard is null then 'missing' when i.shard is null then 'not indexed' when lo <> found then 'digest differs' else 'ok' end as status from i full join f using (shard)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of sources stand for shards: those of early revisions are indexed, those of later ones are there, some altered."""
+    rows = table(spark, d, "documents").where("source is not null").select("doc_id", F.col("source").alias("shard"), "revision")
+    there = rows.where("revision >= 1").groupBy("shard").agg(F.min("doc_id").alias("id")).select("shard", F.when(F.col("id") % 5 == 0, "x").otherwise(F.md5("shard")).alias("sha256"))
+    return validate.shard_status(rows.where("revision <= 2").select("shard", F.md5("shard").alias("sha256")), there)
+
+
+@query("m05_reasons", f"select ordinal, case when ordinal % 5 = 0 then case when ordinal % 3 = 0 then 4 else 3 end when ordinal % 3 = 0 and ordinal % 2 <> 0 then 1 when ordinal % 2 = 0 and ordinal % 3 <> 0 then 2 else 0 end as reason from {SCENES}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("ordinal")
+    return table(spark, d, SCENES).select("ordinal", disagreement(o % 2 == 0, o % 5 == 0, o % 3 == 0).alias("reason"))
+
+
+@query("x18_geometry_kinds", "select kind, count(*) as n from (select case when regexp_full_match(v, '[+-]?\\d+') then 'integer' when regexp_full_match(v, '[+-]?(\\d+\\.\\d*|\\.\\d+)') then 'decimal' when regexp_full_match(v, '[+-]?\\d+\\s*/\\s*\\d+') or contains(v, '\\frac') then 'fraction' when regexp_matches(v, '[A-Za-z\\\\]') then 'expression_or_text' else 'other' end as kind from (select trim(replace(regexp_replace(answer, '[,$°]', '', 'g'), '^\\circ', '')) as v from decontamination where answer is not null)) group by kind")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "decontamination").where("answer is not null")
+    return rows.groupBy(measures.geometry_answer_kind(F.col("answer")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("x20_bands", "select band, sampled, count(*) as n from (select case when p = 0 then 'p=0' when p < 0.25 then '0<p<0.25' when p < 0.75 then '0.25<=p<0.75' when p < 1 then '0.75<=p<1' else 'p=1' end as band, case when p = 0 then '0' when p < 0.2 then '(0,.2)' when p <= 0.8 then '[.2,.8]' when p < 1 then '(.8,1)' else '1' end as sampled from (select base_accuracy as p from mixture_profiles where base_accuracy is not null and not isnan(base_accuracy))) group by all")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "mixture_profiles").where("base_accuracy is not null and not isnan(base_accuracy)")
+    p = F.col("base_accuracy")
+    return rows.groupBy(measures.difficulty_band(p).alias("band"), measures.sample_band(p).alias("sampled")).agg(F.count("*").alias("n"))
+
+
 # ---- formulas
 
 

@@ -194,3 +194,20 @@ def test_groups_share_one_stream():
         want.append((a[i].mean(), b[j, 0].mean(), b[j, 1].mean()))
     one, two = resampling.resampled([a, b], 4, 9)
     assert np.allclose(np.column_stack([one, two]), want)
+
+
+def test_shards_and_forbidden_columns(spark):
+    index = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2"), ("c", None), ("d", "3"), ("d", "4"), (None, "x")], "shard string, sha256 string")
+    disk = spark.createDataFrame([("a", "1"), ("c", "9"), ("d", "3"), ("e", "5")], "shard string, sha256 string")
+    got = {r["shard"]: r["status"] for r in validate.shard_status(index, disk).collect()}
+    assert got == {"a": "ok", "b": "missing", "c": "digest unknown", "d": "digest differs", "e": "not indexed"}
+    assert validate.shard_status(index.limit(0), disk.limit(0)).count() == 0
+    df = spark.createDataFrame([], "caption string, Question string")
+    assert guards.forbidden_columns(df, ["question", "answer"]) == ["Question"] and guards.without_forbidden(df, ["answer"]) is df
+    with pytest.raises(GuardError):
+        guards.without_forbidden(df, ["question"])
+
+
+def test_disagreement_codes(spark):
+    rows = spark.createDataFrame([(True, False, True), (False, False, True), (True, False, False), (None, True, False), (None, True, True), (None, None, None)], "g boolean, f boolean, m boolean")
+    assert [r[0] for r in rows.select(answers.disagreement(F.col("g"), F.col("f"), F.col("m"))).collect()] == [0, 1, 2, 3, 4, 0]
