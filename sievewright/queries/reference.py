@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import answers, measures, text
 from sievewright.functions.keys import SQL_ITEM_KEY, item_key
-from sievewright.operators import compare, contamination, corpus, guards, ordering, ranking, resampling, validate
+from sievewright.operators import compare, contamination, corpus, guards, ordering, ranking, resampling, streams, validate
 from sievewright.queries.base import RESPONSES, ROLLOUTS, SCENES, TRIALS, responses, rollouts, trials
 from sievewright.session import table
 from sievewright.sources import readers
@@ -409,9 +409,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j16_j17_audited", "with a as (select distinct qid from corpus_rows where pass_rate_7b_base >= 0), m as (select arm, case when lower(pair_group_uid) like 'virl:%' then substr(pair_group_uid, 6) end as qid from mixture_profiles) select m.arm, count(*) as n, count(a.qid) as audited, count(distinct a.qid) as items from m left join a using (qid) group by m.arm")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    audited = table(spark, d, "corpus_rows").where("pass_rate_7b_base >= 0").select("qid").distinct().withColumn("hit", F.col("qid"))
+    audited, stream = _audited(spark, d)
+    return streams.audited_coverage(stream, audited, "qid", ["arm"])
+
+
+def _audited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    audited = table(spark, d, "corpus_rows").where("pass_rate_7b_base >= 0").select("qid")
     stream = table(spark, d, "mixture_profiles").select("arm", F.when(F.lower("pair_group_uid").startswith("virl:"), F.expr("substr(pair_group_uid, 6)")).alias("qid"))
-    return stream.join(audited, "qid", "left").groupBy("arm").agg(F.count("*").alias("n"), F.count("hit").alias("audited"), F.count_distinct("hit").alias("items"))
+    return audited, stream
+
+
+@query("j17_drawn", "select distinct qid from corpus_rows where pass_rate_7b_base >= 0 and qid in (select substr(pair_group_uid, 6) from mixture_profiles where lower(pair_group_uid) like 'virl:%')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    audited, stream = _audited(spark, d)
+    return streams.drawn_and_audited(stream, audited, "qid")
 
 
 _LAYER = "(select k, arg_min(split, ordinal) as split, arg_min(question, ordinal) as question from (select {key} as k, ordinal, split, question from " + SCENES + " where layer = '{layer}' and mother_item_id is not null) group by k)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import measures, text
 from sievewright.functions.answers import answers_equal, close, disagreement, golds_equivalent, normalize_presentation, numeric_value, open_score, pair_score, plain_number, reward, satisfies_contract
 from sievewright.functions.keys import SQL_ITEM_KEY, item_key, unit_hash
-from sievewright.operators import attack, captions, compare, contamination, corpus, guards, ordering, project, ranking, release, resampling, validate
+from sievewright.operators import attack, captions, compare, contamination, corpus, guards, ordering, project, ranking, release, resampling, streams, validate
 from sievewright.plans import targets
 from sievewright.queries.reference import _form, _whole
 from sievewright.queries.base import RESPONSES, ROLLOUTS, SCENES, TRIALS, responses, rollouts, trials
@@ -162,7 +162,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("j20_overlap", "select 'train_eval' as guard, count(*) as n from (select dataset, item_id from decontamination where split = 'train' intersect select dataset, item_id from decontamination where split <> 'train')")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "decontamination").select("split", "dataset", "item_id")
-    both = r.where("split = 'train'").drop("split").intersect(r.where("split <> 'train'").drop("split"))
+    both = streams.overlap(r.where("split = 'train'"), r.where("split <> 'train'"), ["dataset", "item_id"])
     return both.agg(F.count("*").alias("n")).select(F.lit("train_eval").alias("guard"), "n")
 
 
@@ -226,9 +226,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a08_grouped", "select arm, list(ordinal order by ordinal)[1:3] as first_rows, count(*) as n from mixture_profiles group by arm")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("arm").orderBy("ordinal")
-    rows = table(spark, d, "mixture_profiles").select("arm", "ordinal", F.row_number().over(w).alias("r"))
-    return rows.groupBy("arm").agg(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("ordinal")))).alias("first_rows"), F.count("*").alias("n"))
+    return streams.grouped_in_order(table(spark, d, "mixture_profiles"), ["arm"], "ordinal", "ordinal", 3)
 
 
 @query("a17_a18_checks", f"select split, count(distinct mother_item_id) as mothers, bool_and(scene_a is not null) as all_shown, bool_or(answers_equal) as any_equal from {SCENES} group by split")
@@ -257,8 +255,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w10_even_odd", "select pair, n, questions from (select ordinal // 2 as pair, count(*) as n, count(distinct problem) as questions from mixture_profiles group by 1) where questions > 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "mixture_profiles").groupBy(F.floor(F.col("ordinal") / 2).alias("pair")).agg(F.count("*").alias("n"), F.count_distinct("problem").alias("questions"))
-    return g.where("questions > 1")
+    return streams.uneven_pairs(table(spark, d, "mixture_profiles"), "ordinal", "problem").withColumnRenamed("values", "questions")
 
 
 @query("u04_failed", f"with {TRIALS} select run, item_id from trials group by run, item_id having not bool_or(pair_correct)")
@@ -309,10 +306,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---- formulas
 
 
-@query("m04_sampling", f"with {ROLLOUTS}, c as (select qid, condition, {_P.format('bits')} as c from rollouts) select qid, condition, c / 16 as p_sample, round(1 - pow(c / 16, 5) - pow(1 - c / 16, 5), 9) as mixed_group, round(c / 16 * (1 - c / 16), 9) as variance_proxy from c")
+@query("m04_sampling", f"with {ROLLOUTS}, c as (select qid, condition, {_P.format('bits')} as c from rollouts), p as (select *, (c + 0.5) / 17 as p from c) select qid, condition, 16 as sample_count, c::int as sample_correct_count, c / 16 as p_sample, round(p, 9) as p_i_jeffreys, round(1 - pow(p, 5) - pow(1 - p, 5), 9) as q_i, round(case when 16 - c < 5 then 1.0 else 1 - (16 - c) / 16 * (15 - c) / 15 * (14 - c) / 14 * (13 - c) / 13 * (12 - c) / 12 end, 9) as pass_at_g, (c > 0)::int::double as pass_at_all, round(p * (1 - p), 9) as variance_proxy from p")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = F.size(F.filter("bits", lambda x: x)) / 16
-    return rollouts(spark, d).select("qid", "condition", p.alias("p_sample"), F.round(measures.mixed_group(p, 5), 9).alias("mixed_group"), F.round(p * (1 - p), 9).alias("variance_proxy"))
+    rates = streams.pilot_rates(F.col("bits"))
+    return rollouts(spark, d).select("qid", "condition", *[(F.round(c, 9) if n in ("p_i_jeffreys", "q_i", "pass_at_g", "variance_proxy") else c).alias(n) for n, c in rates.items()])
 
 
 @query("m06_close", "select l_orderkey, l_linenumber, abs(l_discount - l_tax) <= greatest(1e-4 * greatest(abs(l_discount), abs(l_tax)), 1e-4) as near from lineitem")
@@ -372,9 +369,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---- corpora and validation
 
 
-@query("d03_sample_stats", "select source, count(*) as n, count(distinct category) as categories, sum(len(image_paths))::bigint as images from corpus_rows group by source")
+@query("d03_sample_stats", "select source, count(*) as n, count(distinct category) as n_distinct, sum(coalesce(len(image_paths), 0))::bigint as n_elements from corpus_rows group by source")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "corpus_rows").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("category").alias("categories"), F.sum(F.size("image_paths").cast("long")).alias("images"))
+    return streams.sample_statistics(table(spark, d, "corpus_rows"), "source", "category", "image_paths")
 
 
 @query("d10_resume", "select count(*) // 3 as n from mixture_profiles")
@@ -385,10 +382,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(corpus.resume_prefix(source, done, ["pair_group_uid"]),)], "n long")
 
 
-@query("d12_attack_set", f"select ordinal, md5(pair_id) < '8' as swapped, case when md5(pair_id) < '8' then answer_b else answer_a end as first_answer from {SCENES} where role <> 'invariance' and pair_id is not null")
+@query("d12_attack_set", f"select ordinal, md5(pair_id) < '8' as swapped, case when md5(pair_id) < '8' then answer_b else answer_a end as first_answer, case when md5(pair_id) < '8' then answer_a else answer_b end as second_answer from {SCENES} where role <> 'invariance' and pair_id is not null")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, SCENES).where("role <> 'invariance' and pair_id is not null").withColumn("swapped", F.md5("pair_id") < "8")
-    return rows.select("ordinal", "swapped", F.when(F.col("swapped"), F.col("answer_b")).otherwise(F.col("answer_a")).alias("first_answer"))
+    return streams.attack_members(table(spark, d, SCENES).where("role <> 'invariance'"), "pair_id", "answer_a", "answer_b", ["ordinal"])
 
 
 _TELLING = "['side', 'answer', 'template', 'left', 'right']"
@@ -596,9 +592,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return found.where("code = 'bad_digest'").agg(F.count("*").alias("n")).select(F.lit("bad_digest").alias("code"), "n")
 
 
-@query("v08_metadata", f"select ordinal, provenance.generator is not null and provenance.batch_seed >= 0 and verifier_results.n_points > 0 as valid from {SCENES}")
+@query("v08_metadata", f"select ordinal, coalesce(provenance.generator is not null and provenance.batch_seed >= 0 and verifier_results.n_points > 0, false) as valid from {SCENES}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, SCENES).select("ordinal", (F.col("provenance.generator").isNotNull() & (F.col("provenance.batch_seed") >= 0) & (F.col("verifier_results.n_points") > 0)).alias("valid"))
+    valid = streams.runtime_valid(F.col("provenance.generator"), F.col("provenance.batch_seed"), F.col("verifier_results.n_points"))
+    return table(spark, d, SCENES).select("ordinal", valid.alias("valid"))
 
 
 @query("x07_presentation", f"select ordinal, [a, a, a, a || ' degrees', '\\frac{{' || a || '}}{{2}}', 'a ' || a][ordinal % 6 + 1] as shown from {_WHOLE}")
