@@ -7,9 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.measures import hamming64
 from sievewright.functions.text import normalize_text, tokens, word_ngrams
-from sievewright.session import broadcast_if_small, cut
+from sievewright.session import BROADCAST_BYTES, broadcast_if_small, cut
 
 #: Largest hash distance and least overlap at which a pair is removed or looked at, and the words that
 #: make an exact question distinctive.
@@ -18,8 +17,9 @@ JACCARD_REMOVE, JACCARD_INSPECT = 0.80, 0.70
 DISTINCTIVE_WORDS = 5
 #: Columns of a record that edges are made of.
 _USED = ("record_id", "split", "question", "answer", "image_sha256", "image_applicable", "phash64", "dhash64", "delivered_at", "recorded_at")
-#: Blocks of 16 bits into which a hash is cut.
+#: Blocks of 16 bits into which a hash is cut, bytes of a block in a broadcast list, and hashes that a task looks up.
 BLOCKS = 4
+_BLOCK_BYTES, _LOOKED_UP = 72, 50_000
 
 
 def latest(records: DataFrame, key: str = "record_id") -> DataFrame:
@@ -69,33 +69,63 @@ def _near_masks(radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(16), r)]
 
 
-def _block_keys(prefix: int, c: Column) -> list[Column]:
-    """Number and value of each 16-bit block of a hash in hexadecimal digits, as one whole number."""
-    return [F.conv(F.substring(c, 4 * i + 1, 4), 16, 10).cast("int") + F.lit((prefix + i) << 16) for i in range(BLOCKS)]
+def _number(c: Column) -> Column:
+    """A hash of 16 hexadecimal digits as a 64-bit number; null where one of its halves is no number."""
+    half = lambda at: F.conv(F.substring(c, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
-def hash_edges(train: DataFrame, held: DataFrame, most: int = HASH_INSPECT) -> DataFrame:
+def hash_edges(train: DataFrame, held: DataFrame, most: int = HASH_INSPECT, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Pairs whose smaller distance of the two perceptual hashes is at most ``most``: ``distance`` and action.
 
-    By the pigeonhole principle one of the four 16-bit blocks of such hashes differs in at most ``most // 4`` bits. The
-    held-out side lists every block value in that reach (137 of 65,536 for a distance of 10), the training side its
-    own; equal values are joined and the exact distance decides. Rows without hashes or with images that do not apply
-    take no part.
+    By the pigeonhole principle such hashes have a 16-bit block that differs in no more bits than its reach, where the
+    reaches of the four blocks add up to ``most - 3`` (2, 2, 2, 1 for a distance of 10). Distinct hashes of the held-out
+    side are broadcast by block value, those of the training side look up every value in reach, and the exact distance
+    decides; looked-up values are made on the way and never shuffled. Lists that do not fit ``limit`` at once take more
+    passes, each over its own block values. Rows without hashes or with images that do not apply take no part.
     """
     if not 0 <= most <= 15:
         raise ValueError("distance must lie in [0, 15]")
-    masks = F.array(*[F.lit(m) for m in _near_masks(most // BLOCKS)])
-
-    def side(df: DataFrame, name: str, reach: bool) -> DataFrame:
-        real = df.where("image_applicable").select(F.col("record_id").alias(name), F.col("phash64").alias(f"p_{name}"), F.col("dhash64").alias(f"d_{name}")).where(f"p_{name} is not null and d_{name} is not null")
-        own = F.array(*_block_keys(0, F.col(f"p_{name}")), *_block_keys(BLOCKS, F.col(f"d_{name}")))
-        keyed = real.select("*", F.explode(own).alias("block"))
-        return keyed.select(name, f"p_{name}", f"d_{name}", F.explode(F.transform(masks, lambda m: F.col("block").bitwiseXOR(m))).alias("block")) if reach else keyed
-
-    a, b = side(train, "train_record_id", False), side(held, "eval_record_id", True)
-    distance = F.least(hamming64(F.col("p_train_record_id"), F.col("p_eval_record_id")), hamming64(F.col("d_train_record_id"), F.col("d_eval_record_id")))
-    found = a.join(b, "block").withColumn("distance", distance).where(F.col("distance") <= most)
-    return found.select("train_record_id", "eval_record_id", "distance").distinct().select("*", F.lit("perceptual_hash").alias("signal"), F.when(F.col("distance") <= HASH_REMOVE, 2).otherwise(1).alias("action"))
+    total = most - BLOCKS + 1
+    reach = [total // BLOCKS + (i < total % BLOCKS) for i in range(BLOCKS)]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        real = df.where("image_applicable and phash64 is not null and dhash64 is not null")
+        return real.select(F.col("record_id").alias(f"{name}_record_id"), _number(F.col("phash64")).alias(f"p_{name}"), _number(F.col("dhash64")).alias(f"d_{name}"))
+
+    def blocks(df: DataFrame, name: str, passes: int, k: int) -> DataFrame:
+        """Number and value of each block that pass ``k`` may look at: the number stands in the lowest three bits."""
+        each = [
+            F.struct(F.lit(i).alias("i"), F.shiftleft(F.shiftrightunsigned(F.col(f"{c}_{name}"), 16 * (i % BLOCKS)).bitwiseAND(F.lit(0xFFFF)), 3).bitwiseOR(F.lit(i)).alias("own"))
+            for c, first in (("p", 0), ("d", BLOCKS)) for i in range(first, first + BLOCKS) if reach[i % BLOCKS] >= 0 and i % min(passes, 2 * BLOCKS) == k % min(passes, 2 * BLOCKS)
+        ]
+        return df.select("*", F.inline(F.array(*each))).where("own is not null") if each else df.limit(0).select("*", F.lit(0).alias("i"), F.lit(0).cast("long").alias("own"))
+
+    a, b = side(train, "train"), side(held, "eval")
+    ours, theirs = cut(a.drop("train_record_id").distinct()), cut(b.drop("eval_record_id").distinct())
+    wanted = theirs.count() * 2 * BLOCKS * _BLOCK_BYTES
+    passes = 1
+    while wanted > passes * limit:
+        passes *= 2
+    spread = ours.repartition(max(2 * ours.sparkSession.sparkContext.defaultParallelism, -(-ours.count() // _LOOKED_UP)))
+    masks = {r: F.array(*[F.lit(m << 3).cast("long") for m in _near_masks(r)]) for r in set(reach) if r >= 0}
+    near = F.least(F.bit_count(F.col("p_train").bitwiseXOR(F.col("p_eval"))), F.bit_count(F.col("d_train").bitwiseXOR(F.col("d_eval"))))
+    found = None
+    for k in range(passes):
+        by_reach = F.coalesce(*[F.when(F.col("i").isin([i for i in range(2 * BLOCKS) if reach[i % BLOCKS] == r]), m) for r, m in masks.items()])
+        looked = blocks(spread, "train", passes, k).select("p_train", "d_train", "own", F.explode(by_reach).alias("mask")).select("p_train", "d_train", F.col("own").bitwiseXOR(F.col("mask")).alias("block"))
+        listed = blocks(theirs, "eval", passes, k).select("p_eval", "d_eval", F.col("own").alias("block"))
+        if passes > 1:
+            looked, listed = (df.where(F.col("block") % passes == k) for df in (looked, listed))
+        hits = looked.join(F.broadcast(listed), "block").where(near <= most).select("p_train", "d_train", "p_eval", "d_eval", near.alias("distance")).distinct()
+        if passes > 1:
+            hits = cut(hits)  # one list at a time is broadcast
+        found = hits if found is None else found.unionByName(hits)
+    one = found.distinct() if passes > 1 else found
+    for name, df in (("train", a), ("eval", b)):
+        own = df.select(f"{name}_record_id", F.col(f"p_{name}").alias("p"), F.col(f"d_{name}").alias("d"))
+        one = one.join(own, F.col(f"p_{name}").eqNullSafe(F.col("p")) & F.col(f"d_{name}").eqNullSafe(F.col("d"))).drop("p", "d")
+    return one.select("train_record_id", "eval_record_id", "distance").select("*", F.lit("perceptual_hash").alias("signal"), F.when(F.col("distance") <= HASH_REMOVE, 2).otherwise(1).alias("action"))
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, least: float = JACCARD_INSPECT, n: int = 5) -> DataFrame:
