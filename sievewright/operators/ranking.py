@@ -13,10 +13,22 @@ def average_rank(value: str, by: list[str]) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Spearman correlation with tied ranks per group; null where a side is constant."""
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
-    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.try_divide(F.covar_pop("rx", "ry"), spread), 9).alias("rho"))
+    """Spearman correlation with tied ranks per group; null where a side is constant.
+
+    Equal pairs of values are counted first, so windows run over distinct pairs.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    counted = pairs.groupBy(*by, "__x", "__y").agg(F.count("*").alias("__c"))
+    whole = Window.partitionBy(*by)
+
+    def centred(v: str) -> Column:
+        ties = F.sum("__c").over(Window.partitionBy(*by, v))
+        return F.sum("__c").over(whole.orderBy(v)) - (ties - 1) / 2 - (F.sum("__c").over(whole) + 1) / 2
+
+    ranked = counted.select(*by, "__c", centred("__x").alias("rx"), centred("__y").alias("ry"))
+    total = lambda a, b: F.sum(F.col("__c") * F.col(a) * F.col(b))
+    spread = F.sqrt(total("rx", "rx")) * F.sqrt(total("ry", "ry"))
+    return ranked.groupBy(*by).agg(F.sum("__c").alias("n"), F.round(F.try_divide(total("rx", "ry"), spread), 9).alias("rho"))
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:

@@ -520,10 +520,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("r29_stability")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Rank stability of subsampled success rates: mean Spearman with the full rates per size, over the replicates."""
-    r = rollouts(spark, d).where("condition = 'real'").withColumn("all", F.lit("all"))
-    rates = resampling.rollout_stability(r, ["all"], "qid", "bits", "corpus", "real")
-    full = r.select("qid", (F.size(F.filter("bits", lambda x: x)) / 16).alias("full"))
-    rho = ranking.spearman(rates.join(full, "qid"), "rate", "full", ["k", "replicate"])
+    r = rollouts(spark, d).where("condition = 'real' and qid is not null").withColumn("full", F.size(F.filter("bits", lambda x: x)) / 16)
+    rates = resampling.rollout_stability(r, ["full"], "qid", "bits", "corpus", "real")
+    rho = ranking.spearman(rates, "rate", "full", ["k", "replicate"])
     return rho.groupBy("k").agg(F.round(F.avg("rho"), 9).alias("mean_rho"), F.round(F.min("rho"), 9).alias("low_rho"), F.count("rho").alias("n"))
 
 
