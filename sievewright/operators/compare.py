@@ -125,15 +125,27 @@ def wilson(successes: Column, n: Column) -> Column:
     return F.when(n > 0, found)
 
 
-def mcnemar_p(b01: Column, b10: Column) -> Column:
-    """Two-sided exact McNemar p-value; 1 without discordant pairs. Logs of factorials are sums, so counts stay modest."""
-    n, k = b01 + b10, F.least(b01, b10)
+def _stirling_error(c: Column) -> Column:
+    """log(c!) less Stirling's approximation, for counts of 1 or more: from a table up to 15, else by the series."""
+    table = F.array(*[F.lit(math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi)) for i in range(1, 16)])
+    x = c.cast("double")
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - F.lit(1 / 1680) / (x * x)) / (x * x)) / (x * x)) / x
+    return F.when(c <= 15, F.get(table, c.cast("int") - 1)).otherwise(series)
+
 
-    def log_factorial(c: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(c, F.lit(1)).cast("long")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+def mcnemar_p(b01: Column, b10: Column) -> Column:
+    """Two-sided exact McNemar p-value; 1 without discordant pairs.
 
-    whole = log_factorial(n)
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), F.lit(0.0), lambda a, i: a + F.exp(whole - log_factorial(i) - log_factorial(n - i) - n * math.log(2.0)))
+    The chance of the smaller count comes from Loader's form of the binomial, which keeps its digits for large counts.
+    Each smaller outcome is i / (n - i + 1) times the next one, so the whole tail is one sum of as many terms as the
+    smaller count.
+    """
+    n, k = b01 + b10, F.least(b01, b10)
+    rest, x = n - k, (n - 2 * k) / n
+    deviance = n / 2 * ((1 - x) * F.log1p(-x) + (1 + x) * F.log1p(x))
+    chance = F.exp(_stirling_error(n) - _stirling_error(k) - _stirling_error(rest) - deviance) * F.sqrt(n / (2 * math.pi * k * rest))
+    at = F.when(k == 0, F.exp(-n * math.log(2.0))).otherwise(chance)
+    tail = at * F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), F.lit(1.0), lambda a, i: 1.0 + a * i / (n - i + 1))
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
