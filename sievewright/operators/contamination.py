@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import normalize_text, tokens, word_ngrams
-from sievewright.session import BROADCAST_BYTES, broadcast_if_small, cut
+from sievewright.session import BROADCAST_BYTES, broadcast_if_few, broadcast_if_small, cut
 
 #: Largest hash distance and least overlap at which a pair is removed or looked at, and the words that
 #: make an exact question distinctive.
@@ -20,6 +20,8 @@ _USED = ("record_id", "split", "question", "answer", "image_sha256", "image_appl
 #: Blocks of 16 bits into which a hash is cut, bytes of a block in a broadcast list, and hashes that a task looks up.
 BLOCKS = 4
 _BLOCK_BYTES, _LOOKED_UP = 72, 50_000
+#: Texts from which a shingle counts as common.
+_COMMON = 20
 
 
 def latest(records: DataFrame, key: str = "record_id") -> DataFrame:
@@ -132,25 +134,35 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, least: float = JACCARD_INSP
     """Pairs of texts with a shingle overlap of at least ``least``: ``left_id``, ``right_id``, ``score``. Exact.
 
     Inputs: ``id`` and ``words``. Each side keeps the rarest shingles of a text only: a pair that reaches the overlap
-    must share one of its first ``size - ceil(least * size) + 1`` shingles in the order of rarity. Sizes are compared
-    before the sets are.
+    must share one of its first ``size - ceil(least * size) + 1`` shingles in any order that both sides have. Shingles
+    travel as 64-bit hashes; the order puts those of ``_COMMON`` texts or more last, by how many have them, and all
+    others by their hash. Sizes, then hashes are compared before the shingles themselves decide.
     """
-    def shingled(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("id").alias(name), word_ngrams(F.col("words"), n).alias("s")).where(F.size("s") > 0)
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        made = df.select(F.col("id").alias(name), F.transform(word_ngrams(F.col("words"), n), lambda g: F.xxhash64(g)).alias("h"))
+        return made.where(F.size("h") > 0)
 
-    a, b = shingled(left, "left_id"), shingled(right, "right_id")
-    every = a.select(F.explode("s").alias("g")).unionByName(b.select(F.explode("s").alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
+    a, b = cut(hashed(left, "left_id")), cut(hashed(right, "right_id"))
+    counted = a.select(F.explode("h").alias("g")).unionByName(b.select(F.explode("h").alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
+    counted = cut(counted.where(F.col("df") >= _COMMON))
+    common = broadcast_if_few(counted, counted.count(), 64)
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
-        ranked = df.select(name, F.explode("s").alias("g")).join(every, "g").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+        each = df.repartition(name).select(name, F.explode("h").alias("g")).join(common, "g", "left")
+        ranked = each.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("o"))
         keep = F.size("o") - F.ceil(F.lit(least) * F.size("o") - 1e-9).cast("int") + 1
-        return ranked.select(name, F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["g"])).alias("g"))
-
-    found = prefix(a, "left_id").join(prefix(b, "right_id"), "g").select("left_id", "right_id").distinct()
-    both = found.join(a.withColumnRenamed("s", "sa"), "left_id").join(b.withColumnRenamed("s", "sb"), "right_id")
-    near = both.where((F.size("sa") >= least * F.size("sb") - 1e-9) & (F.size("sb") >= least * F.size("sa") - 1e-9))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return near.select("left_id", "right_id", (common / (F.size("sa") + F.size("sb") - common)).alias("score")).where(F.col("score") >= least)
+        return ranked.select(name, F.size("o").alias(f"n_{name}"), F.explode(F.array_distinct(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["g"]))).alias("g"))
+
+    alike = (F.col("n_left_id") >= least * F.col("n_right_id") - 1e-9) & (F.col("n_right_id") >= least * F.col("n_left_id") - 1e-9)
+    found = prefix(a, "left_id").join(prefix(b, "right_id"), "g").where(alike).select("left_id", "right_id").distinct()
+    both = found.join(a.withColumnRenamed("h", "ha"), "left_id").join(b.withColumnRenamed("h", "hb"), "right_id")
+    clash = (F.size(F.array_distinct("ha")) < F.size("ha")) | (F.size(F.array_distinct("hb")) < F.size("hb"))
+    common_hashes = F.size(F.array_intersect("ha", "hb"))
+    near = both.where(clash | (common_hashes >= least * (F.size("ha") + F.size("hb") - common_hashes) - 1e-6)).select("left_id", "right_id")
+    wa, wb = (df.select(F.col("id").alias(name), F.col("words").alias(w)) for df, name, w in ((left, "left_id", "wa"), (right, "right_id", "wb")))
+    sets = near.join(wa, "left_id").join(wb, "right_id").select("left_id", "right_id", word_ngrams(F.col("wa"), n).alias("sa"), word_ngrams(F.col("wb"), n).alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return sets.select("left_id", "right_id", (shared / (F.size("sa") + F.size("sb") - shared)).alias("score")).where(F.col("score") >= least)
 
 
 def text_edges(train: DataFrame, held: DataFrame) -> DataFrame:
